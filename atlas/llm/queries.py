@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, licenses, sharding, topk
+from . import bpe, decontam, licenses, sharding, topk
 from .common import table
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), 8)
 
@@ -27,7 +31,7 @@ def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_sharding, op6_topk, op7_licenses, op8_decontam)}
+    return {f.__name__: f for f in (op3_bpe, op5_sharding, op6_topk, op7_licenses, op8_decontam)}
 
 
 def oracle_sql() -> dict[str, str]:
