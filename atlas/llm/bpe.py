@@ -3,7 +3,8 @@
 Documents are split by Spark's own regular expressions. A Python step turns each slice of documents into one block row:
 the slice's distinct words as byte arrays, and for each document the positions of its words among them. The fold then
 runs once for each distinct word of a block, and a last step lays the words' ids out again. Nothing is shuffled, and a
-block is bounded by BLOCK_BYTES or by its longest text.
+block is bounded by BLOCK_BYTES or by its longest text. Words that a bounded sample of the texts holds more than once are
+folded ahead and broadcast, so that a block folds only what they lack; this saves time and changes no result.
 """
 
 from __future__ import annotations
@@ -25,7 +26,9 @@ from .common import environment_path
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Bytes of words that make one block.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
+#: Bytes of text that are sampled for words to fold ahead, and how many words at most; both bound what is broadcast.
+AHEAD_BYTES, AHEAD_WORDS = 64 << 20, 400_000
 #: Words of more bytes are merged with a heap in the last step: a fold needs the square of a word's length.
 FOLD_BYTES = 128
 #: An entry of the rank map that belongs to no pair.
@@ -154,11 +157,32 @@ def one(values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
-def _blocks(pattern: str):
+class Ahead:
+    """Words folded ahead and their ids, as Arrow arrays."""
+
+    def __init__(self, words: pa.Array, ids: pa.Array):
+        self.words, self.ids = words.cast(pa.large_binary()), ids
+
+    @functools.cached_property
+    def lists(self) -> list[list[int]]:
+        flat, ends = self.ids.flatten().tolist(), np.concatenate([[0], np.cumsum(pc.list_value_length(self.ids).to_numpy())]).tolist()
+        return [flat[a:b] for a, b in zip(ends, ends[1:])]
+
+    @functools.cached_property
+    def numbers(self) -> list[bytes]:
+        return [b" ".join([b"%d" % x for x in ids]) for ids in self.lists]
+
+    def decoded(self, piece: list[bytes]) -> list[bytes]:
+        if not hasattr(self, "_decoded"):
+            self._decoded = [b"".join([piece[x] for x in ids]) for ids in self.lists]
+        return self._decoded
+
+
+def _blocks(pattern: str, ahead):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        split = regex.compile(pattern)
+        split, known = regex.compile(pattern), ahead.value.words
         for batch in batches:
             words, texts = batch.column("words").cast(pa.list_(pa.large_string())), batch.column("text")
             if texts.null_count < len(texts):  # characters that Java doesn't know yet
@@ -170,66 +194,92 @@ def _blocks(pattern: str):
             while row < batch.num_rows:
                 to = max(row + 1, int(np.searchsorted(size, size[row] + BLOCK_BYTES, "right")) - 1)
                 coded = flat.slice(ends[row], ends[to] - ends[row]).dictionary_encode()
-                vocab = coded.dictionary.cast(pa.large_binary()).cast(pa.binary())
-                offsets = pa.Array.from_buffers(pa.int32(), len(vocab) + 1, [None, vocab.buffers()[1]])
-                data = vocab.buffers()[2]
+                vocab = coded.dictionary.cast(pa.large_binary())
+                code = pc.fill_null(pc.index_in(vocab, value_set=known), -1).to_numpy(zero_copy_only=False)
+                rest = vocab.filter(pa.array(code < 0)).cast(pa.binary())
+                offsets = pa.Array.from_buffers(pa.int32(), len(rest) + 1, [None, rest.buffers()[1]])
+                data = rest.buffers()[2]
                 inner = pa.ListArray.from_arrays(offsets, pa.Array.from_buffers(pa.int8(), data.size if data else 0, [None, data or pa.py_buffer(b"")]))
                 yield pa.RecordBatch.from_arrays(
                     [
                         one(batch.column("key").slice(row, to - row)),
                         one(pa.array(counts[row:to].astype(np.int32))),
                         pa.array([coded.indices.to_numpy(zero_copy_only=False).astype(np.int32).tobytes()], pa.binary()),
+                        pa.array([code.astype(np.int32).tobytes()], pa.binary()),
                         one(inner),
                     ],
-                    names=["keys", "counts", "at", "vocab"],
+                    names=["keys", "counts", "at", "code", "vocab"],
                 )
                 row = to
 
     return run
 
 
-def blocks(docs: DataFrame, text: str = "text", key: str = "doc_id", pattern: str | None = None) -> DataFrame:
-    """One row a block: keys, counts (words of each document), at (32-bit positions of the words), vocab (distinct words as byte arrays)."""
-    if pattern is None:
-        import public_tokenizers
+def fold_ahead(docs: DataFrame, text: str, path: str, pattern: str):
+    """A broadcast Ahead: the words that a sample of about AHEAD_BYTES holds at least twice, AHEAD_WORDS at most, with their ids."""
+    spark = docs.sparkSession
+    body = F.coalesce(docs[text], F.lit(""))
+    total = docs.agg(F.sum(F.octet_length(body))).first()[0] or 0
+    some = docs.select(body.alias("t")).where(F.pmod(F.xxhash64("t"), F.lit(1 << 20)) < F.lit(min(1 << 20, (AHEAD_BYTES << 20) // max(1, total))))
+    words = some.select(F.explode(F.regexp_extract_all("t", F.lit(_java(pattern)), F.lit(0))).alias("w")).groupBy("w").count().where((F.col("count") > 1) & (F.octet_length("w") <= FOLD_BYTES))
+    words = words.orderBy(F.desc("count"), "w").limit(AHEAD_WORDS).select("w")
+    bytes_ = words.repartition(spark.sparkContext.defaultParallelism).mapInArrow(_as_bytes, "w string, b array<tinyint>")
+    found = bytes_.select("w", fold(F.col("b"), path).alias("ids")).toArrow().combine_chunks()
+    arrays = [c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in found.columns]
+    return spark.sparkContext.broadcast(Ahead(*arrays))
+
 
-        pattern = public_tokenizers.PATTERN
+def _as_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column("w"), pa.array([np.frombuffer(w.encode(), np.int8) for w in batch.column("w").to_pylist()], pa.list_(pa.int8()))], names=["w", "b"])
+
+
+def blocks(docs: DataFrame, ahead, text: str, key: str, pattern: str) -> DataFrame:
+    """One row a block: keys, counts (words of each document), at (32-bit positions of the words among the distinct ones), code (for each
+    distinct word its place among those folded ahead, or -1) and vocab (the distinct words of code -1, as byte arrays)."""
     body = F.coalesce(docs[text], F.lit(""))
     rare = body.rlike(r"\p{Cn}")
     rows = docs.select(docs[key].cast("bigint").alias("key"), F.when(rare, F.array().cast("array<string>")).otherwise(F.regexp_extract_all(body, F.lit(_java(pattern)), F.lit(0))).alias("words"), F.when(rare, body).alias("text"))
-    return rows.mapInArrow(_blocks(pattern), "keys array<bigint>, counts array<int>, at binary, vocab array<array<tinyint>>")
+    return rows.mapInArrow(_blocks(pattern, ahead), "keys array<bigint>, counts array<int>, at binary, code binary, vocab array<array<tinyint>>")
 
 
 def encode_blocks(found: DataFrame, path: str) -> DataFrame:
-    """Blocks with ids: the token ids of each distinct word, null for words of over FOLD_BYTES bytes."""
+    """Blocks with ids: the token ids of each word of vocab, null for words of over FOLD_BYTES bytes."""
     return found.withColumn("ids", F.transform("vocab", lambda w: F.when(F.size(w) <= FOLD_BYTES, fold(w, path))))
 
 
 class Block:
     """One block on its way back: ids of its distinct words, and documents as positions among them."""
 
-    def __init__(self, batch: pa.RecordBatch, i: int, known: dict[bytes, int]):
-        self.keys = batch.column("keys")[i].values
+    def __init__(self, batch: pa.RecordBatch, i: int, known: dict[bytes, int], ahead: Ahead):
+        self.keys, self.ahead = batch.column("keys")[i].values, ahead
         counts = batch.column("counts")[i].values.to_numpy()
         self.at = np.frombuffer(batch.column("at")[i].as_py(), np.int32)
+        self.code = np.frombuffer(batch.column("code")[i].as_py(), np.int32)
         self.ends = np.concatenate([[0], np.cumsum(counts)])
-        self.ids = batch.column("ids")[i].values
-        if self.ids.null_count:
+        own = batch.column("ids")[i].values
+        if own.null_count:
             vocab = batch.column("vocab")[i].values
-            self.ids = pa.array([x.as_py() if x.is_valid else merge_long(vocab[j].values.to_numpy().tobytes(), known) for j, x in enumerate(self.ids)], pa.list_(pa.int32()))
-        self.length = pc.list_value_length(self.ids).to_numpy(zero_copy_only=False).astype(np.int64)
-        self.flat = self.ids.flatten().to_numpy()
-        self.begin = np.concatenate([[0], np.cumsum(self.length)])
-        self.tokens = np.concatenate([[0], np.cumsum(self.length[self.at])])[self.ends] if len(self.at) else np.zeros(len(self.ends), np.int64)
+            own = pa.array([x.as_py() if x.is_valid else merge_long(vocab[j].values.to_numpy().tobytes(), known) for j, x in enumerate(own)], pa.list_(pa.int32()))
+        self.own = own
+        flat, ends = own.flatten().tolist(), np.concatenate([[0], np.cumsum(pc.list_value_length(own).to_numpy(zero_copy_only=False))]).tolist()
+        self.lists = [flat[a:b] for a, b in zip(ends, ends[1:])]
+        length = np.empty(len(self.code), np.int64)
+        length[self.code < 0] = [len(x) for x in self.lists]
+        length[self.code >= 0] = pc.list_value_length(ahead.ids).to_numpy()[self.code[self.code >= 0]]
+        self.length = length
+        self.tokens = np.concatenate([[0], np.cumsum(length[self.at])])[self.ends]
 
     def token_ids(self) -> np.ndarray:
         """Ids of all documents, one after another; tokens has their ends."""
-        n = self.length[self.at]
-        return self.flat[np.repeat(self.begin[:-1][self.at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))] if len(self.at) else np.zeros(0, np.int32)
+        words = self.per_word(self.ahead.lists, lambda x: x)
+        flat = np.array([i for w in words for i in w], np.int32)
+        begin, n = np.cumsum(self.length) - self.length, self.length[self.at]
+        return flat[np.repeat(begin[self.at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))] if len(self.at) else flat
 
-    def per_word(self, render) -> list[bytes]:
-        flat, begin = self.flat.tolist(), self.begin.tolist()
-        return [render(flat[a:b]) for a, b in zip(begin, begin[1:])]
+    def per_word(self, ahead: list, render) -> list:
+        own = iter([render(x) for x in self.lists])
+        return [ahead[c] if c >= 0 else next(own) for c in self.code.tolist()]
 
     def per_document(self, words: list[bytes], gap: bytes) -> Iterator[bytes]:
         at, ends = self.at.tolist(), self.ends.tolist()
@@ -246,16 +296,16 @@ def pieces(path: str) -> list[bytes]:
     return out
 
 
-def _emit(path: str, digest: bool):
+def _emit(path: str, ahead, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, piece = ranks(path), pieces(path)
+        known, piece, before = ranks(path), pieces(path), ahead.value
         for batch in batches:
             for i in range(batch.num_rows):
-                block = Block(batch, i, known)
+                block = Block(batch, i, known, before)
                 n = pa.array(np.diff(block.tokens), pa.int64())
                 if digest:
-                    text = block.per_document(block.per_word(lambda ids: b" ".join([b"%d" % x for x in ids])), b" ")
-                    body = block.per_document(block.per_word(lambda ids: b"".join([piece[x] for x in ids])), b"")
+                    text = block.per_document(block.per_word(before.numbers, lambda ids: b" ".join([b"%d" % x for x in ids])), b" ")
+                    body = block.per_document(block.per_word(before.decoded(piece), lambda ids: b"".join([piece[x] for x in ids])), b"")
                     shas = [[hashlib.sha256(x).hexdigest() for x in column] for column in (text, body)]
                     yield pa.RecordBatch.from_arrays([block.keys, n, *[pa.array(x, pa.string()) for x in shas]], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
                 else:
@@ -265,14 +315,21 @@ def _emit(path: str, digest: bool):
     return run
 
 
+def _chain(docs: DataFrame, text: str, key: str, path: str | None, digest: bool, schema: str) -> DataFrame:
+    import public_tokenizers
+
+    path, pattern = path or environment_path(RANKS), public_tokenizers.PATTERN
+    ahead = fold_ahead(docs, text, path, pattern)
+    return encode_blocks(blocks(docs, ahead, text, key, pattern), path).mapInArrow(_emit(path, ahead, digest), schema)
+
+
 def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str | None = None) -> DataFrame:
     """doc_id and ids: the token ids of each text, one row per row of docs, in no order.
 
     Null texts are empty and have no ids. Null keys stay null, repeated rows repeat, other columns are left out, an empty
     table gives no rows. Special tokens are never made: their spelling in a text is ordinary text.
     """
-    path = path or environment_path(RANKS)
-    return encode_blocks(blocks(docs, text, key), path).mapInArrow(_emit(path, False), "doc_id bigint, ids array<int>")
+    return _chain(docs, text, key, path, False, "doc_id bigint, ids array<int>")
 
 
 def decode(coded: DataFrame, ids: str = "ids", path: str | None = None) -> DataFrame:
@@ -290,5 +347,4 @@ def decode(coded: DataFrame, ids: str = "ids", path: str | None = None) -> DataF
 
 def digests(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: encode() and decode() of each text, of which only digests leave the executors."""
-    path = path or environment_path(RANKS)
-    return encode_blocks(blocks(docs, text, key), path).mapInArrow(_emit(path, True), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return _chain(docs, text, key, path, True, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
