@@ -184,12 +184,12 @@ def _blocks(pattern: str, ahead):
 
         split, known = regex.compile(pattern), ahead.value.words
         for batch in batches:
-            words, texts = batch.column("words").cast(pa.list_(pa.large_string())), batch.column("text")
+            words, texts = batch.column("words").cast(pa.list_(pa.string())), batch.column("text")
             if texts.null_count < len(texts):  # characters that Java doesn't know yet
-                words = pa.array([w if t is None else split.findall(t) for w, t in zip(words.to_pylist(), texts.to_pylist())], pa.list_(pa.large_string()))
+                words = pa.array([w if t is None else split.findall(t) for w, t in zip(words.to_pylist(), texts.to_pylist())], pa.list_(pa.string()))
             flat, counts = words.flatten(), pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             ends = np.concatenate([[0], np.cumsum(counts)])
-            size = np.concatenate([[0], np.cumsum(pc.binary_length(flat).to_numpy(zero_copy_only=False))])[ends]
+            size = (np.frombuffer(flat.buffers()[1], np.int32)[flat.offset :][ends] if len(flat) else np.zeros(len(ends), np.int32)).astype(np.int64)
             row = 0
             while row < batch.num_rows:
                 to = max(row + 1, int(np.searchsorted(size, size[row] + BLOCK_BYTES, "right")) - 1)

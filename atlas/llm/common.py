@@ -151,6 +151,14 @@ class Words:
         else:
             self.hash = np.zeros(0, np.uint64)
 
+    def prefix(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Words of more than n bytes, and a hash of the first n bytes of each."""
+        at = np.flatnonzero(self.end - self.start > n)
+        out = np.full(len(at), n, np.uint64)
+        for j in range(n):
+            out = out * _R + self.bytes[self.start[at] + j]
+        return at, mix64(out)
+
     def row_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
