@@ -164,18 +164,27 @@ class Ahead:
         self.words, self.ids = words.cast(pa.large_binary()), ids
 
     @functools.cached_property
-    def lists(self) -> list[list[int]]:
-        flat, ends = self.ids.flatten().tolist(), np.concatenate([[0], np.cumsum(pc.list_value_length(self.ids).to_numpy())]).tolist()
-        return [flat[a:b] for a, b in zip(ends, ends[1:])]
+    def length(self) -> np.ndarray:
+        return pc.list_value_length(self.ids).to_numpy()
 
-    @functools.cached_property
-    def numbers(self) -> list[bytes]:
-        return [b" ".join([b"%d" % x for x in ids]) for ids in self.lists]
+    def rendered(self, render) -> np.ndarray:
+        """render() of each word's ids; kept, since all blocks of a worker need it."""
+        kept = self.__dict__.setdefault("_rendered", {})
+        if render not in kept:
+            kept[render] = np.array([render(x.values.to_pylist()) for x in self.ids] or [b""], object)[: len(self.ids)]
+        return kept[render]
+
+
+def numbers(ids: list[int]) -> bytes:
+    """Decimal numbers with one space between them."""
+    return b" ".join([b"%d" % x for x in ids])
 
-    def decoded(self, piece: list[bytes]) -> list[bytes]:
-        if not hasattr(self, "_decoded"):
-            self._decoded = [b"".join([piece[x] for x in ids]) for ids in self.lists]
-        return self._decoded
+
+@functools.cache
+def bodies(path: str):
+    """Renders ids as the bytes that they stand for."""
+    piece = pieces(path)
+    return lambda ids: b"".join([piece[x] for x in ids])
 
 
 def _blocks(pattern: str, ahead):
@@ -211,6 +220,8 @@ def _blocks(pattern: str, ahead):
                     names=["keys", "counts", "at", "code", "vocab"],
                 )
                 row = to
+            del batch, words, texts, flat
+            pa.default_memory_pool().release_unused()
 
     return run
 
@@ -262,29 +273,31 @@ class Block:
             vocab = batch.column("vocab")[i].values
             own = pa.array([x.as_py() if x.is_valid else merge_long(vocab[j].values.to_numpy().tobytes(), known) for j, x in enumerate(own)], pa.list_(pa.int32()))
         self.own = own
-        flat, ends = own.flatten().tolist(), np.concatenate([[0], np.cumsum(pc.list_value_length(own).to_numpy(zero_copy_only=False))]).tolist()
-        self.lists = [flat[a:b] for a, b in zip(ends, ends[1:])]
         length = np.empty(len(self.code), np.int64)
-        length[self.code < 0] = [len(x) for x in self.lists]
-        length[self.code >= 0] = pc.list_value_length(ahead.ids).to_numpy()[self.code[self.code >= 0]]
+        length[self.code < 0] = pc.list_value_length(own).to_numpy(zero_copy_only=False)
+        length[self.code >= 0] = ahead.length[self.code[self.code >= 0]]
         self.length = length
         self.tokens = np.concatenate([[0], np.cumsum(length[self.at])])[self.ends]
 
     def token_ids(self) -> np.ndarray:
         """Ids of all documents, one after another; tokens has their ends."""
-        words = self.per_word(self.ahead.lists, lambda x: x)
-        flat = np.array([i for w in words for i in w], np.int32)
-        begin, n = np.cumsum(self.length) - self.length, self.length[self.at]
-        return flat[np.repeat(begin[self.at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))] if len(self.at) else flat
+        both = np.concatenate([self.ahead.ids.flatten().to_numpy(), self.own.flatten().to_numpy()])
+        first = np.cumsum(np.concatenate([self.ahead.length, self.length[self.code < 0]])) - np.concatenate([self.ahead.length, self.length[self.code < 0]])
+        place = self.code.astype(np.int64)
+        place[self.code < 0] = len(self.ahead.length) + np.arange(int((self.code < 0).sum()))
+        n = self.length[self.at]
+        return both[np.repeat(first[place][self.at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))] if len(self.at) else both[:0]
 
-    def per_word(self, ahead: list, render) -> list:
-        own = iter([render(x) for x in self.lists])
-        return [ahead[c] if c >= 0 else next(own) for c in self.code.tolist()]
+    def rendered(self, render) -> np.ndarray:
+        words = np.empty(len(self.code), object)
+        words[self.code >= 0] = self.ahead.rendered(render)[self.code[self.code >= 0]]
+        words[self.code < 0] = np.array([render(x.values.to_pylist()) for x in self.own] + [None], object)[:-1]
+        return words
 
-    def per_document(self, words: list[bytes], gap: bytes) -> Iterator[bytes]:
-        at, ends = self.at.tolist(), self.ends.tolist()
-        for a, b in zip(ends, ends[1:]):
-            yield gap.join([words[i] for i in at[a:b]])
+    def per_document(self, render, gap: bytes) -> Iterator[bytes]:
+        words = self.rendered(render)
+        for a, b in zip(self.ends, self.ends[1:]):
+            yield gap.join(words[self.at[a:b]])
 
 
 def pieces(path: str) -> list[bytes]:
@@ -298,15 +311,13 @@ def pieces(path: str) -> list[bytes]:
 
 def _emit(path: str, ahead, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, piece, before = ranks(path), pieces(path), ahead.value
+        known, before = ranks(path), ahead.value
         for batch in batches:
             for i in range(batch.num_rows):
                 block = Block(batch, i, known, before)
                 n = pa.array(np.diff(block.tokens), pa.int64())
                 if digest:
-                    text = block.per_document(block.per_word(before.numbers, lambda ids: b" ".join([b"%d" % x for x in ids])), b" ")
-                    body = block.per_document(block.per_word(before.decoded(piece), lambda ids: b"".join([piece[x] for x in ids])), b"")
-                    shas = [[hashlib.sha256(x).hexdigest() for x in column] for column in (text, body)]
+                    shas = [[hashlib.sha256(x).hexdigest() for x in block.per_document(*how)] for how in ((numbers, b" "), (bodies(path), b""))]
                     yield pa.RecordBatch.from_arrays([block.keys, n, *[pa.array(x, pa.string()) for x in shas]], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
                 else:
                     ids = pa.ListArray.from_arrays(pa.array(block.tokens, pa.int32()), pa.array(block.token_ids(), pa.int32()))

@@ -10,15 +10,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, text_slices
+from .common import Words, mix64, text_slices
 
-#: Hashed features, and how many of them a classifier weighs. Features are words and their beginnings of so many bytes, since words of
-#: one stem differ in their endings.
-BITS, WEIGHED, BEGINNINGS = 22, 4096, range(3, 10)
+#: Hashed features, and how many of them a classifier weighs. Features are words, and their beginnings of so many bytes
+#: where so many different words of the text share them, since words of one stem differ in their endings.
+BITS, WEIGHED, BEGINNINGS, SHARED = 22, 4096, range(3, 10), (1, 2, 3)
 #: Rows that the classifiers are fitted on at most: confirmed toxic ones and unlabelled text, by the order of a hash of doc_id.
 POSITIVE, UNLABELLED = 20_000, 40_000
 #: Classifiers whose mean is the score, and training steps of each.
 MEMBERS, STEPS = 5, 300
+#: Half the factor of the squared weights in the risk.
+PENALTY = 1e-3
 
 
 @dataclass
@@ -44,13 +46,22 @@ def _sigmoid(x):
 
 
 def features(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(row, feature) of the different hashed words and beginnings of words of each row."""
+    """(row, feature) of the different hashed words of each row, and of the beginnings that its words share."""
     words = Words(text)
     row = words.row_of_word().astype(np.int64)
-    found = [row << BITS | (words.hash >> np.uint64(64 - BITS)).astype(np.int64)]
+    order = np.lexsort((words.hash, row))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (row[order][1:] != row[order][:-1]) | (words.hash[order][1:] != words.hash[order][:-1])
+    once = np.zeros(len(order), bool)
+    once[order[fresh]] = True
+    found = [row[once] << BITS | (words.hash[once] >> np.uint64(64 - BITS)).astype(np.int64)]
     for n in BEGINNINGS:
         at, value = words.prefix(n)
-        found.append(row[at] << BITS | (value >> np.uint64(64 - BITS)).astype(np.int64))
+        at, value = at[once[at]], value[once[at]]
+        pairs, first, count = np.unique(row[at] << 40 | (value >> np.uint64(24)).astype(np.int64), return_index=True, return_counts=True)
+        for least in SHARED:
+            enough = first[count >= least]
+            found.append(row[at[enough]] << BITS | (mix64(value[enough] + np.uint64(least)) >> np.uint64(64 - BITS)).astype(np.int64))
     pairs = np.sort(np.concatenate(found))
     pairs = pairs[np.diff(pairs, prepend=-1) != 0]
     return pairs >> BITS, pairs & ((1 << BITS) - 1)
@@ -113,7 +124,7 @@ def fit(rows: list[np.ndarray], positive: np.ndarray, prior: float, seed: int =
             else:
                 d[positive] = mass[positive] * prior * p[positive]
                 d[~positive] = -mass[~positive] * p[~positive]
-            slope = np.append(np.bincount(at, d[row], len(chosen)) + 1e-5 * w, d.sum())
+            slope = np.append(np.bincount(at, d[row], len(chosen)) + PENALTY * w, d.sum())
             m, v = 0.9 * m + 0.1 * slope, 0.999 * v + 0.001 * slope**2
             move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-10)
             w, bias = w - move[:-1], bias - move[-1]
