@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, jaccard, licenses, sharding, topk, toxicity
+from . import bpe, decontam, jaccard, licenses, mixing, order, sharding, topk, toxicity
 from .common import table
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.score(table(spark, sf_dir, "documents"))
+
+
+def op2_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order.materialise_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
@@ -39,7 +47,7 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_bpe, op4_toxicity, op5_sharding, op6_topk, op7_licenses, op8_decontam, op10_jaccard)}
+    return {f.__name__: f for f in (op1_mixing, op2_order, op3_bpe, op4_toxicity, op5_sharding, op6_topk, op7_licenses, op8_decontam, op10_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, mix64, text_slices
+from .common import Words, Work, mix64, text_slices
 
 #: Hashed features, and how many of them a classifier weighs. Features are words, and their beginnings of so many bytes
 #: where so many different words of the text share them, since words of one stem differ in their endings.
@@ -67,42 +67,53 @@ def features(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return pairs >> BITS, pairs & ((1 << BITS) - 1)
 
 
-def stands_out(seen_pos: np.ndarray, seen_un: np.ndarray, n_pos: int, n_un: int) -> np.ndarray:
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many texts of a task hold each feature: confirmed ones, others."""
+    seen = np.zeros((2, 1 << BITS), np.int32)
+    for batch in batches:
+        lists = batch.column("features")
+        side = np.repeat(batch.column("toxic").to_numpy() <= 0, np.diff(lists.offsets.to_numpy()))
+        flat = lists.flatten().to_numpy()
+        for k in (0, 1):
+            seen[k] += np.bincount(flat[side == k], minlength=1 << BITS).astype(np.int32)
+    there = np.flatnonzero(seen.any(axis=0))
+    for at in range(0, len(there), 1 << 16):
+        some = there[at : at + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(seen[0][some].astype(np.int64)), pa.array(seen[1][some].astype(np.int64))], names=["feature", "pos", "un"])
+
+
+def stands_out(rows: DataFrame, n_pos: int, n_un: int) -> np.ndarray:
     """Numbers of the features whose share among the positives differs from that among the others by more than chance makes
     among so many features: a likelihood ratio test at 1 / (100 * features), the WEIGHED highest of them at most."""
-    seen = seen_pos + seen_un
+    if not n_pos or not n_un:
+        return np.zeros(0, np.int64)
     share = n_pos / (n_pos + n_un)
-    often = seen > 0
+    seen = rows.mapInArrow(_counts, "feature int, pos long, un long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("un").alias("un")).where("pos + un > 2")
 
-    def part(x, of, rate):
-        with np.errstate(divide="ignore", invalid="ignore"):
-            return np.where(x > 0, x * np.log(x / (of * rate)), 0)
+    def part(x: str, rate: float) -> F.Column:
+        return F.when(F.col(x) > 0, F.col(x) * F.ln(F.col(x) / (F.expr("pos + un") * rate))).otherwise(0.0)
 
-    ratio = np.zeros(len(seen))
-    ratio[often] = 2 * (part(seen_pos[often], seen[often], share) + part(seen_un[often], seen[often], 1 - share))
-    chosen = np.argsort(-ratio, kind="stable")[:WEIGHED]
-    return np.sort(chosen[ratio[chosen] > 2 * np.log(100 * max(1, int((seen > 2).sum())))])
+    ratio = 2 * (part("pos", share) + part("un", 1 - share))
+    ranked = seen.select("feature", ratio.alias("ratio"))
+    best = ranked.where(F.col("ratio") > 2 * np.log(100)).orderBy(F.desc("ratio"), "feature").limit(WEIGHED).collect()
+    least = 2 * np.log(100 * max(1, seen.count()))
+    return np.sort(np.array([r[0] for r in best if r[1] > least], np.int64))
 
 
-def fit(rows: list[np.ndarray], positive: np.ndarray, prior: float, seed: int = 7) -> Model:
+def fit(rows: list[np.ndarray], positive: np.ndarray, prior: float, chosen: np.ndarray, seed: int = 7) -> Model:
     """Classifiers for g(x) that minimise prior * E_P[l(g)] + max(0, E_U[l(-g)] - prior * E_P[l(-g)]).
 
-    rows: feature numbers of each text; positive: which are confirmed; the others are unlabelled. l is the sigmoid loss's smooth
+    rows: numbers of each text's chosen features; positive: which texts are confirmed; the others are unlabelled. l is the sigmoid loss's smooth
     cousin log(1 + exp(-z)). Where the bracket is negative, its gradient is followed backwards, so that no member fits unlabelled
-    positives as negatives. Features are those that stand out among the positives, see stands_out().
+    positives as negatives.
     """
     n_pos, n_un = int(positive.sum()), int((~positive).sum())
-    if not n_pos or not n_un:
+    if not len(chosen):
         p = min(max(prior, 1e-4), 0.4999)
         return Model(np.zeros(0, np.int64), np.zeros((MEMBERS, 0)), np.full(MEMBERS, np.log(p / (1 - p))))
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     flat = np.concatenate(rows)
-    seen_pos = np.bincount(flat[positive[row]], minlength=1 << BITS)
-    seen_un = np.bincount(flat[~positive[row]], minlength=1 << BITS)
-    chosen = stands_out(seen_pos, seen_un, n_pos, n_un)
     at = np.searchsorted(chosen, flat)
-    kept = (at < len(chosen)) & (np.append(chosen, -1)[at] == flat)
-    row, at = row[kept], at[kept]
     random = np.random.default_rng(seed)
     weights, biases = [], []
     for _ in range(MEMBERS):
@@ -159,8 +170,27 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     confirmed = said.where("toxic > 0").orderBy(*order).limit(POSITIVE).select("doc_id", F.lit(1).alias("toxic"))
     others = texts.where(~held_out(F.col("doc_id"))).select("doc_id").distinct().orderBy(*order).limit(UNLABELLED).select("doc_id", F.lit(0).alias("toxic"))
     rows = texts.join(F.broadcast(confirmed.unionByName(others)), "doc_id")
-    found = rows.mapInArrow(_training, "doc_id long, toxic int, features array<int>").toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")]).combine_chunks()
-    return fit([f.values.to_numpy().astype(np.int64) for f in found.column("features")], found.column("toxic").to_numpy() > 0, prior)
+    work = Work(docs.sparkSession)
+    seen = work.table(rows.mapInArrow(_training, "doc_id long, toxic int, features array<int>"), "training")
+    sizes = dict(seen.groupBy("toxic").count().collect())
+    chosen = stands_out(seen, sizes.get(1, 0), sizes.get(0, 0))
+    found = seen.mapInArrow(_only(chosen), seen.schema).toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")]).combine_chunks()
+    work.drop(seen)
+    return fit([f.values.to_numpy().astype(np.int64) for f in found.column("features")], found.column("toxic").to_numpy() > 0, prior, chosen)
+
+
+def _only(chosen: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        among = np.zeros(1 << BITS, bool)
+        among[chosen] = True
+        for batch in batches:
+            lists = batch.column("features")
+            flat = lists.flatten().to_numpy()
+            keep = among[flat]
+            ends = np.concatenate([[0], np.cumsum(keep)])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat[keep], pa.int32()))], names=["doc_id", "toxic", "features"])
+
+    return run
 
 
 def _scored(model, extra: list[str]):
