@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import Work
+from .common import Work, environment_path, text_slices
 
 #: Token ids of a sequence, and sequences of a shard.
 LENGTH, PER_SHARD = 512, 8192
@@ -182,7 +182,25 @@ def read(folder: str, slot: int, count: int, length: int = LENGTH, per_shard: in
                 return
 
 
+def tokenised(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str | None = None) -> DataFrame:
+    """doc_id and ids of each text by the tiktoken library with a public rank file; null texts have none."""
+    import public_tokenizers
+
+    path, pattern = path or environment_path(bpe.RANKS), public_tokenizers.PATTERN
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import tiktoken
+
+        encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=bpe.ranks(path), special_tokens={}).encode_ordinary
+        for batch in text_slices(batches, "text"):
+            ids = [np.array(encode(t), np.int32) for t in batch.column("text").to_pylist()]
+            ends = np.cumsum([0, *map(len, ids)])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids)))], names=["doc_id", "ids"])
+
+    return docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+
+
 def materialise_documents(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Encodes documents and materialises them below the session's shared folder; see materialise()."""
+    """Tokenises documents and materialises them below the session's shared folder; see materialise()."""
     work = Work(docs.sparkSession)
-    return materialise(bpe.encode(docs, text, key), work.path("shards"), work=work)
+    return materialise(tokenised(docs, text, key), work.path("shards"), work=work)
