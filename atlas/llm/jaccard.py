@@ -73,12 +73,12 @@ def shingles(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def minhash(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """SKETCH 16-bit minhash values of each row; rows without shingles have zeros."""
+    """SKETCH 64-bit minhash values of each row; rows without shingles have zeros."""
     full = np.flatnonzero(np.diff(begin))
-    out = np.zeros((len(begin) - 1, SKETCH), np.uint16)
+    out = np.zeros((len(begin) - 1, SKETCH), np.uint64)
     if len(full):
         for i, odd in enumerate(_ODD):
-            out[full, i] = (np.minimum.reduceat(values * odd, begin[full]) >> np.uint64(8)).astype(np.uint16)
+            out[full, i] = np.minimum.reduceat(values * odd, begin[full])
     return out
 
 
@@ -89,40 +89,40 @@ def set_names(values: np.ndarray, begin: np.ndarray, texts: pa.Array) -> list[st
     return [f"{a:016x}{b:016x}" if n else hashlib.md5(t.as_py().encode()).hexdigest() for a, b, n, t in zip(first.tolist(), second.tolist(), np.diff(begin).tolist(), texts)]
 
 
-def _signatures(n: int):
+def sampled(values: np.ndarray, path: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and longer paths of the tokens that each row's path samples. values: the row's value at each coordinate."""
+    salt = mix64(path)
+    tokens = mix64(mix64(values + (np.arange(SKETCH, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))[None, :]) ^ salt[:, None])
+    row, token = np.nonzero(tokens < np.uint64(int(2**64 / (AIM * SKETCH))))
+    return row, mix64(tokens[row, token] ^ mix64(salt + np.uint64(7))[row])
+
+
+def _signatures(n: int, repeats: int):
+    """Name, size, sketch and the first step of every run's paths of each text's set."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text"):
             values, begin = shingles(Words(batch.column("text")), n)
-            sketch = minhash(values, begin)
-            body = pa.array([s.tobytes() for s in sketch], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("md"), pa.array(set_names(values, begin, batch.column("text"))), pa.array(np.diff(begin), pa.int64()), body], names=["doc_id", "md", "h", "size", "sketch"])
+            least, size = minhash(values, begin), np.diff(begin)
+            found = [sampled(least, np.full(len(least), r + 1, np.uint64)) for r in range(repeats)]
+            row, path = np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+            row, path = row[size[row] > 0], path[size[row] > 0]
+            order = np.argsort(row, kind="stable")
+            paths = pa.ListArray.from_arrays(pa.array(np.searchsorted(row[order], np.arange(len(size) + 1)), pa.int32()), pa.array(path[order].view(np.int64)))
+            sketch = pa.array([s.tobytes() for s in (least >> np.uint64(8)).astype(np.uint16)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("md"), pa.array(set_names(values, begin, batch.column("text")), pa.string()), pa.array(size, pa.int64()), sketch, paths], names=["doc_id", "md", "h", "size", "sketch", "paths"])
 
     return run
 
 
-def _tokens(sketch: np.ndarray, salt: np.ndarray) -> np.ndarray:
-    """A hash of every (path, coordinate, value); salt has the paths."""
-    coordinate = np.arange(SKETCH, dtype=np.uint64) << np.uint64(16)
-    return mix64((sketch.astype(np.uint64) | coordinate[None, :]) ^ salt[:, None])
-
-
-def _paths(repeats: int | None):
-    """repeats: the first level, once for each run. None: rows have the path so far in key."""
-    limit = np.uint64(int(2**64 / (AIM * SKETCH)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                sketch = np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint16).reshape(-1, SKETCH)
-                for r in range(repeats or 1):
-                    salt = np.full(len(sketch), r + 1, np.uint64) if repeats else part.column("key").to_numpy().view(np.uint64)
-                    tokens = _tokens(sketch, mix64(salt))
-                    row, token = np.nonzero(tokens < limit)
-                    keys = mix64(tokens[row, token] ^ mix64(salt + np.uint64(7))[row]).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), part.column("h").take(pa.array(row))], names=["key", "h"])
-
-    return run
+def _longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Paths of rows in large buckets, one step further."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 2048):
+            part = batch.slice(at, 2048)
+            sketch = np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint16).reshape(-1, SKETCH)
+            row, path = sampled(sketch.astype(np.uint64), part.column("key").to_numpy().view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), part.column("h").take(pa.array(row))], names=["key", "h"])
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int = 4096) -> Iterator[pa.Table]:
@@ -207,16 +207,15 @@ def _counted(rows: DataFrame) -> DataFrame:
     return rows.join(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
 
 
-def candidates(sets: DataFrame, work: Work, threshold: float, recall: float) -> DataFrame:
+def candidates(sets: DataFrame, work: Work, threshold: float) -> DataFrame:
     """Edges a, b between sets that met in a bucket and look similar by their sketches."""
     spread = math.sqrt(threshold * (1 - threshold) / SKETCH)
     least = math.floor(SKETCH * (threshold - 4 * spread))
     known = sets.select("h", "sketch")
-    at = work.table(sets.where("size > 0").select("h", "sketch").mapInArrow(_paths(runs(threshold, recall)), "key long, h string"), "paths")
+    at = sets.select(F.explode("paths").alias("key"), "h")
     edges = None
     for level in range(1, LEVELS + 1):
         rows = work.table(_counted(at), "buckets")
-        work.drop(at)
         leaf = rows.where(F.col("n") <= LEAF) if level < LEVELS else rows
         some = deal(leaf.withColumn("key", F.col("key").cast("string")), "key", LEAF).join(known, "h")
         some = some.repartition("key").sortWithinPartitions("key", "h").mapInArrow(_buckets(least), "a string, b string")
@@ -224,7 +223,7 @@ def candidates(sets: DataFrame, work: Work, threshold: float, recall: float) ->
         large = rows.where(F.col("n") > LEAF).select("key", "h")
         if level == LEVELS or large.isEmpty():
             break
-        at = work.table(large.join(known, "h").mapInArrow(_paths(None), "key long, h string"), "paths")
+        at = work.table(large.join(known, "h").mapInArrow(_longer, "key long, h string"), "paths")
     return edges
 
 
@@ -296,11 +295,11 @@ def _join(docs: DataFrame, text: str, key: str, threshold: float, n: int, recall
     work = Work(docs.sparkSession)
     body = F.coalesce(docs[text], F.lit(""))
     texts = docs.select(docs[key].cast("long").alias("doc_id"), body.alias("text"), F.md5(body).alias("md"))
-    signed = work.table(texts.mapInArrow(_signatures(n), "doc_id long, md string, h string, size long, sketch binary"), "signatures")
-    by_text = signed.groupBy("h", "md").agg(F.min("doc_id").alias("doc"), F.count("*").alias("rows"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
-    sets = work.table(by_text.groupBy("h").agg(F.min("doc").alias("doc"), F.sum("rows").alias("rows"), F.count("*").alias("n_texts"), F.min("md").alias("md"), F.first("size").alias("size"), F.first("sketch").alias("sketch")), "sets")
+    signed = work.table(texts.mapInArrow(_signatures(n, runs(threshold, recall)), "doc_id long, md string, h string, size long, sketch binary, paths array<long>"), "signatures")
+    by_text = signed.groupBy("h", "md").agg(F.min("doc_id").alias("doc"), F.count("*").alias("rows"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths"))
+    sets = work.table(by_text.groupBy("h").agg(F.min("doc").alias("doc"), F.sum("rows").alias("rows"), F.count("*").alias("n_texts"), F.min("md").alias("md"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths")), "sets")
 
-    maybe = components(candidates(sets, work, threshold, recall), work, "candidates")
+    maybe = components(candidates(sets, work, threshold), work, "candidates")
     maybe = work.table(maybe, "candidate-roots")
     grouped = maybe.join(maybe.groupBy("root").agg(F.count("*").alias("n")), "root").select(F.col("node").alias("h"), F.col("root").alias("key"), "n")
     wanted = work.table(sets.select("h", "md", "n_texts").join(grouped, "h"), "wanted")
