@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, jaccard, licenses, mixing, order, sharding, topk, toxicity
+from . import bpe, decontam, html, jaccard, licenses, mixing, order, sharding, topk, toxicity
 from .common import table
 
 
@@ -42,12 +42,16 @@ def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_order, op3_bpe, op4_toxicity, op5_sharding, op6_topk, op7_licenses, op8_decontam, op10_jaccard)}
+    return {f.__name__: f for f in (op1_mixing, op2_order, op3_bpe, op4_toxicity, op5_sharding, op6_topk, op7_licenses, op8_decontam, op9_html, op10_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
