@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
@@ -16,6 +19,8 @@ from .common import Work, environment_path, text_slices
 
 #: Token ids of a sequence, and sequences of a shard.
 LENGTH, PER_SHARD = 512, 8192
+#: The id after each document: the first one that the rank file leaves free.
+END_ID = 50256
 ROUNDS = 4
 
 
@@ -67,21 +72,41 @@ def indexes(slot: np.ndarray, n: int, key: int) -> np.ndarray:
     return _walk(np.asarray(slot), n, key, _unfeistel)
 
 
-def _cut(length: int):
+#: What a sequence holds of its documents: token ids of a document from begin on, at a place in the sequence; the end mark counts.
+PARTS = pa.list_(pa.struct([("doc_id", pa.int64()), ("begin", pa.int64()), ("n", pa.int64()), ("at", pa.int64())]))
+SEQUENCE = "parts array<struct<doc_id bigint, begin bigint, n bigint, at bigint>>, n_tokens bigint, body binary"
+
+
+def pack(keys: pa.Array, ends: np.ndarray, flat: np.ndarray, length: int, end_id: int) -> tuple[list[bytes], pa.Array, np.ndarray]:
+    """Sequences of length ids: documents one after another, an end mark after each; the last one may be shorter. Documents without ids are left out."""
+    size = np.diff(ends)
+    full = np.flatnonzero(size > 0)
+    if not len(full):
+        return [], pa.array([], PARTS), np.zeros(0, np.int64)
+    start = np.cumsum(size[full] + 1) - (size[full] + 1)
+    total = int(start[-1] + size[full][-1] + 1)
+    stream = np.full(total, end_id, "<u2")
+    stream[np.repeat(start - ends[full], size[full]) + np.concatenate([np.arange(ends[k], ends[k + 1]) for k in full])] = flat[: ends[-1]] if len(full) == len(size) else np.concatenate([flat[ends[k] : ends[k + 1]] for k in full])
+    cuts = np.unique(np.concatenate([start, np.arange(0, total, length)]))
+    until = np.append(cuts[1:], total)
+    which, sequence = np.searchsorted(start, cuts, "right") - 1, cuts // length
+    n = -(-total // length)
+    parts = pa.StructArray.from_arrays([keys.take(pa.array(full[which])).cast(pa.int64()), pa.array(cuts - start[which]), pa.array(until - cuts), pa.array(cuts - sequence * length)], names=["doc_id", "begin", "n", "at"])
+    offsets = np.searchsorted(sequence, np.arange(n + 1))
+    return [stream[k * length : (k + 1) * length].tobytes() for k in range(n)], pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), parts), np.minimum(length, total - np.arange(n) * length)
+
+
+def _cut(length: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3).compress  # while they travel
         for batch in batches:
-            ids = batch.column("ids")
-            size = np.diff(ids.offsets.to_numpy()) if ids.null_count == 0 else np.array([len(x) if x.is_valid else 0 for x in ids.to_pylist()])
-            flat = ids.flatten().to_numpy().astype("<u2")
-            parts = -(-size // length)
-            row = np.repeat(np.arange(len(size)), parts)
-            part = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
-            begin = (np.cumsum(size) - size)[row] + part * length
-            n = np.minimum(length, size[row] - part * length)
-            for at in range(0, len(row), 4096):
-                some = slice(at, at + 4096)
-                body = [flat[a : a + k].tobytes() for a, k in zip(begin[some], n[some])]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row[some])), pa.array(part[some]), pa.array(n[some].astype(np.int64)), pa.array(body, pa.binary())], names=["doc_id", "part", "n_tokens", "tokens"])
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                ids = pc.fill_null(part.column("ids"), pa.scalar([], part.column("ids").type))
+                ends = np.concatenate([[0], np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False))]).astype(np.int64)
+                bodies, parts, n = pack(part.column("doc_id"), ends, ids.flatten().to_numpy(zero_copy_only=False), length, end_id)
+                if bodies:
+                    yield pa.RecordBatch.from_arrays([parts, pa.array(n, pa.int64()), pa.array([squeeze(b) for b in bodies], pa.binary())], names=["parts", "n_tokens", "body"])
 
     return run
 
@@ -93,7 +118,7 @@ def _slotted(first, n: int, key: int):
         for batch in batches:
             start = np.array([first.value[p] for p in batch.column("piece").to_pylist()], np.int64)
             slot = slots(start + batch.column("place").to_numpy() - 1, n, key) if batch.num_rows else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "part", "n_tokens", "tokens")], pa.array(slot)], names=["doc_id", "part", "n_tokens", "tokens", "slot"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("parts", "n_tokens", "body")], pa.array(slot)], names=["parts", "n_tokens", "body", "slot"])
 
     return run
 
@@ -108,39 +133,42 @@ def _writer(folder: str, length: int, per_shard: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pyarrow.fs.FileSystem.from_uri(folder)
-        name, out, at, digest = None, None, 0, None
+        name, out, at = None, None, 0
+        token = hashlib.sha256(os.urandom(16)).hexdigest()[:12]
+        restore = zstandard.ZstdDecompressor().decompress
 
         def close():
             out.close()
             fs.move(f"{base}/{name}.{token}", f"{base}/{name}")  # a shard is there whole or not at all; a repeated task replaces it
 
-        token = hashlib.sha256(np.random.bytes(16)).hexdigest()[:12]
         for batch in batches:
-            shards, offsets = [], []
-            for slot, tokens in zip(batch.column("slot").to_pylist(), batch.column("tokens").to_pylist()):
+            shards, offsets, digests = [], [], []
+            for slot, body in zip(batch.column("slot").to_pylist(), batch.column("body").to_pylist()):
                 mine = f"shard-{slot // per_shard:08d}.bin"
                 if mine != name:
                     if out:
                         close()
                     name, at = mine, 0
                     out = fs.open_output_stream(f"{base}/{name}.{token}")
+                tokens = restore(body)
                 out.write(record(tokens, length))
                 shards.append(slot // per_shard)
                 offsets.append(at)
+                digests.append(hashlib.md5(tokens).hexdigest())
                 at += stride
-            digest = [hashlib.md5(t).hexdigest() for t in batch.column("tokens").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("slot"), pa.array(shards, pa.int64()), pa.array(offsets, pa.int64()), *[batch.column(c) for c in ("doc_id", "part", "n_tokens")], pa.array(digest, pa.string())], names=["slot", "shard", "offset", "doc_id", "part", "n_tokens", "tokens_md5"])
+            yield pa.RecordBatch.from_arrays([batch.column("slot"), pa.array(shards, pa.int64()), pa.array(offsets, pa.int64()), batch.column("n_tokens"), batch.column("parts"), pa.array(digests, pa.string())], names=["slot", "shard", "offset", "n_tokens", "parts", "tokens_md5"])
         if out:
             close()
 
     return run
 
 
-def materialise(coded: DataFrame, folder: str, key: int = 1, length: int = LENGTH, per_shard: int = PER_SHARD, work: Work | None = None) -> DataFrame:
-    """Writes shards of token ids to folder in a keyed random order and returns slot, shard, offset, doc_id, part, n_tokens, tokens_md5.
+def materialise(coded: DataFrame, folder: str, key: int = 1, length: int = LENGTH, per_shard: int = PER_SHARD, end_id: int = END_ID, work: Work | None = None) -> DataFrame:
+    """Writes shards of token ids to folder in a keyed random order and returns slot, shard, offset, n_tokens, parts, tokens_md5.
 
-    coded: doc_id and ids (16-bit token ids). Each row is cut into sequences of length ids, the last one shorter; a row without ids
-    or with null ids has none. Sequences are numbered in pieces of the input side by side, and the keyed Feistel permutation with
+    coded: doc_id and ids (16-bit token ids). Rows of a slice are laid one after another, an end mark after each, and cut into sequences of
+    length ids; the last one of a slice may be shorter, and parts tells which ids of which rows a sequence holds. Rows without ids or with
+    null ids have no part. Sequences are numbered in pieces of the input side by side, and the keyed Feistel permutation with
     cycle-walking turns the numbers 0 to n - 1 into slots 0 to n - 1. Range partitions of whole shards are sorted by slot and written as
     records of 2 * length + 2 bytes, so slot s is at (s mod per_shard) times the stride of shard s // per_shard, and a reader resumes
     at any slot. A shard appears under its name only when it is whole, so lost and repeated tasks do no harm. Null doc_ids stay; repeated
@@ -148,20 +176,19 @@ def materialise(coded: DataFrame, folder: str, key: int = 1, length: int = LENGT
     """
     spark = coded.sparkSession
     work = work or Work(spark)
-    cut = coded.mapInArrow(_cut(length), "doc_id long, part long, n_tokens long, tokens binary")
+    cut = coded.mapInArrow(_cut(length, end_id), SEQUENCE)
     held = work.table(cut.withColumn("piece", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) + 1), "sequences")
     counts = sorted((r[0], r[1]) for r in held.groupBy("piece").agg(F.count("*")).collect())  # one row for each input partition
     first, n = {}, 0
     for piece, count in counts:
         first[piece] = n
         n += count
-    placed = held.mapInArrow(_slotted(spark.sparkContext.broadcast(first), max(n, 1), key), "doc_id long, part long, n_tokens long, tokens binary, slot long")
-    shards = -(-n // per_shard) or 1
-    # whole shards to a task; a shard's number is the partition's, so the ranges are even whatever the keys
-    ranged = placed.withColumn("_shard", F.expr(f"slot div {per_shard}")).repartitionByRange(shards, "_shard").sortWithinPartitions("slot").drop("_shard")
+    placed = held.mapInArrow(_slotted(spark.sparkContext.broadcast(first), max(n, 1), key), f"{SEQUENCE}, slot bigint")
+    # whole shards to a task; slots are even whatever the rows are like
+    ranged = placed.withColumn("_shard", F.expr(f"slot div {per_shard}")).repartitionByRange(-(-n // per_shard) or 1, "_shard").sortWithinPartitions("slot").drop("_shard")
     fs, base = pyarrow.fs.FileSystem.from_uri(folder)
     fs.create_dir(base)
-    return ranged.mapInArrow(_writer(folder, length, per_shard), "slot long, shard long, offset long, doc_id long, part long, n_tokens long, tokens_md5 string")
+    return ranged.mapInArrow(_writer(folder, length, per_shard), "slot bigint, shard bigint, offset bigint, n_tokens bigint, parts array<struct<doc_id bigint, begin bigint, n bigint, at bigint>>, tokens_md5 string")
 
 
 def read(folder: str, slot: int, count: int, length: int = LENGTH, per_shard: int = PER_SHARD) -> Iterator[np.ndarray]:
