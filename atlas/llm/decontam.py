@@ -125,13 +125,13 @@ def longest(hits: list[tuple[int, int, int, int, int]]) -> dict[tuple[int, int],
     return out
 
 
-def _pass(broadcast, window: int, text: str, names: list[str], first: bool):
+def _pass(broadcast, window: int, names: list[str], first: bool):
     depth = window
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tests = Tests(broadcast.value, window)
-        for batch in text_slices(batches, text):
-            words = Words(batch.column(text))
+        for batch in text_slices(batches, "text"):
+            words = Words(batch.column("text"))
             hits = shard_matches(words, tests, depth)
             spans: list[list[list[int]]] = [[] for _ in range(batch.num_rows)]
             items: list[list[dict]] = [[] for _ in range(batch.num_rows)]
@@ -145,40 +145,39 @@ def _pass(broadcast, window: int, text: str, names: list[str], first: bool):
                 items[row].append({"item_id": tests.ids[item], "words": n, "doc_word": at, "item_word": place - int(np.searchsorted(tests.item, item) and tests.at[np.searchsorted(tests.item, item)])})
             counts = pa.array(np.diff(words.first), pa.int64())
             if not first:
-                spans = [a + b for a, b in zip(batch.column("_spans").to_pylist(), spans)]
-                items = [a + b for a, b in zip(batch.column("_items").to_pylist(), items)]
+                spans = [a + b for a, b in zip(batch.column("spans").to_pylist(), spans)]
+                items = [a + b for a, b in zip(batch.column("items").to_pylist(), items)]
             arrays = [batch.column(n) for n in names] + [counts, pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(items, pa.list_(pa.struct([("item_id", pa.string()), ("words", pa.int64()), ("doc_word", pa.int64()), ("item_word", pa.int64())])))]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*names, "_words", "_spans", "_items"])
+            yield pa.RecordBatch.from_arrays(arrays, names=[*names, "n_words", "spans", "items"])
 
     return run
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """docs with _words (how many), _spans (marked word ranges) and _items (items with their longest verbatim match and both places).
+    """doc (all columns of docs), n_words, spans (marked word ranges) and items (those found, with their longest verbatim match and both places).
 
     Words are runs of digits, letters and non-ASCII characters, A-Z lowered. A window is `window` consecutive words of an item, or a
     whole item of fewer words; an item without words has none. Each Python task keeps the suffix array of one slice of whole
     documents, so memory is bounded by the slice or the longest text. Documents are read once a pass and never shuffled; a pass holds
     TEST_BYTES of item text. Null texts have no words. Items with null text have none; null item ids count as "". Repeated items count once
-    by id. Empty tables are fine; other columns pass through.
+    by id. Empty tables are fine.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.coalesce(benchmark[item].cast("string"), F.lit("")).alias("i"), F.coalesce(benchmark[item_text], F.lit("")).alias("t"))
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     passes = -(-total // TEST_BYTES) or 1
-    out = docs
+    out = docs.select(F.struct(*docs.columns).alias("doc"), docs[text].alias("text"))
+    schema = T.StructType([*out.schema.fields, T.StructField("n_words", T.LongType()), *FOUND])
     for p in range(passes):
         mine = [(r[0], r[1]) for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(passes)) == p).collect()]
-        names = docs.columns
-        schema = T.StructType([*docs.schema.fields, T.StructField("_words", T.LongType()), *[T.StructField(f"_{f.name}", f.dataType) for f in FOUND]])
-        out = out.mapInArrow(_pass(spark.sparkContext.broadcast(mine), window, text, names, p == 0), schema)
-    return out
+        out = out.mapInArrow(_pass(spark.sparkContext.broadcast(mine), window, ["doc", "text"], p == 0), schema)
+    return out.drop("text")
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         hit, n_items, digest = [], [], []
-        for spans, items in zip(batch.column("_spans").to_pylist(), batch.column("_items").to_pylist()):
+        for spans, items in zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist()):
             end = total = 0
             for a, b in sorted(spans):
                 total += max(0, b - max(a, end))
@@ -187,18 +186,18 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hit.append(total)
             n_items.append(len(ids))
             digest.append(hashlib.sha256(",".join(ids).encode()).hexdigest())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_words"), pa.array(hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(digest, pa.string()), pa.array([h > 0 for h in hit], pa.bool_())], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), pa.array(hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(digest, pa.string()), pa.array([h > 0 for h in hit], pa.bool_())], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
 
 def report(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated; one row per row of docs. See matches()."""
     found = matches(docs.select(docs[key].alias("doc_id"), docs[text].alias("text")), benchmark, window=window)
-    return found.mapInArrow(_merged, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return found.select("doc.doc_id", "n_words", "spans", "items").mapInArrow(_merged, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
     """The rows of docs that hold no window of any item, with the columns of docs."""
-    return matches(docs, benchmark, text=text, window=window).where(F.size("_spans") == 0).select(*docs.columns)
+    return matches(docs, benchmark, text=text, window=window).where(F.size("spans") == 0).select("doc.*")
 
 
 ORACLE = r"""

@@ -326,11 +326,10 @@ def representatives(docs: DataFrame, text: str = "text", key: str = "doc_id", th
     work = Work(docs.sparkSession)
     found = _join(docs, text, key, threshold, n, recall)
     # of rows with the class's id, the smallest text stays; rows that repeat it are folded to one at the end
-    kept = work.table(found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("root").agg(F.first("class_id").alias("_id"), F.min("md").alias("_md"), F.count("*").alias("_n")), "kept")
-    digest = F.md5(F.coalesce(F.col(text), F.lit("")))
-    mine = docs.withColumn("_d", digest)
-    out = mine.join(kept, (mine["_d"] == kept["_md"]) & mine[key].cast("long").eqNullSafe(kept["_id"]))
-    once = out.where("_n = 1")
-    if not kept.where("_n > 1").isEmpty():
-        once = once.unionByName(out.where("_n > 1").dropDuplicates(["root"]))
-    return once.select(*docs.columns)
+    kept = work.table(found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("root").agg(F.first("class_id").alias("id"), F.min("md").alias("digest"), F.count("*").alias("n")), "kept")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.md5(F.coalesce(docs[text], F.lit(""))).alias("digest"), docs[key].cast("long").alias("doc"))
+    out = rows.join(kept, "digest").where(F.col("doc").eqNullSafe(F.col("id")))
+    once = out.where("n = 1")
+    if not kept.where("n > 1").isEmpty():
+        once = once.unionByName(out.where("n > 1").dropDuplicates(["root"]))
+    return once.select("row.*")

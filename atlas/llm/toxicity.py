@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Words, Work, mix64, text_slices
 
@@ -193,31 +194,29 @@ def _only(chosen: np.ndarray):
     return run
 
 
-def _scored(model, extra: list[str]):
+def _scored(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, "_text"):
-            score = model.value.scores(*features(batch.column("_text")), batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in extra], pa.array(score)], names=[*extra, "_score"])
+        for batch in text_slices(batches, "text"):
+            score = model.value.scores(*features(batch.column("text")), batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(score)], names=["doc", "score"])
 
     return run
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with _score, the probability of toxicity from the text alone. Null and empty texts get the score of no words. Texts are read whole;
-    repeated rows repeat their score; other columns pass through; an empty table gives no rows."""
-    from pyspark.sql import types as T
-
+    """doc (all columns of docs) and score, the probability of toxicity from the text alone. Null and empty texts get the score of no words. Texts are
+    read whole; repeated rows repeat their score; an empty table gives no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # WEIGHED features at most
-    schema = T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())])
-    return docs.withColumn("_text", docs[text]).mapInArrow(_scored(shared, docs.columns), schema)
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), docs[text].alias("text"))
+    return rows.mapInArrow(_scored(shared), T.StructType([rows.schema["doc"], T.StructField("score", T.DoubleType())]))
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted; one row per row of docs."""
     found = score(docs.select("doc_id", "text"), train(docs, labels))
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
+    return found.select("doc.doc_id", held_out(F.col("doc.doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that aren't predicted toxic, with the columns of docs."""
-    return score(docs, train(docs, labels)).where(F.col("_score") < 0.5).select(*docs.columns)
+    return score(docs, train(docs, labels)).where("score < 0.5").select("doc.*")
