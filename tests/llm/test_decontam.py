@@ -60,7 +60,7 @@ def test_longest_match_has_both_places(spark):
     docs = spark.createDataFrame([(1, "x y " + passage + " z")], "doc_id long, text string")
     bench = spark.createDataFrame([(9, "q " + passage + " r s")], "item_id long, text string")
     row = decontam.matches(docs, bench).first()
-    assert row._spans == [[2, 32]] and [tuple(x) for x in row._items] == [("9", 30, 2, 1)]
+    assert row.spans == [[2, 32]] and [tuple(x) for x in row.items] == [("9", 30, 2, 1)]
 
 
 def test_word_hashes_tell_words_apart():
