@@ -49,7 +49,7 @@ def test_word_probabilities_are_a_distribution():
     """All words over two letters of up to one byte, and everything longer, can't exceed one."""
     tables = np.random.default_rng(1).poisson(1.0, (2, mixing.OFFSETS[-1])).astype(np.float32)
     one = pa.array(["", *[bytes([b]).decode("latin1") for b in range(128) if b != 32]])
-    p = 10.0 ** mixing.word_scores(one, tables, mixing.Mixer())
+    p = 10.0 ** mixing.word_scores(one, *mixing.predictions(tables), mixing.Mixer())
     assert 0 < p.sum() < 1
 
 
