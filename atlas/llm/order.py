@@ -15,12 +15,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import Work, environment_path, text_slices
+from .common import Work, by_hash, environment_path, text_slices
 
 #: Token ids of a sequence, and sequences of a shard.
 LENGTH, PER_SHARD = 512, 8192
 #: The id after each document: the first one that the rank file leaves free.
 END_ID = 50256
+#: Sequences travel compressed with a shared dictionary of so many bytes, made from at most so many sampled rows; it changes no result.
+DICTIONARY, SAMPLE, LEVEL = 112_640, 2000, 6
 ROUNDS = 4
 
 
@@ -86,7 +88,8 @@ def pack(keys: pa.Array, ends: np.ndarray, flat: np.ndarray, length: int, end_id
     start = np.cumsum(size[full] + 1) - (size[full] + 1)
     total = int(start[-1] + size[full][-1] + 1)
     stream = np.full(total, end_id, "<u2")
-    stream[np.repeat(start - ends[full], size[full]) + np.concatenate([np.arange(ends[k], ends[k + 1]) for k in full])] = flat[: ends[-1]] if len(full) == len(size) else np.concatenate([flat[ends[k] : ends[k + 1]] for k in full])
+    ids = np.arange(ends[-1])  # rows without ids take no place
+    stream[ids + np.repeat(np.arange(len(full)), size[full])] = flat[: ends[-1]]
     cuts = np.unique(np.concatenate([start, np.arange(0, total, length)]))
     until = np.append(cuts[1:], total)
     which, sequence = np.searchsorted(start, cuts, "right") - 1, cuts // length
@@ -96,9 +99,22 @@ def pack(keys: pa.Array, ends: np.ndarray, flat: np.ndarray, length: int, end_id
     return [stream[k * length : (k + 1) * length].tobytes() for k in range(n)], pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), parts), np.minimum(length, total - np.arange(n) * length)
 
 
-def _cut(length: int, end_id: int):
+def dictionary(sample: DataFrame, length: int) -> bytes:
+    """A zstd dictionary for sequences like those of the sample's ids; empty if there are too few of them."""
+    found = [np.array(r[0], "<u2") for r in sample.select("ids").collect() if r[0]]
+    parts = [x[k : k + length].tobytes() for x in found for k in range(0, len(x), length)]
+    if len(parts) < 200:
+        return b""
+    return zstandard.train_dictionary(DICTIONARY, parts).as_bytes()
+
+
+def _zstd(held: bytes) -> dict:
+    return {"dict_data": zstandard.ZstdCompressionDict(held)} if held else {}
+
+
+def _cut(length: int, end_id: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=3).compress  # while they travel
+        squeeze = zstandard.ZstdCompressor(level=LEVEL, **_zstd(shared.value)).compress
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
@@ -128,14 +144,14 @@ def record(tokens: bytes, length: int) -> bytes:
     return (len(tokens) // 2).to_bytes(2, "little") + tokens + bytes(2 * length - len(tokens))
 
 
-def _writer(folder: str, length: int, per_shard: int):
+def _writer(folder: str, length: int, per_shard: int, shared):
     stride = 2 * length + 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pyarrow.fs.FileSystem.from_uri(folder)
         name, out, at = None, None, 0
         token = hashlib.sha256(os.urandom(16)).hexdigest()[:12]
-        restore = zstandard.ZstdDecompressor().decompress
+        restore = zstandard.ZstdDecompressor(**_zstd(shared.value)).decompress
 
         def close():
             out.close()
@@ -163,10 +179,10 @@ def _writer(folder: str, length: int, per_shard: int):
     return run
 
 
-def materialise(coded: DataFrame, folder: str, key: int = 1, length: int = LENGTH, per_shard: int = PER_SHARD, end_id: int = END_ID, work: Work | None = None) -> DataFrame:
+def materialise(coded: DataFrame, folder: str, key: int = 1, length: int = LENGTH, per_shard: int = PER_SHARD, end_id: int = END_ID, sample: DataFrame | None = None, work: Work | None = None) -> DataFrame:
     """Writes shards of token ids to folder in a keyed random order and returns slot, shard, offset, n_tokens, parts, tokens_md5.
 
-    coded: doc_id and ids (16-bit token ids). Rows of a slice are laid one after another, an end mark after each, and cut into sequences of
+    coded: doc_id and ids (16-bit token ids); sample: a few rows like them, from which a dictionary for compression is made. Rows of a slice are laid one after another, an end mark after each, and cut into sequences of
     length ids; the last one of a slice may be shorter, and parts tells which ids of which rows a sequence holds. Rows without ids or with
     null ids have no part. Sequences are numbered in pieces of the input side by side, and the keyed Feistel permutation with
     cycle-walking turns the numbers 0 to n - 1 into slots 0 to n - 1. Range partitions of whole shards are sorted by slot and written as
@@ -176,7 +192,8 @@ def materialise(coded: DataFrame, folder: str, key: int = 1, length: int = LENGT
     """
     spark = coded.sparkSession
     work = work or Work(spark)
-    cut = coded.mapInArrow(_cut(length, end_id), SEQUENCE)
+    shared = spark.sparkContext.broadcast(dictionary(sample, length) if sample is not None else b"")
+    cut = coded.mapInArrow(_cut(length, end_id, shared), SEQUENCE)
     held = work.table(cut.withColumn("piece", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) + 1), "sequences")
     counts = sorted((r[0], r[1]) for r in held.groupBy("piece").agg(F.count("*")).collect())  # one row for each input partition
     first, n = {}, 0
@@ -188,7 +205,7 @@ def materialise(coded: DataFrame, folder: str, key: int = 1, length: int = LENGT
     ranged = placed.withColumn("_shard", F.expr(f"slot div {per_shard}")).repartitionByRange(-(-n // per_shard) or 1, "_shard").sortWithinPartitions("slot").drop("_shard")
     fs, base = pyarrow.fs.FileSystem.from_uri(folder)
     fs.create_dir(base)
-    return ranged.mapInArrow(_writer(folder, length, per_shard), "slot bigint, shard bigint, offset bigint, n_tokens bigint, parts array<struct<doc_id bigint, begin bigint, n bigint, at bigint>>, tokens_md5 string")
+    return ranged.mapInArrow(_writer(folder, length, per_shard, shared), "slot bigint, shard bigint, offset bigint, n_tokens bigint, parts array<struct<doc_id bigint, begin bigint, n bigint, at bigint>>, tokens_md5 string")
 
 
 def read(folder: str, slot: int, count: int, length: int = LENGTH, per_shard: int = PER_SHARD) -> Iterator[np.ndarray]:
@@ -230,4 +247,6 @@ def tokenised(docs: DataFrame, text: str = "text", key: str = "doc_id", path: st
 def materialise_documents(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Tokenises documents and materialises them below the session's shared folder; see materialise()."""
     work = Work(docs.sparkSession)
-    return materialise(tokenised(docs, text, key), work.path("shards"), work=work)
+    rows = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text"))
+    sample = by_hash(rows.where(F.length("text") < 1 << 16), "doc_id", SAMPLE)
+    return materialise(tokenised(rows), work.path("shards"), sample=tokenised(sample), work=work)
