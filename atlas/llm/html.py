@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import by_hash
+
 # Elements without content, elements whose content is no text, elements that begin and end blocks, and what ends an open one.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = "script|style|noscript|template|textarea|title|svg|math|iframe|object|select|canvas|noframes|xmp"
@@ -299,6 +301,6 @@ def extract(pages: DataFrame, html: str = "html", key: str = "page_id", url: str
     """
     spark = pages.sparkSession
     body = pages[html]
-    sample = [r[0] for r in pages.where(body.isNotNull() & (F.length(body) < 1 << 20)).select(body.alias("h")).distinct().select("h", F.xxhash64("h").alias("o")).orderBy("o", "h").limit(PAGES).collect()]
+    sample = [r[0] for r in by_hash(pages.where(body.isNotNull() & (F.length(body) < 1 << 20)).select(body.alias("page")), "page", PAGES).collect()]
     model = spark.sparkContext.broadcast(train(sample))
     return pages.select(pages[key].cast("long").alias("page_id"), pages[url].cast("string").alias("url"), body.alias("html")).mapInArrow(_extract(model), "page_id long, url string, text string, n_chars long")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, Work, mix64, text_slices
+from .common import Words, Work, by_hash, mix64, text_slices
 
 #: Hashed features, and how many of them a classifier weighs. Features are words, and their beginnings of so many bytes
 #: where so many different words of the text share them, since words of one stem differ in their endings.
@@ -166,10 +166,9 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     said = labels.where(labels[key].isNotNull() & labels[label].isNotNull() & ~held_out(labels[key])).groupBy(labels[key].cast("long").alias("doc_id")).agg(F.max(labels[label]).cast("int").alias("toxic"))
     counts = said.agg(F.count("*"), F.sum("toxic")).first()
     prior = min(max((counts[1] or 0) / max(1, counts[0]), 1e-4), 0.5)
-    order = [F.xxhash64("doc_id"), "doc_id"]
     texts = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text"))
-    confirmed = said.where("toxic > 0").orderBy(*order).limit(POSITIVE).select("doc_id", F.lit(1).alias("toxic"))
-    others = texts.where(~held_out(F.col("doc_id"))).select("doc_id").distinct().orderBy(*order).limit(UNLABELLED).select("doc_id", F.lit(0).alias("toxic"))
+    confirmed = by_hash(said.where("toxic > 0").select("doc_id"), "doc_id", POSITIVE).select("doc_id", F.lit(1).alias("toxic"))
+    others = by_hash(texts.where(~held_out(F.col("doc_id"))).select("doc_id"), "doc_id", UNLABELLED).select("doc_id", F.lit(0).alias("toxic"))
     rows = texts.join(F.broadcast(confirmed.unionByName(others)), "doc_id")
     work = Work(docs.sparkSession)
     seen = work.table(rows.mapInArrow(_training, "doc_id long, toxic int, features array<int>"), "training")
