@@ -70,20 +70,23 @@ class Work:
             remove(self.spark, t._work_path)
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cuts batches between rows so that each holds about limit bytes of the column. Null texts become empty."""
+def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES, within: str | None = None, rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Cuts batches between rows so that each holds about limit bytes of the column, which is taken out of the struct column `within` if
+    one is named. Null texts become empty. Few rows are copied at once, and what was copied is given back before the next batch."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        at = batch.schema.get_field_index(column)
-        text = pc.fill_null(batch.column(at).cast(pa.large_string()), "")
-        batch = batch.set_column(at, column, text)
-        ends = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
-        row = 0
-        while row < len(text):
-            to = max(row + 1, int(np.searchsorted(ends, ends[row] + limit, "right")) - 1)
-            yield batch.slice(row, to - row)
-            row = to
+        for first in range(0, batch.num_rows, rows):
+            some = batch.slice(first, rows)
+            text = pc.struct_field(some.column(within), column) if within else some.column(column)
+            text = pc.fill_null(text.cast(pa.large_string()), "")
+            at = some.schema.get_field_index(column)
+            some = some.append_column(column, text) if within else some.set_column(at, column, text)
+            ends = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+            row = 0
+            while row < len(text):
+                to = max(row + 1, int(np.searchsorted(ends, ends[row] + limit, "right")) - 1)
+                yield some.slice(row, to - row)
+                row = to
+        pa.default_memory_pool().release_unused()
 
 
 def text_bytes(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:

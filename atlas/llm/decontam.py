@@ -31,7 +31,7 @@ class Tests:
         self.hash, self.left = words.hash, left[begins]
         self.at, self.need, self.item = begins, need[begins], row[begins]
         self.text = [words.joined(int(b), int(k)) for b, k in zip(begins, self.need)]
-        self.ids = [i for i, _ in items]
+        self.ids, self.first = [i for i, _ in items], words.first
 
 
 class SuffixArray:
@@ -125,13 +125,13 @@ def longest(hits: list[tuple[int, int, int, int, int]]) -> dict[tuple[int, int],
     return out
 
 
-def _pass(broadcast, window: int, names: list[str], first: bool):
+def _pass(broadcast, window: int, text: str, first: bool):
     depth = window
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tests = Tests(broadcast.value, window)
-        for batch in text_slices(batches, "text"):
-            words = Words(batch.column("text"))
+        for batch in text_slices(batches, text, within="doc"):
+            words = Words(batch.column(text))
             hits = shard_matches(words, tests, depth)
             spans: list[list[list[int]]] = [[] for _ in range(batch.num_rows)]
             items: list[list[dict]] = [[] for _ in range(batch.num_rows)]
@@ -142,13 +142,13 @@ def _pass(broadcast, window: int, names: list[str], first: bool):
                 else:
                     mine.append([at, at + need])
             for (row, item), (n, at, place) in longest(hits).items():
-                items[row].append({"item_id": tests.ids[item], "words": n, "doc_word": at, "item_word": place - int(np.searchsorted(tests.item, item) and tests.at[np.searchsorted(tests.item, item)])})
+                items[row].append({"item_id": tests.ids[item], "words": n, "doc_word": at, "item_word": place - int(tests.first[item])})
             counts = pa.array(np.diff(words.first), pa.int64())
             if not first:
                 spans = [a + b for a, b in zip(batch.column("spans").to_pylist(), spans)]
                 items = [a + b for a, b in zip(batch.column("items").to_pylist(), items)]
-            arrays = [batch.column(n) for n in names] + [counts, pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(items, pa.list_(pa.struct([("item_id", pa.string()), ("words", pa.int64()), ("doc_word", pa.int64()), ("item_word", pa.int64())])))]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*names, "n_words", "spans", "items"])
+            arrays = [batch.column("doc"), counts, pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(items, pa.list_(pa.struct([("item_id", pa.string()), ("words", pa.int64()), ("doc_word", pa.int64()), ("item_word", pa.int64())])))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc", "n_words", "spans", "items"])
 
     return run
 
@@ -166,12 +166,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str
     items = benchmark.select(F.coalesce(benchmark[item].cast("string"), F.lit("")).alias("i"), F.coalesce(benchmark[item_text], F.lit("")).alias("t"))
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     passes = -(-total // TEST_BYTES) or 1
-    out = docs.select(F.struct(*docs.columns).alias("doc"), docs[text].alias("text"))
+    out = docs.select(F.struct(*docs.columns).alias("doc"))
     schema = T.StructType([*out.schema.fields, T.StructField("n_words", T.LongType()), *FOUND])
     for p in range(passes):
         mine = [(r[0], r[1]) for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(passes)) == p).collect()]
-        out = out.mapInArrow(_pass(spark.sparkContext.broadcast(mine), window, ["doc", "text"], p == 0), schema)
-    return out.drop("text")
+        out = out.mapInArrow(_pass(spark.sparkContext.broadcast(mine), window, text, p == 0), schema)
+    return out
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -193,10 +193,10 @@ def _only(chosen: np.ndarray):
     return run
 
 
-def _scored(model):
+def _scored(model, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, "text"):
-            score = model.value.scores(*features(batch.column("text")), batch.num_rows)
+        for batch in text_slices(batches, text, within="doc"):
+            score = model.value.scores(*features(batch.column(text)), batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(score)], names=["doc", "score"])
 
     return run
@@ -206,8 +206,8 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """doc (all columns of docs) and score, the probability of toxicity from the text alone. Null and empty texts get the score of no words. Texts are
     read whole; repeated rows repeat their score; an empty table gives no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # WEIGHED features at most
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), docs[text].alias("text"))
-    return rows.mapInArrow(_scored(shared), T.StructType([rows.schema["doc"], T.StructField("score", T.DoubleType())]))
+    rows = docs.select(F.struct(*docs.columns).alias("doc"))
+    return rows.mapInArrow(_scored(shared, text), T.StructType([rows.schema["doc"], T.StructField("score", T.DoubleType())]))
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
