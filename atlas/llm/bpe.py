@@ -31,8 +31,8 @@ BLOCK_BYTES = 8 << 20
 AHEAD_BYTES, AHEAD_WORDS = 64 << 20, 400_000
 #: Words of more bytes are merged with a heap in the last step: a fold needs the square of a word's length.
 FOLD_BYTES = 128
-#: An entry of the rank map that belongs to no pair.
-EMPTY = 1 << 33
+#: More than any merged id and place: no pair of a word is left.
+NONE = 1 << 48
 
 
 @functools.cache
@@ -74,14 +74,15 @@ def rank_map(path: str) -> tuple[str, str]:
         row = np.zeros(columns[-1] // 8 + 1, np.uint8)
         np.bitwise_or.at(row, right[g] // 8, (1 << (right[g] % 8)).astype(np.uint8))
         taken |= int.from_bytes(row.tobytes(), "little") << at
-    entry = np.full(int(begin.max()) + ids, EMPTY, np.int64)
-    entry[begin[left] + right] = left << 16 | merged
-    return ",".join(map(str, begin.tolist())), ",".join(map(str, entry.tolist()))
+    entry = [""] * (int(begin.max()) + ids)
+    for at, value in zip((begin[left] + right).tolist(), (left << 16 | merged).tolist()):
+        entry[at] = str(value)
+    return ",".join(map(str, begin.tolist())), ",".join(entry)
 
 
 def _numbers(text: str) -> Column:
-    """A literal array: the optimiser folds it once."""
-    return F.split(F.lit(text), ",").cast("array<bigint>")
+    """A literal array, with nulls where the text has nothing: the optimiser folds it once."""
+    return F.split(F.lit(text), ",", -1).try_cast("array<bigint>")
 
 
 def fold(word: Column, path: str) -> Column:
@@ -96,7 +97,7 @@ def fold(word: Column, path: str) -> Column:
     begin, entry = _numbers(begins), _numbers(entries)
 
     def look_up(ids: Column) -> Column:
-        """merged id * 65536 + position of each pair; the last one is null."""
+        """merged id * 65536 + position of each pair; null or large where the two make no token, and at the end."""
         return F.transform(ids, lambda a, i: F.shiftleft(F.get(entry, F.get(begin, a) + F.get(ids, i + 1)).bitwiseXOR(F.shiftleft(a, 16)), 16).bitwiseOR(i))
 
     def merge(ids: Column, low: Column) -> Column:
@@ -106,7 +107,7 @@ def fold(word: Column, path: str) -> Column:
     def step(state: Column, _: Column) -> Column:
         ids, low = state["ids"], state["low"]
         return (
-            F.when(low.isNull(), F.struct(ids.alias("ids"), F.coalesce(F.array_min(look_up(ids)), F.lit(EMPTY << 16)).alias("low")))
+            F.when(low.isNull(), F.struct(ids.alias("ids"), F.coalesce(F.array_min(look_up(ids)), F.lit(NONE)).alias("low")))
             .when(low >= 1 << 32, state)
             .otherwise(F.struct(merge(ids, low).alias("ids"), F.lit(None).cast("bigint").alias("low")))
         )
