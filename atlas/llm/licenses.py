@@ -58,23 +58,32 @@ RULES = [
     ("Unlicense", ["unlicense-domain"], "reference"),
 ]
 
-#: Where a sentence ends: a full stop, question or exclamation mark, semicolon or colon before white space or the end, and a blank line or a line that starts anew.
-BREAK = r"[.!?;:]+(?=\s|$)|\n"
-#: Everything that isn't a letter or digit parts the words of a sentence.
-GAP = r"[^a-z0-9]+"
+#: A full stop, question or exclamation mark before white space or the end always ends a sentence, as a blank line does. One after "v" before a
+#: number, a semicolon, a colon and a single line break may stand within a sentence too: notices are wrapped, and "free software: you can" is one sentence.
+STRONG, WEAK, VERSION = r"(?<![.!?;:])[;:]*+[.!?][.!?;:]*+(?=\s|$)", r"(?<![.!?;:])[;:]++(?=\s|$)", r"(?<![a-z0-9])v\.(?=\s+[0-9])"
 
 
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def marked(text: Column) -> Column:
+    """Words with one space between them, " | " where a sentence must end and " / " where it may. Every pattern reads a text in linear time."""
+    out = ascii_lower(F.coalesce(text, F.lit("")))  # no A-Z from here on, so that S, W and N can mark what ends a sentence, what may, and lines
+    for pattern, mark in ((VERSION, "vW"), (STRONG, "S"), (WEAK, "W")):
+        out = F.regexp_replace(out, pattern, mark)
+    out = F.translate(out, "\n", "N")
+    for pattern, mark in ((r"[^a-z0-9SWN]++", " "), (r"N[ W]*+N", "S"), (r"(?<![ WN])[ WN]*+S[ SWN]*+", " | "), (r" ?[WN][ WN]*+", " / ")):
+        out = F.regexp_replace(out, pattern, mark)
+    return F.concat(F.lit("| "), F.trim(out), F.lit(" |"))
+
+
 def sentence_ids(text: Column, sentences: dict[str, str]) -> Column:
-    """Identifiers of the known sentences of a text, in order. Others are left out."""
+    """Identifiers of the known sentences of a text, in order; of two that begin together the longer. Others are left out."""
     known = F.create_map(*[F.lit(x) for kv in sentences.items() for x in kv])
-    plain = F.transform(F.split(ascii_lower(F.coalesce(text, F.lit(""))), BREAK, -1), lambda s: F.trim(F.regexp_replace(s, GAP, " ")))
-    longest, shortest = max(map(len, sentences)), min(map(len, sentences))
-    near = F.filter(plain, lambda s: F.length(s).between(shortest, longest))
-    return F.filter(F.transform(near, lambda s: F.element_at(known, s)), lambda x: x.isNotNull())
+    any_of = "|".join(s.replace(" ", "(?: /)? ") for s in sorted(sentences, key=len, reverse=True))
+    found = F.regexp_extract_all(marked(text), F.lit(rf"(?<=[|/] )(?:{any_of})(?= [|/])"), F.lit(0))
+    return F.transform(found, lambda s: F.element_at(known, F.replace(s, F.lit(" / "), F.lit(" "))))
 
 
 def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", sentences: dict[str, str] = SENTENCES, rules: list = RULES) -> DataFrame:

@@ -218,6 +218,34 @@ def test_licences(spark, odd, empty):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+WRAPPED = {
+    "MIT": 'MIT License\n\nCopyright (c) 2020 A. Name\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,\nFITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE\nAUTHORS BE LIABLE.',
+    "BSD-3-Clause": "Copyright 2020. All rights reserved.\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.\n\n3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.\n",
+    "Apache-2.0": '# Licensed under the Apache License, Version 2.0 (the "License");\n# you may not use this file except in compliance with the License.\n# You may obtain a copy of the License at\n#\n#     http://www.apache.org/licenses/LICENSE-2.0\n#\n# Unless required by applicable law or agreed to in writing, software\n# distributed under the License is distributed on an "AS IS" BASIS,\n# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.\n# See the License for the specific language.',
+    "GPL-3.0-or-later": "    This program is free software: you can redistribute it and/or modify\r\n    it under the terms of the GNU General Public License as published by\r\n    the Free Software Foundation, either version 3 of the License, or\r\n    (at your option) any later version.\r\n\r\n    This program is distributed in the hope that it will be useful,\r\n    but WITHOUT ANY WARRANTY; without even the implied warranty of\r\n    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\r\n    GNU General Public License for more details.\r\n\r\n    You should have received a copy of the GNU General Public License\r\n    along with this program.  If not, see <https://www.gnu.org/licenses/>.",
+    "GPL-2.0-or-later": "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or\n(at your option) any later version.\n\nThis program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\nGNU General Public License for more details.\n\nYou should have received a copy of the GNU General Public License along\nwith this program; if not, write to the Free Software Foundation, Inc.",
+    "GPL-3.0-only": "This work is licensed under the GNU General\nPublic License, version 3.",
+    "CC-BY-NC-4.0": "Licensed under\nCC BY-NC 4.0.",
+    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International\nLicense.",
+    "CC-BY-SA-4.0": "Licensed under CC\nBY-SA 4.0",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "Unlicense": "This is free and unencumbered software released into the\npublic domain.",
+}
+SHORT = {"Apache-2.0": "Licensed under the Apache License,\nVersion 2.0.", "MIT": "Released under\nthe MIT License.", "CC-BY-4.0": "Licensed under\nCC BY 4.0."}
+
+
+def test_licences_in_wrapped_notices(spark):
+    bsd2 = WRAPPED["BSD-3-Clause"].split("3. Neither")[0]
+    texts = [*WRAPPED.items(), *SHORT.items(), ("BSD-2-Clause", bsd2), (None, "Released under\n\nthe MIT License."), (None, "Released under. The MIT License"), (None, "He released under\nthe MIT License"), (None, ";\n" * 50_000 + "." * 100_000 + "\n" * 100_000)]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")).collect()}
+    assert [got[i].license for i in range(len(texts))] == [name for name, _ in texts]
+    kinds = {name: got[i].kind for i, (name, _) in enumerate(WRAPPED.items())}
+    assert [n for n, k in kinds.items() if k != "reference"] == ["MIT", "BSD-3-Clause", "Apache-2.0", "GPL-3.0-or-later", "GPL-2.0-or-later"]
+    every = {i for r in got.values() for i in r.sentence_ids.split(",")}
+    assert every - {""} == set(licenses.SENTENCES.values())
+
+
 # --- pages
 
 
