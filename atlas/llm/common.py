@@ -172,12 +172,11 @@ class Words:
 
 
 def by_hash(rows: DataFrame, column: str, n: int) -> DataFrame:
-    """At most n different rows, those with the smallest hash of a column. Rows that can't be among them go before anything is sorted
-    or sent: of N rows a hash below about n / N is enough, with a margin of ten standard deviations."""
-    total = max(1, rows.count())
-    cut = int(min(1.0, (n + 10 * n**0.5 + 10) / total) * (1 << 40))
-    hashed = rows.withColumn("_hash", F.pmod(F.xxhash64(column), F.lit(1 << 40))).where(F.col("_hash") < cut)
-    return hashed.distinct().orderBy("_hash", column).limit(n).drop("_hash")
+    """At most n different rows, those with the smallest hash of a column. The n-th smallest of the different hashes, which are sorted
+    alone, bounds what is sent: at least n different rows have a hash up to it, so rows beyond can't be among them, however often rows repeat."""
+    hashed = rows.withColumn("_hash", F.pmod(F.xxhash64(column), F.lit(1 << 40)))
+    last = hashed.select("_hash").distinct().orderBy("_hash").limit(n).agg(F.max("_hash")).first()[0]
+    return hashed.where(F.col("_hash") <= F.lit(-1 if last is None else last)).distinct().orderBy("_hash", column).limit(n).drop("_hash")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from atlas.llm import html, licenses, mixing, order, queries, sharding, topk, toxicity
-from atlas.llm.common import Work
+from atlas.llm.common import Work, by_hash
 from tests.llm.conftest import crc
 
 # --- language model
@@ -262,6 +262,16 @@ def test_pages_against_their_articles(spark, sf_dir):
     assert sum(got[i].text == t for i, t in want.items()) >= 0.99 * len(want)
 
 
+@pytest.mark.parametrize("copies", [1, 2, 400])
+def test_samples_of_repeated_rows(spark, copies):
+    """The sample depends on which rows there are, not on how often each stands there."""
+    rows = spark.range(300).select(F.concat(F.lit("page "), "id").alias("page"))
+    want = sorted((h, p) for p, h in rows.select("page", F.pmod(F.xxhash64("page"), F.lit(1 << 40))).collect())[:240]
+    got = by_hash(rows.join(spark.range(copies).select(F.col("id").alias("copy"))).select("page"), "page", 240).collect()
+    assert sorted(r.page for r in got) == sorted(p for _, p in want)
+    assert by_hash(rows.limit(5), "page", 240).count() == 5 and by_hash(rows.limit(0), "page", 240).count() == 0
+
+
 def test_odd_pages(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     long = "<article>" + "<p>Some words of a paragraph &amp; more.</p>" * 3000 + "</article>"
