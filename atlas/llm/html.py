@@ -24,7 +24,8 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 REST = set("nav menu navbar navigation header masthead footer aside sidebar ad ads advert advertisement promo sponsored banner cookie cookies consent notice alert form comments comment reply disqus breadcrumb breadcrumbs share social related newsletter popup modal widget button dialog".split())
 MAIN = set("article main content post entry story".split())
 
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>", re.S | re.I)
+# An svg or math element may close itself; a raw element's name is whole, so that <object-list> is none.
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?:svg|math)(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+(?<=/)>|<(?P<raw>{RAW})(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>", re.S | re.I)
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 WORD = re.compile(r"[a-z]+")
 
@@ -106,7 +107,7 @@ def features(page: list[Leaf]) -> np.ndarray:
     """One row a block: hashed tag path, hashed words, sizes."""
     out = np.zeros((len(page), INPUTS), np.float32)
     for i, leaf in enumerate(page):
-        for element in leaf.path[-12:]:
+        for element in leaf.path:
             for name in element:
                 out[i, zlib.crc32(name.encode()) % (PATH - 64)] = 1
         for element in leaf.path[-1:]:

@@ -272,6 +272,19 @@ def test_samples_of_repeated_rows(spark, copies):
     assert by_hash(rows.limit(5), "page", 240).count() == 5 and by_hash(rows.limit(0), "page", 240).count() == 0
 
 
+def test_outer_names_of_deep_blocks():
+    deep = lambda outer: html.features(html.leaves(f"<body><{outer}>" + "<div>" * 14 + "Some words." + "</div>" * 14))
+    assert (deep("article") != deep("aside class='sidebar'")).any()
+
+
+def test_raw_elements_end():
+    """Self-closed svg and math have no content, and elements whose names only begin like raw ones keep their text."""
+    text = lambda page: " ".join(x.text for x in html.leaves(page))
+    assert text("<p>a <svg viewBox='0 > 1' /> b</p><p>c <math/> d</p>") == "a b c d"
+    assert text("<object-list><p>a</p></object-list><select-box>b</select-box> c") == "a b c"
+    assert text("<p>a</p><svg><path/><text>no</text></svg><script/>no</script><SVG\nid=x>no</SVG><title>no</title>b") == "a b"
+
+
 def test_odd_pages(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     long = "<article>" + "<p>Some words of a paragraph &amp; more.</p>" * 3000 + "</article>"
