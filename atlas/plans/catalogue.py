@@ -114,7 +114,7 @@ SELECT doc_id, start_line::INT start_line, end_line::INT end_line, md5(content)
 """)
 def chunk_ranges(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content")).withColumn("n", F.size(chunk.lines(F.col("content"))))
-    whole = d.where("n > 0").select("doc_id", "content", F.lit(1).alias("start_line"), F.least("n", F.lit(150)).alias("end_line"))
+    whole = d.where("n > 0").select("doc_id", "content", F.lit(1).alias("start_line"), F.col("n").alias("end_line"))
     some = d.where("n >= 5").select("doc_id", "content", F.lit(3).alias("start_line"), F.lit(5).alias("end_line"))
     return chunk.ranges(whole.unionByName(some)).select("doc_id", "start_line", "end_line", F.md5("content").alias("content_md5"))
 

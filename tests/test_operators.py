@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from atlas.operators import chunk, embed, graph, link, search, tables
-from atlas.plans import answer
+from atlas.plans import answer, catalogue
 
 
 def windows(n):
@@ -40,6 +40,13 @@ def test_ranges_keep_lines_of_the_file(spark):
     assert strict == [1, 51, 101]
 
 
+def test_whole_ranges_reach_the_last_line(spark, tmp_path):
+    rows = [(n, "\n".join(f"l{i}" for i in range(n))) for n in (100, 150, 151, 1200)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = catalogue.queries()["chunk_ranges"](spark, str(tmp_path)).where("end_line > 5").orderBy("doc_id", "start_line").collect()
+    assert [(r.doc_id, r.start_line, r.end_line) for r in found] == [(n, *w) for n, _ in rows for w in ([(1, n)] if n <= 120 else windows(n))]
+
+
 def test_headings(spark):
     text = "intro\n# a\nx\n```\n# b\n```\n# c\n# d"
     got = [r.content for r in chunk.headings(spark.createDataFrame([(text,)], "content string")).orderBy("section").collect()]
