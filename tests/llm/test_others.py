@@ -45,6 +45,18 @@ def test_scores_on_held_out_texts(spark, sf_dir):
     assert sum(r.score for r in held) / sum(r.n_tokens for r in held) > -5
 
 
+def test_blocks_of_later_slices():
+    """Rows beyond the first slice of a batch keep their words."""
+    texts = [f"Word{i} AND{i % 7}" for i in range(10_000)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(10_000)), "text": texts, "held_out": [False] * 10_000})
+    found = []
+    for b in mixing._blocks(iter([batch])):
+        vocabulary, at = b.column("vocab")[0].values.to_pylist(), np.frombuffer(b.column("at")[0].as_py(), np.int32)
+        assert b.column("counts")[0].values.to_pylist() == [2] * len(b.column("keys")[0].values)
+        found += [vocabulary[i] for i in at]
+    assert found == " ".join(texts).lower().split()
+
+
 def test_word_probabilities_are_a_distribution():
     """All words over two letters of up to one byte, and everything longer, can't exceed one."""
     tables = np.random.default_rng(1).poisson(1.0, (2, mixing.OFFSETS[-1])).astype(np.float32)
