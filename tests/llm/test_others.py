@@ -57,6 +57,21 @@ def test_blocks_of_later_slices():
     assert found == " ".join(texts).lower().split()
 
 
+def test_every_training_word_trains(spark):
+    tables = spark.sparkContext.broadcast(np.zeros((2, mixing.OFFSETS[-1]), np.float32))
+    words = spark.range(500).select(F.concat(F.lit("w"), "id").alias("word"), F.lit(2).cast("long").alias("c")).repartition(3)
+    assert mixing.fitted(words, tables)[1] == 500
+    mixer, n = mixing.fitted(words.limit(0), tables)
+    assert n == 0 and (mixer.weights == mixing.Mixer().weights).all()
+
+
+def test_bits_per_byte(spark):
+    texts = ["ab  Cde", " é ", "", None, "x" * 300]
+    got = {r.doc_id: r for r in mixing.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, size in enumerate([3 + 4 + 1, 3 + 1, 1, 1, 302]):
+        assert got[i].bits_per_byte == pytest.approx(-got[i].score * math.log2(10) / size)
+
+
 def test_word_probabilities_are_a_distribution():
     """All words over two letters of up to one byte, and everything longer, can't exceed one."""
     tables = np.random.default_rng(1).poisson(1.0, (2, mixing.OFFSETS[-1])).astype(np.float32)
