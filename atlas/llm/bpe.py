@@ -22,11 +22,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import environment_path
+from .common import environment_path, give_back, text_bytes, text_slices
 
 RANKS = "byte_bpe_50k.tiktoken"
-#: Bytes of words that make one block.
-BLOCK_BYTES = 8 << 20
+#: Bytes of marked words that make one block at most.
+BLOCK_BYTES = 12 << 20
+#: Ends each word on its way to Python: U+FFFF, which is never a character.
+MARK = b"\xef\xbf\xbf"
 #: Bytes of text that are sampled for words to fold ahead, and how many words at most; both bound what is broadcast.
 AHEAD_BYTES, AHEAD_WORDS = 64 << 20, 400_000
 #: Words of more bytes are merged with a heap in the last step: a fold needs the square of a word's length.
@@ -59,7 +61,7 @@ def rank_map(path: str) -> tuple[str, str]:
     """
     left, right, merged = merges(path)
     ids = max(ranks(path).values(), default=0) + 1
-    if ids > 1 << 16:
+    if ids > 65535:
         raise ValueError("ids need more than 16 bits")
     order = np.lexsort((right, left))
     ends = np.append(np.flatnonzero(np.diff(left[order], prepend=-1)), len(order))
@@ -74,15 +76,17 @@ def rank_map(path: str) -> tuple[str, str]:
         row = np.zeros(columns[-1] // 8 + 1, np.uint8)
         np.bitwise_or.at(row, right[g] // 8, (1 << (right[g] % 8)).astype(np.uint8))
         taken |= int.from_bytes(row.tobytes(), "little") << at
-    entry = [""] * (int(begin.max()) + ids)
+    # a place without an entry must match no left id: 0 does only for id 0, whose own row is filled with an upper half that no id has
+    entry = ["0"] * (int(begin.max()) + ids)
+    entry[begin[0] : begin[0] + ids] = [str(65535 << 16)] * ids
     for at, value in zip((begin[left] + right).tolist(), (left << 16 | merged).tolist()):
         entry[at] = str(value)
     return ",".join(map(str, begin.tolist())), ",".join(entry)
 
 
 def _numbers(text: str) -> Column:
-    """A literal array, with nulls where the text has nothing: the optimiser folds it once."""
-    return F.split(F.lit(text), ",", -1).try_cast("array<bigint>")
+    """A literal array, which the optimiser folds. Every item is a number: a failed cast makes an exception each, which costs seconds and memory."""
+    return F.split(F.lit(text), ",", -1).cast("array<bigint>")
 
 
 def fold(word: Column, path: str) -> Column:
@@ -97,7 +101,7 @@ def fold(word: Column, path: str) -> Column:
     begin, entry = _numbers(begins), _numbers(entries)
 
     def look_up(ids: Column) -> Column:
-        """merged id * 65536 + position of each pair; null or large where the two make no token, and at the end."""
+        """merged id * 65536 + position of each pair; large where the two make no token, null at the end."""
         return F.transform(ids, lambda a, i: F.shiftleft(F.get(entry, F.get(begin, a) + F.get(ids, i + 1)).bitwiseXOR(F.shiftleft(a, 16)), 16).bitwiseOR(i))
 
     def merge(ids: Column, low: Column) -> Column:
@@ -149,8 +153,8 @@ def merge_long(word: bytes, known: dict[bytes, int]) -> list[int]:
 
 
 def _java(pattern: str) -> str:
-    """The split pattern for Java, whose \\s is ASCII unless told otherwise."""
-    return f"(?U){pattern}"
+    """The split pattern for Java, whose \\s is ASCII unless told otherwise. The endings after an apostrophe are tried at one."""
+    return "(?U)" + pattern.replace("'s|'t|'re|'ve|'m|'ll|'d|", "'(?:[stmd]|re|ve|ll)|")
 
 
 def one(values: pa.Array) -> pa.Array:
@@ -188,41 +192,53 @@ def bodies(path: str):
     return lambda ids: b"".join([piece[x] for x in ids])
 
 
+def _words(batch: pa.RecordBatch, split) -> tuple[pa.Array, np.ndarray]:
+    """The words of a slice's rows, one after another, and how many each row has. MARK ends each word; rows that Java can't split are split here."""
+    data, ends = text_bytes(batch.column("cut"))
+    mark = np.flatnonzero((data[:-2] == MARK[0]) & (data[1:-1] == MARK[1]) & (data[2:] == MARK[2])) if len(data) > 2 else np.zeros(0, np.int64)
+    keep = np.ones(len(data), bool)
+    for k in range(3):
+        keep[mark + k] = False
+    offsets = np.concatenate([[0], mark - 3 * np.arange(len(mark))]).astype(np.int32)
+    flat = pa.Array.from_buffers(pa.binary(), len(mark), [None, pa.py_buffer(offsets), pa.py_buffer(data[keep])])
+    counts = np.diff(np.searchsorted(mark, ends))
+    rare = batch.column("text")
+    if rare.null_count < len(rare):
+        own = {i: split.findall(rare[i].as_py()) for i in np.flatnonzero(rare.is_valid().to_numpy(zero_copy_only=False))}
+        at, parts = np.concatenate([[0], np.cumsum(counts)]), []
+        last = 0
+        for i, words in own.items():
+            parts += [flat.slice(last, at[i] - last), pa.array([w.encode() for w in words], pa.binary())]
+            last, counts[i] = at[i], len(words)
+        flat = pa.concat_arrays([*parts, flat.slice(last)])
+    return flat, counts
+
+
 def _blocks(pattern: str, ahead):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        split, known = regex.compile(pattern), ahead.value.words
-        for batch in batches:
-            words, texts = batch.column("words").cast(pa.list_(pa.string())), batch.column("text")
-            if texts.null_count < len(texts):  # characters that Java doesn't know yet
-                words = pa.array([w if t is None else split.findall(t) for w, t in zip(words.to_pylist(), texts.to_pylist())], pa.list_(pa.string()))
-            flat, counts = words.flatten(), pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            ends = np.concatenate([[0], np.cumsum(counts)])
-            size = (np.frombuffer(flat.buffers()[1], np.int32)[flat.offset :][ends] if len(flat) else np.zeros(len(ends), np.int32)).astype(np.int64)
-            row = 0
-            while row < batch.num_rows:
-                to = max(row + 1, int(np.searchsorted(size, size[row] + BLOCK_BYTES, "right")) - 1)
-                coded = flat.slice(ends[row], ends[to] - ends[row]).dictionary_encode()
-                vocab = coded.dictionary.cast(pa.large_binary())
-                code = pc.fill_null(pc.index_in(vocab, value_set=known), -1).to_numpy(zero_copy_only=False)
-                rest = vocab.filter(pa.array(code < 0)).cast(pa.binary())
-                offsets = pa.Array.from_buffers(pa.int32(), len(rest) + 1, [None, rest.buffers()[1]])
-                data = rest.buffers()[2]
-                inner = pa.ListArray.from_arrays(offsets, pa.Array.from_buffers(pa.int8(), data.size if data else 0, [None, data or pa.py_buffer(b"")]))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        one(batch.column("key").slice(row, to - row)),
-                        one(pa.array(counts[row:to].astype(np.int32))),
-                        pa.array([coded.indices.to_numpy(zero_copy_only=False).astype(np.int32).tobytes()], pa.binary()),
-                        pa.array([code.astype(np.int32).tobytes()], pa.binary()),
-                        one(inner),
-                    ],
-                    names=["keys", "counts", "at", "code", "vocab"],
-                )
-                row = to
-            del batch, words, texts, flat
-            pa.default_memory_pool().release_unused()
+        split, known = regex.compile(pattern), ahead.value.words.cast(pa.binary())
+        for batch in text_slices(batches, "cut", BLOCK_BYTES, rows=4096):
+            flat, counts = _words(batch, split)
+            coded = flat.dictionary_encode()
+            vocab = coded.dictionary
+            code = pc.fill_null(pc.index_in(vocab, value_set=known), -1).to_numpy(zero_copy_only=False)
+            rest = pa.concat_arrays([vocab.filter(pa.array(code < 0))])
+            offsets = pa.Array.from_buffers(pa.int32(), len(rest) + 1, [None, rest.buffers()[1]], offset=rest.offset)
+            data = rest.buffers()[2]
+            inner = pa.ListArray.from_arrays(offsets, pa.Array.from_buffers(pa.int8(), data.size if data else 0, [None, data or pa.py_buffer(b"")]))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    one(batch.column("key")),
+                    one(pa.array(counts.astype(np.int32))),
+                    pa.array([coded.indices.to_numpy(zero_copy_only=False).astype(np.int32).tobytes()], pa.binary()),
+                    pa.array([code.astype(np.int32).tobytes()], pa.binary()),
+                    one(inner),
+                ],
+                names=["keys", "counts", "at", "code", "vocab"],
+            )
+            del batch, flat, coded, vocab, rest, inner  # before the next slice comes
 
     return run
 
@@ -250,8 +266,9 @@ def blocks(docs: DataFrame, ahead, text: str, key: str, pattern: str) -> DataFra
     """One row a block: keys, counts (words of each document), at (32-bit positions of the words among the distinct ones), code (for each
     distinct word its place among those folded ahead, or -1) and vocab (the distinct words of code -1, as byte arrays)."""
     body = F.coalesce(docs[text], F.lit(""))
-    rare = body.rlike(r"\p{Cn}")
-    rows = docs.select(docs[key].cast("bigint").alias("key"), F.when(rare, F.array().cast("array<string>")).otherwise(F.regexp_extract_all(body, F.lit(_java(pattern)), F.lit(0))).alias("words"), F.when(rare, body).alias("text"))
+    rare = body.rlike(r"\p{Cn}")  # characters that Java doesn't know yet; MARK is one of them, so no other text holds it
+    cut = F.regexp_replace(body, F.lit(_java(pattern)), F.lit(f"$0{MARK.decode()}"))
+    rows = docs.select(docs[key].cast("bigint").alias("key"), F.when(~rare, cut).alias("cut"), F.when(rare, body).alias("text"))
     return rows.mapInArrow(_blocks(pattern, ahead), "keys array<bigint>, counts array<int>, at binary, code binary, vocab array<array<tinyint>>")
 
 
@@ -323,6 +340,9 @@ def _emit(path: str, ahead, digest: bool):
                 else:
                     ids = pa.ListArray.from_arrays(pa.array(block.tokens, pa.int32()), pa.array(block.token_ids(), pa.int32()))
                     yield pa.RecordBatch.from_arrays([block.keys, ids], names=["doc_id", "ids"])
+                del block
+            del batch
+            give_back()
 
     return run
 

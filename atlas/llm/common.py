@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import os
 import tempfile
 import uuid
@@ -70,6 +72,22 @@ class Work:
             remove(self.spark, t._work_path)
 
 
+@functools.cache
+def _trim():
+    """glibc's malloc_trim, or None where the C library has none."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):
+        return None
+
+
+def give_back() -> None:
+    """Returns memory that this process no longer uses: workers are kept between tasks, and an executor holds several."""
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES, within: str | None = None, rows: int = 1024) -> Iterator[pa.RecordBatch]:
     """Cuts batches between rows so that each holds about limit bytes of the column, which is taken out of the struct column `within` if
     one is named. Null texts become empty. Few rows are copied at once, and what was copied is given back before the next batch."""
@@ -86,7 +104,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
                 to = max(row + 1, int(np.searchsorted(ends, ends[row] + limit, "right")) - 1)
                 yield some.slice(row, to - row)
                 row = to
-        pa.default_memory_pool().release_unused()
+        give_back()
 
 
 def text_bytes(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:

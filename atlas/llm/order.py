@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import os
 from collections.abc import Iterator
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import Work, by_hash, environment_path, text_slices
+from .common import Work, by_hash, environment_path, give_back, text_slices
 
 #: Token ids of a sequence, and sequences of a shard.
 LENGTH, PER_SHARD = 512, 8192
@@ -79,29 +80,46 @@ PARTS = pa.list_(pa.struct([("doc_id", pa.int64()), ("begin", pa.int64()), ("n",
 SEQUENCE = "parts array<struct<doc_id bigint, begin bigint, n bigint, at bigint>>, n_tokens bigint, body binary"
 
 
-def pack(keys: pa.Array, ends: np.ndarray, flat: np.ndarray, length: int, end_id: int) -> tuple[list[bytes], pa.Array, np.ndarray]:
-    """Sequences of length ids: documents one after another, an end mark after each; the last one may be shorter. Documents without ids are left out."""
-    size = np.diff(ends)
-    full = np.flatnonzero(size > 0)
-    if not len(full):
-        return [], pa.array([], PARTS), np.zeros(0, np.int64)
-    start = np.cumsum(size[full] + 1) - (size[full] + 1)
-    total = int(start[-1] + size[full][-1] + 1)
-    stream = np.full(total, end_id, "<u2")
-    ids = np.arange(ends[-1])  # rows without ids take no place
-    stream[ids + np.repeat(np.arange(len(full)), size[full])] = flat[: ends[-1]]
-    cuts = np.unique(np.concatenate([start, np.arange(0, total, length)]))
-    until = np.append(cuts[1:], total)
-    which, sequence = np.searchsorted(start, cuts, "right") - 1, cuts // length
-    n = -(-total // length)
-    parts = pa.StructArray.from_arrays([keys.take(pa.array(full[which])).cast(pa.int64()), pa.array(cuts - start[which]), pa.array(until - cuts), pa.array(cuts - sequence * length)], names=["doc_id", "begin", "n", "at"])
-    offsets = np.searchsorted(sequence, np.arange(n + 1))
-    return [stream[k * length : (k + 1) * length].tobytes() for k in range(n)], pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), parts), np.minimum(length, total - np.arange(n) * length)
-
-
-def dictionary(sample: DataFrame, length: int) -> bytes:
-    """A zstd dictionary for sequences like those of the sample's ids; empty if there are too few of them."""
-    found = [np.array(r[0], "<u2") for r in sample.select("ids").collect() if r[0]]
+class Packer:
+    """Lays documents one after another, an end mark after each, and cuts them into sequences of length ids. What is left of one slice begins
+    the next one's first sequence, so only the last sequence of a task may be shorter. Documents without ids are left out."""
+
+    def __init__(self, length: int, end_id: int):
+        self.length, self.end_id = length, end_id
+        self.ids, self.parts = np.zeros(0, "<u2"), pa.array([], PARTS.value_type)
+
+    def add(self, keys: pa.Array, ends: np.ndarray, flat: np.ndarray) -> tuple[list[bytes], pa.Array]:
+        """Whole sequences and the parts of each, once the documents with ids flat[ends[i]:ends[i + 1]] have come."""
+        size = np.diff(ends)
+        full = np.flatnonzero(size > 0)
+        if not len(full):
+            return self._cut(self.ids, self.parts, np.zeros(len(self.parts), np.int64), 0)
+        held = len(self.ids)
+        start = np.cumsum(size[full] + 1) - (size[full] + 1) + held
+        total = int(start[-1] + size[full][-1] + 1)
+        stream = np.full(total, self.end_id, "<u2")
+        stream[:held] = self.ids
+        stream[np.arange(ends[-1]) + np.repeat(np.arange(len(full)), size[full]) + held] = flat[: ends[-1]]
+        cuts = np.unique(np.concatenate([start, np.arange(0, total, self.length)]))
+        cuts = cuts[cuts >= held]
+        until = np.append(cuts[1:], total)
+        which, sequence = np.searchsorted(start, cuts, "right") - 1, cuts // self.length
+        mine = pa.StructArray.from_arrays([keys.take(pa.array(full[which])).cast(pa.int64()), pa.array(cuts - start[which]), pa.array(until - cuts), pa.array(cuts - sequence * self.length)], fields=list(PARTS.value_type))
+        return self._cut(stream, pa.concat_arrays([self.parts, mine]), np.concatenate([np.zeros(len(self.parts), np.int64), sequence]), total // self.length)
+
+    def _cut(self, stream: np.ndarray, parts: pa.Array, sequence: np.ndarray, n: int) -> tuple[list[bytes], pa.Array]:
+        offsets = np.searchsorted(sequence, np.arange(n + 1))
+        self.ids, self.parts = stream[n * self.length :].copy(), pa.concat_arrays([parts.slice(offsets[-1])])
+        return [stream[k * self.length : (k + 1) * self.length].tobytes() for k in range(n)], pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), parts)
+
+    def rest(self) -> tuple[list[bytes], pa.Array]:
+        """The last, shorter sequence, if there is one."""
+        n = int(len(self.ids) > 0)
+        return [self.ids.tobytes()] * n, pa.ListArray.from_arrays(pa.array([0, len(self.parts)][: n + 1], pa.int32()), self.parts)
+
+
+def dictionary(found: list[np.ndarray], length: int) -> bytes:
+    """A zstd dictionary for sequences like those of the ids found; empty if there are too few of them."""
     parts = [x[k : k + length].tobytes() for x in found for k in range(0, len(x), length)]
     if len(parts) < 200:
         return b""
@@ -112,19 +130,41 @@ def _zstd(held: bytes) -> dict:
     return {"dict_data": zstandard.ZstdCompressionDict(held)} if held else {}
 
 
+def _sequences(found, length: int, end_id: int, shared) -> Iterator[pa.RecordBatch]:
+    """Compressed sequences of (keys, ends, flat ids)."""
+    squeeze = zstandard.ZstdCompressor(level=LEVEL, **_zstd(shared.value)).compress
+    packer = Packer(length, end_id)
+
+    def rows(bodies: list[bytes], parts: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([parts, pa.array([len(b) // 2 for b in bodies], pa.int64()), pa.array([squeeze(b) for b in bodies], pa.binary())], names=["parts", "n_tokens", "body"])
+
+    for some in found:
+        yield rows(*packer.add(*some))
+    yield rows(*packer.rest())
+
+
 def _cut(length: int, end_id: int, shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=LEVEL, **_zstd(shared.value)).compress
+    def lists(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 ids = pc.fill_null(part.column("ids"), pa.scalar([], part.column("ids").type))
                 ends = np.concatenate([[0], np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False))]).astype(np.int64)
-                bodies, parts, n = pack(part.column("doc_id"), ends, ids.flatten().to_numpy(zero_copy_only=False), length, end_id)
-                if bodies:
-                    yield pa.RecordBatch.from_arrays([parts, pa.array(n, pa.int64()), pa.array([squeeze(b) for b in bodies], pa.binary())], names=["parts", "n_tokens", "body"])
+                yield part.column("doc_id"), ends, ids.flatten().to_numpy(zero_copy_only=False)
+            give_back()
+
+    return lambda batches: _sequences(lists(batches), length, end_id, shared)
 
-    return run
+
+def _cut_texts(path: str, pattern: str, length: int, end_id: int, shared):
+    """_cut() of texts, tokenised on the way: one Python worker a task instead of two."""
+
+    def lists(batches: Iterator[pa.RecordBatch]):
+        encode = _encoding(path, pattern).encode_ordinary
+        for batch in text_slices(batches, "text"):
+            yield batch.column("doc_id"), *_flat(encode, batch.column("text"))
+
+    return lambda batches: _sequences(lists(batches), length, end_id, shared)
 
 
 def _slotted(first, n: int, key: int):
@@ -144,6 +184,20 @@ def record(tokens: bytes, length: int) -> bytes:
     return (len(tokens) // 2).to_bytes(2, "little") + tokens + bytes(2 * length - len(tokens))
 
 
+def commit(fs: pyarrow.fs.FileSystem, made: str, name: str) -> None:
+    """Gives a whole shard its name. A repeated task has made the same bytes, so a shard that is there already stays, and file systems that
+    refuse to move onto a file (HDFS) are no harm."""
+    there = lambda: fs.get_file_info(name).type == pyarrow.fs.FileType.File
+    if not there():
+        try:
+            fs.move(made, name)
+            return
+        except OSError:
+            if not there():
+                raise
+    fs.delete_file(made)
+
+
 def _writer(folder: str, length: int, per_shard: int, shared):
     stride = 2 * length + 2
 
@@ -155,45 +209,53 @@ def _writer(folder: str, length: int, per_shard: int, shared):
 
         def close():
             out.close()
-            fs.move(f"{base}/{name}.{token}", f"{base}/{name}")  # a shard is there whole or not at all; a repeated task replaces it
-
-        for batch in batches:
-            shards, offsets, digests = [], [], []
-            for slot, body in zip(batch.column("slot").to_pylist(), batch.column("body").to_pylist()):
-                mine = f"shard-{slot // per_shard:08d}.bin"
-                if mine != name:
-                    if out:
-                        close()
-                    name, at = mine, 0
-                    out = fs.open_output_stream(f"{base}/{name}.{token}")
-                tokens = restore(body)
-                out.write(record(tokens, length))
-                shards.append(slot // per_shard)
-                offsets.append(at)
-                digests.append(hashlib.md5(tokens).hexdigest())
-                at += stride
-            yield pa.RecordBatch.from_arrays([batch.column("slot"), pa.array(shards, pa.int64()), pa.array(offsets, pa.int64()), batch.column("n_tokens"), batch.column("parts"), pa.array(digests, pa.string())], names=["slot", "shard", "offset", "n_tokens", "parts", "tokens_md5"])
+            commit(fs, f"{base}/{name}.{token}", f"{base}/{name}")
+
+        for whole in batches:
+            for first in range(0, whole.num_rows, 1024):
+                batch = whole.slice(first, 1024)
+                shards, offsets, digests = [], [], []
+                for slot, body in zip(batch.column("slot").to_pylist(), batch.column("body")):
+                    mine = f"shard-{slot // per_shard:08d}.bin"
+                    if mine != name:
+                        if out:
+                            close()
+                        name, at = mine, 0
+                        out = fs.open_output_stream(f"{base}/{name}.{token}")
+                    tokens = restore(body.as_buffer())
+                    out.write(record(tokens, length))
+                    shards.append(slot // per_shard)
+                    offsets.append(at)
+                    digests.append(hashlib.md5(tokens).hexdigest())
+                    at += stride
+                yield pa.RecordBatch.from_arrays([batch.column("slot"), pa.array(shards, pa.int64()), pa.array(offsets, pa.int64()), batch.column("n_tokens"), batch.column("parts"), pa.array(digests, pa.string())], names=["slot", "shard", "offset", "n_tokens", "parts", "tokens_md5"])
+            del whole, batch
+            give_back()
         if out:
             close()
 
     return run
 
 
-def materialise(coded: DataFrame, folder: str, key: int = 1, length: int = LENGTH, per_shard: int = PER_SHARD, end_id: int = END_ID, sample: DataFrame | None = None, work: Work | None = None) -> DataFrame:
+def materialise(coded: DataFrame, folder: str, key: int = 1, length: int = LENGTH, per_shard: int = PER_SHARD, end_id: int = END_ID, work: Work | None = None) -> DataFrame:
     """Writes shards of token ids to folder in a keyed random order and returns slot, shard, offset, n_tokens, parts, tokens_md5.
 
-    coded: doc_id and ids (16-bit token ids); sample: a few rows like them, from which a dictionary for compression is made. Rows of a slice are laid one after another, an end mark after each, and cut into sequences of
-    length ids; the last one of a slice may be shorter, and parts tells which ids of which rows a sequence holds. Rows without ids or with
-    null ids have no part. Sequences are numbered in pieces of the input side by side, and the keyed Feistel permutation with
-    cycle-walking turns the numbers 0 to n - 1 into slots 0 to n - 1. Range partitions of whole shards are sorted by slot and written as
-    records of 2 * length + 2 bytes, so slot s is at (s mod per_shard) times the stride of shard s // per_shard, and a reader resumes
-    at any slot. A shard appears under its name only when it is whole, so lost and repeated tasks do no harm. Null doc_ids stay; repeated
-    rows are written each; an empty table writes no shard.
+    coded: doc_id and ids (16-bit token ids). The rows of an input partition are laid one after another, an end mark after each, and cut
+    into sequences of length ids; only the last one of a partition may be shorter, and parts tells which ids of which rows a sequence
+    holds, so one very long row fills many sequences. Rows without ids or with null ids have no part. Sequences are numbered in
+    pieces of the input side by side, and the keyed Feistel permutation with cycle-walking turns the numbers 0 to n - 1 into slots 0 to n - 1.
+    Range partitions of whole shards are sorted by slot and written as records of 2 * length + 2 bytes, so slot s is at (s mod per_shard)
+    times the stride of shard s // per_shard, and a reader resumes at any slot. A shard appears under its name only when it is whole, so
+    lost and repeated tasks do no harm; the folder must hold no shards yet. Null doc_ids stay; repeated rows are written each; other
+    columns, whatever their names, are left out; an empty table writes no shard.
     """
-    spark = coded.sparkSession
-    work = work or Work(spark)
-    shared = spark.sparkContext.broadcast(dictionary(sample, length) if sample is not None else b"")
-    cut = coded.mapInArrow(_cut(length, end_id, shared), SEQUENCE)
+    shared = coded.sparkSession.sparkContext.broadcast(b"")
+    cut = coded.select("doc_id", "ids").mapInArrow(_cut(length, end_id, shared), SEQUENCE)
+    return _shards(cut, folder, key, length, per_shard, shared, work or Work(coded.sparkSession))
+
+
+def _shards(cut: DataFrame, folder: str, key: int, length: int, per_shard: int, shared, work: Work) -> DataFrame:
+    spark = cut.sparkSession
     held = work.table(cut.withColumn("piece", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) + 1), "sequences")
     counts = sorted((r[0], r[1]) for r in held.groupBy("piece").agg(F.count("*")).collect())  # one row for each input partition
     first, n = {}, 0
@@ -205,6 +267,8 @@ def materialise(coded: DataFrame, folder: str, key: int = 1, length: int = LENGT
     ranged = placed.withColumn("_shard", F.expr(f"slot div {per_shard}")).repartitionByRange(-(-n // per_shard) or 1, "_shard").sortWithinPartitions("slot").drop("_shard")
     fs, base = pyarrow.fs.FileSystem.from_uri(folder)
     fs.create_dir(base)
+    if any(f.base_name.startswith("shard-") for f in fs.get_file_info(pyarrow.fs.FileSelector(base))):
+        raise ValueError(f"{folder} holds shards already")
     return ranged.mapInArrow(_writer(folder, length, per_shard, shared), "slot bigint, shard bigint, offset bigint, n_tokens bigint, parts array<struct<doc_id bigint, begin bigint, n bigint, at bigint>>, tokens_md5 string")
 
 
@@ -226,27 +290,37 @@ def read(folder: str, slot: int, count: int, length: int = LENGTH, per_shard: in
                 return
 
 
-def tokenised(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str | None = None) -> DataFrame:
-    """doc_id and ids of each text by the tiktoken library with a public rank file; null texts have none."""
-    import public_tokenizers
+@functools.cache
+def _encoding(path: str, pattern: str):
+    """The tiktoken library's encoder; a worker makes it once."""
+    import tiktoken
 
-    path, pattern = path or environment_path(bpe.RANKS), public_tokenizers.PATTERN
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=bpe.ranks(path), special_tokens={})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import tiktoken
 
-        encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=bpe.ranks(path), special_tokens={}).encode_ordinary
-        for batch in text_slices(batches, "text"):
-            ids = [np.array(encode(t), np.int32) for t in batch.column("text").to_pylist()]
-            ends = np.cumsum([0, *map(len, ids)])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids)))], names=["doc_id", "ids"])
+def _flat(encode, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where the ids of each text begin and the last ones end, and all ids."""
+    ids = [np.array(encode(t), np.int32) for t in texts.to_pylist()]
+    return np.cumsum([0, *map(len, ids)]), np.concatenate(ids)
+
 
-    return docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+def sampled_dictionary(rows: DataFrame, path: str, pattern: str, length: int = LENGTH) -> bytes:
+    """dictionary() of the sequences of at most SAMPLE texts."""
+    encode = _encoding(path, pattern).encode_ordinary
+    texts = [r[0] for r in by_hash(rows.where(F.length("text") < 1 << 16), "doc_id", SAMPLE).select("text").collect()]
+    return dictionary([np.array(encode(t), "<u2") for t in texts if t], length)
 
 
-def materialise_documents(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Tokenises documents and materialises them below the session's shared folder; see materialise()."""
-    work = Work(docs.sparkSession)
+def materialise_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str | None = None) -> DataFrame:
+    """Tokenises documents by the tiktoken library with a public rank file and materialises them below the session's shared folder; see
+    materialise(). Null and empty texts have no part. Sequences travel compressed with a dictionary made from SAMPLE texts at most, which
+    changes no result."""
+    import public_tokenizers
+
+    path, pattern = path or environment_path(bpe.RANKS), public_tokenizers.PATTERN
+    spark = docs.sparkSession
+    work = Work(spark)
     rows = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text"))
-    sample = by_hash(rows.where(F.length("text") < 1 << 16), "doc_id", SAMPLE)
-    return materialise(tokenised(rows), work.path("shards"), sample=tokenised(sample), work=work)
+    shared = spark.sparkContext.broadcast(sampled_dictionary(rows, path, pattern))
+    cut = rows.mapInArrow(_cut_texts(path, pattern, LENGTH, END_ID, shared), SEQUENCE)
+    return _shards(cut, work.path("shards"), 1, LENGTH, PER_SHARD, shared, work)

@@ -131,6 +131,41 @@ def test_order_of_odd_rows(spark, odd, empty, odd_rows):
     assert order.materialise_documents(empty).count() == 0
 
 
+def test_packing_goes_on_from_slice_to_slice():
+    """Sequences of slices equal those of all documents at once, each full but the last one."""
+    ids = [list(range(i * 50, i * 50 + n)) for i, n in enumerate([3, 0, 8, 1, 25, 7, 0, 16, 2])]
+    for cuts in ([0, 9], [0, 1, 2, 3, 4, 5, 6, 7, 8, 9], [0, 2, 4, 9], [0, 7, 9]):
+        packer, bodies, parts = order.Packer(8, order.END_ID), [], []
+        for a, b in zip(cuts, cuts[1:]):
+            some = ids[a:b]
+            got = packer.add(pa.array(range(a, b)), np.cumsum([0, *map(len, some)]), np.array([x for t in some for x in t], np.int32))
+            bodies, parts = bodies + got[0], parts + got[1].to_pylist()
+        got = packer.rest()
+        bodies, parts = bodies + got[0], parts + got[1].to_pylist()
+        stream = [x for t in ids if t for x in [*t, order.END_ID]]
+        assert [np.frombuffer(b, "<u2").tolist() for b in bodies] == [stream[k : k + 8] for k in range(0, len(stream), 8)]
+        for body, part in zip(bodies, parts):
+            assert [x for p in part for x in [*ids[p["doc_id"]], order.END_ID][p["begin"] : p["begin"] + p["n"]]] == np.frombuffer(body, "<u2").tolist()
+            assert [p["at"] for p in part] == np.cumsum([0, *[p["n"] for p in part]])[:-1].tolist()
+
+
+def test_repeated_tasks_commit_once(tmp_path):
+    import pyarrow.fs
+
+    fs = pyarrow.fs.LocalFileSystem()
+    for made in ("a", "b"):
+        (tmp_path / made).write_bytes(b"same")
+        order.commit(fs, f"{tmp_path}/{made}", f"{tmp_path}/shard")
+    assert [f.name for f in tmp_path.iterdir()] == ["shard"]
+
+
+def test_shards_are_not_mixed(spark, tmp_path):
+    rows = spark.createDataFrame([(1, [1, 2, 3])], "doc_id long, ids array<int>")
+    order.materialise(rows, f"file://{tmp_path}/s", length=8, per_shard=4).collect()
+    with pytest.raises(ValueError):
+        order.materialise(rows, f"file://{tmp_path}/s", length=8, per_shard=4)
+
+
 # --- toxicity
 
 
