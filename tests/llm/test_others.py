@@ -80,11 +80,73 @@ def test_word_probabilities_are_a_distribution():
     assert 0 < p.sum() < 1
 
 
-def test_own_share_and_weights():
-    at, ends = np.array([0, 1, 0, 0, 2, 2], np.int32), np.array([0, 4, 4, 6])
-    assert mixing.own_share(at, ends).tolist() == [0, 0, 0.5, 2 / 3, 0, 1.0]
-    p, last = mixing.refined(np.ones((3, 6)) * 0.5, ends)
-    assert np.allclose(p, 0.5) and np.allclose(last.sum(axis=0), 1)
+def test_earlier_and_segments():
+    before, every = mixing.earlier(np.array([4, 7, 4, 4, 7, 1]))
+    assert before.tolist() == [0, 0, 1, 2, 1, 0] and every.tolist() == [3, 2, 3, 3, 2, 1]
+    words_ = pa.array([f"w{i}" for i in range(50)])
+    h = mixing.hashed(words_)
+    assert len(set(h.tolist())) == 50 and mixing.hashed(words_.take(pa.array([7]))).tolist() == [h[7]]
+    text = np.random.default_rng(1).integers(0, 50, 3000)
+    twice, ends = np.concatenate([text, [3], text[5:], []]).astype(int), np.array([0, 3000, 3001, 3001, 5996])
+    starts, before, own = mixing.segments(h[twice], ends)
+    assert {0, 3000, 3001} <= set(starts.tolist()) and 50 < len(starts) < 400
+    assert (before[np.isin(starts, [0, 3000, 3001])] == 0).all()
+    assert len(set(own[starts < 3000].tolist()) - set(own[starts > 3000].tolist())) <= 2  # the same places are found again
+
+
+def test_bits_equal_a_single_stream():
+    """Many texts side by side are told as each alone, bit by bit."""
+    rng = np.random.default_rng(2)
+    texts, n, gates = 4, 400, 3
+    counts = rng.integers(0, 50, (2, 2, 12)).astype(float)
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(3), np.arange(4), indexing="ij"))
+    bits = mixing.Bits([a, a * 4 + b], a, counts)
+    g, c, value, text = rng.integers(0, gates, n), rng.integers(0, 4, n), rng.integers(0, 2, n), np.sort(rng.integers(0, texts, n))
+    place = np.concatenate([np.arange(k) for k in np.bincount(text, minlength=texts)])
+    got = bits.follow([g, g * 4 + c], g, value, text, place, texts)
+    for t in range(texts):
+        own, shift, misses, seen = np.zeros((2, gates)), np.zeros(3), [], []
+        for k, i in enumerate(np.flatnonzero(text == t)):
+            if k >= mixing.FIRST and (k // mixing.FIRST) & (k // mixing.FIRST - 1) == 0 and k % mixing.FIRST == 0:  # places 16, 32, 64 and so on
+                shift = np.clip(shift + mixing.RATE * np.sum(misses, axis=0) / len(misses), -1, 1)
+                for gate, v in seen:
+                    own[v, gate] += 1
+                misses, seen = [], []
+            inputs = np.array([bits.tables[0][g[i]], bits.tables[1][g[i] * 4 + c[i]], math.log((own[1, g[i]] + 0.4) / (own[0, g[i]] + 0.4))])
+            x = float(((bits.weights[g[i]] + shift) * inputs).sum())
+            p = 1 / (1 + math.exp(-x))
+            fine = (p + bits.map[round((min(max(x, -8), 8) + 8) * (mixing.MAP_STEPS - 1) / 16)]) / 2
+            assert got[i] == pytest.approx(math.log10(fine if value[i] else 1 - fine), abs=1e-4)
+            misses.append((value[i] - p) * inputs)
+            seen.append((g[i], value[i]))
+
+
+def test_scores_for_any_partitions(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 300")
+    one, many = ({r.doc_id: r for r in mixing.score(docs.repartition(k, "doc_id")).collect()} for k in (1, 8))
+    assert len(one) == 300
+    for i, r in one.items():
+        assert many[i].score == pytest.approx(r.score, rel=1e-5) and many[i].n_followed == r.n_followed
+
+
+def test_copies_are_followed(spark):
+    """A text that stands elsewhere in the training texts costs far fewer bits; one that stands once isn't helped by itself."""
+    r = np.random.default_rng(4)
+    vocabulary = ["".join(r.choice(list("abcdefghij"), 6)) for _ in range(3000)]
+    texts = [" ".join(r.choice(vocabulary, 300)) for _ in range(40)]
+    rows = [(i, texts[i % 36] if i < 40 else texts[i]) for i in range(40)]
+    got = {r.doc_id: r for r in mixing.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    copied = {i for i in range(40) if sum(j != i and rows[j][1] == rows[i][1] and crc(j) % 7 != 2 for j in range(40))}
+    assert copied
+    for i, x in got.items():
+        assert (x.n_followed > 150) == (i in copied)
+    alone = np.mean([x.bits_per_byte for i, x in got.items() if i not in copied])
+    assert np.mean([got[i].bits_per_byte for i in copied]) < alone / 2
+
+
+def test_held_out_scores_beat_the_base(spark, sf_dir):
+    held = [r for r in queries.op1_mixing(spark, sf_dir).collect() if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
 def test_scores_of_no_rows(empty):
