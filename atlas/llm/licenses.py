@@ -2,62 +2,122 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Normalised sentences of common licence notices (lower case, words only) and their identifiers.
-SENTENCES = {
-    "this work is licensed under the gnu general public license version 3": "gpl3-work",
-    "licensed under cc by nc 4 0": "cc-by-nc-4",
-    "released under the mit license": "mit-released",
-    "licensed under the apache license version 2 0": "apache2-short",
-    "licensed under the apache license version 2 0 the license": "apache2-grant",
-    "you may not use this file except in compliance with the license": "apache2-comply",
-    "you may obtain a copy of the license at": "apache2-copy",
-    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "apache2-warranty",
-    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "mit-grant",
-    "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": "mit-notice",
-    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "mit-warranty",
-    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "bsd-grant",
-    "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "bsd-source",
-    "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "bsd-binary",
-    "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-names",
-    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "gpl3-grant",
-    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "gpl2-grant",
-    "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "gpl-warranty",
-    "you should have received a copy of the gnu general public license along with this program": "gpl-copy",
-    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
-    "this source code form is subject to the terms of the mozilla public license v 2 0": "mpl2-subject",
-    "this is free and unencumbered software released into the public domain": "unlicense-domain",
-    "this work is licensed under a creative commons attribution 4 0 international license": "cc-by-4-work",
-    "licensed under cc by 4 0": "cc-by-4",
-    "licensed under cc by sa 4 0": "cc-by-sa-4",
-    "all rights reserved": "all-rights",
-}
+# Sentences of common licence texts and notices, and their identifiers.
+TEXTS = [
+    ("gpl3-work", "This work is licensed under the GNU General Public License version 3"),
+    ("cc-by-nc-4", "Licensed under CC BY-NC 4.0"),
+    ("mit-released", "Released under the MIT License"),
+    ("apache2-short", "Licensed under the Apache License, Version 2.0"),
+    ("apache2-grant", "Licensed under the Apache License, Version 2.0 (the License)"),
+    ("apache2-comply", "you may not use this file except in compliance with the License"),
+    ("apache2-copy", "You may obtain a copy of the License at"),
+    ("apache2-warranty", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied"),
+    ("apache2-limits", "See the License for the specific language governing permissions and limitations under the License"),
+    ("mit-grant", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions"),
+    ("mit-notice", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"),
+    ("mit-warranty", "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT"),
+    ("mit-liability", "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE"),
+    ("bsd-grant", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("bsd-source", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"),
+    ("bsd-binary", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"),
+    ("bsd-names", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd-names", "Neither the name of the author nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd-names", "Neither the name of the organization nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd-names", "Neither the name of the University nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd-warranty", "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED"),
+    ("gpl3-grant", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
+    ("gpl2-grant", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version"),
+    ("gpl2-only", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation"),
+    ("gpl-warranty", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE"),
+    ("gpl-details", "See the GNU General Public License for more details"),
+    ("gpl-copy", "You should have received a copy of the GNU General Public License along with this program"),
+    ("lgpl21-grant", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version"),
+    ("lgpl3-grant", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
+    ("lgpl-warranty", "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE"),
+    ("lgpl-details", "See the GNU Lesser General Public License for more details"),
+    ("lgpl-copy", "You should have received a copy of the GNU Lesser General Public License along with this library"),
+    ("agpl3-grant", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
+    ("agpl-details", "See the GNU Affero General Public License for more details"),
+    ("agpl-copy", "You should have received a copy of the GNU Affero General Public License along with this program"),
+    ("isc-grant", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("isc-grant", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("0bsd-grant", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("isc-warranty", "THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS"),
+    ("mpl2-subject", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("mpl2-copy", "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/"),
+    ("unlicense-domain", "This is free and unencumbered software released into the public domain"),
+    ("unlicense-anyone", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means"),
+    ("zlib-warranty", "This software is provided as-is, without any express or implied warranty"),
+    ("zlib-liability", "In no event will the authors be held liable for any damages arising from the use of this software"),
+    ("zlib-grant", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"),
+    ("boost-short", "Distributed under the Boost Software License, Version 1.0"),
+    ("cc-by-4-work", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("cc-by-sa-4-work", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("cc-by-nc-4-work", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("cc-by-nd-4-work", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"),
+    ("cc-by-4", "Licensed under CC BY 4.0"),
+    ("cc-by-sa-4", "Licensed under CC BY-SA 4.0"),
+    ("all-rights", "All rights reserved"),
+]
+# Licences that a tag of one line can name.
+TAGGED = ["MIT", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-or-later", "LGPL-3.0-or-later", "AGPL-3.0-or-later", "MPL-2.0", "ISC", "0BSD", "Unlicense", "Zlib", "BSL-1.0", "CC-BY-4.0", "CC-BY-SA-4.0"]
 # Rules in order of preference; identifiers must follow one another, with no other known sentence between them.
 RULES = [
     ("MIT", ["mit-grant", "mit-notice", "mit-warranty"], "text"),
     ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-names"], "text"),
     ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"], "text"),
+    ("ISC", ["isc-grant", "isc-warranty"], "text"),
+    ("0BSD", ["0bsd-grant", "isc-warranty"], "text"),
+    ("Unlicense", ["unlicense-domain", "unlicense-anyone"], "text"),
+    ("Zlib", ["zlib-warranty", "zlib-liability", "zlib-grant"], "text"),
     ("Apache-2.0", ["apache2-grant", "apache2-comply", "apache2-copy", "apache2-warranty"], "notice"),
     ("Apache-2.0", ["apache2-short", "apache2-comply", "apache2-copy", "apache2-warranty"], "notice"),
+    ("AGPL-3.0-or-later", ["agpl3-grant", "gpl-warranty", "agpl-details"], "notice"),
+    ("LGPL-2.1-or-later", ["lgpl21-grant", "lgpl-warranty"], "notice"),
+    ("LGPL-3.0-or-later", ["lgpl3-grant", "lgpl-warranty"], "notice"),
     ("GPL-3.0-or-later", ["gpl3-grant", "gpl-warranty", "gpl-copy"], "notice"),
+    ("GPL-3.0-or-later", ["gpl3-grant", "gpl-warranty", "gpl-details"], "notice"),
     ("GPL-2.0-or-later", ["gpl2-grant", "gpl-warranty", "gpl-copy"], "notice"),
+    ("GPL-2.0-or-later", ["gpl2-grant", "gpl-warranty", "gpl-details"], "notice"),
+    ("GPL-2.0-only", ["gpl2-only", "gpl-warranty"], "notice"),
     ("GPL-3.0-or-later", ["gpl3-grant"], "reference"),
     ("GPL-2.0-or-later", ["gpl2-grant"], "reference"),
+    ("GPL-2.0-only", ["gpl2-only"], "reference"),
+    ("AGPL-3.0-or-later", ["agpl3-grant"], "reference"),
+    ("LGPL-2.1-or-later", ["lgpl21-grant"], "reference"),
+    ("LGPL-3.0-or-later", ["lgpl3-grant"], "reference"),
     ("GPL-3.0-only", ["gpl3-work"], "reference"),
+    ("Apache-2.0", ["apache2-grant"], "reference"),
     ("Apache-2.0", ["apache2-short"], "reference"),
     ("MIT", ["mit-released"], "reference"),
     ("MIT", ["mit-grant"], "reference"),
     ("CC-BY-NC-4.0", ["cc-by-nc-4"], "reference"),
     ("CC-BY-4.0", ["cc-by-4"], "reference"),
-    ("CC-BY-4.0", ["cc-by-4-work"], "reference"),
     ("CC-BY-SA-4.0", ["cc-by-sa-4"], "reference"),
+    ("CC-BY-4.0", ["cc-by-4-work"], "reference"),
+    ("CC-BY-SA-4.0", ["cc-by-sa-4-work"], "reference"),
+    ("CC-BY-NC-4.0", ["cc-by-nc-4-work"], "reference"),
+    ("CC-BY-ND-4.0", ["cc-by-nd-4-work"], "reference"),
     ("ISC", ["isc-grant"], "reference"),
     ("MPL-2.0", ["mpl2-subject"], "reference"),
     ("Unlicense", ["unlicense-domain"], "reference"),
+    ("BSL-1.0", ["boost-short"], "reference"),
+    *[(name, [f"spdx-{name.lower()}"], "tag") for name in TAGGED],
 ]
 
+
+def words(sentence: str) -> str:
+    """A sentence as it is looked for: lower case, words only."""
+    return " ".join(re.findall("[a-z0-9]+", sentence.lower()))
+
+
+SENTENCES = {words(text): name for name, text in TEXTS} | {words(f"SPDX-License-Identifier {name}"): f"spdx-{name.lower()}" for name in TAGGED}
+
 #: A full stop, question or exclamation mark before white space or the end always ends a sentence, as a blank line does. One after "v" before a
 #: number, a semicolon, a colon and a single line break may stand within a sentence too: notices are wrapped, and "free software: you can" is one sentence.
 STRONG, WEAK, VERSION = r"(?<![.!?;:])[;:]*+[.!?][.!?;:]*+(?=\s|$)", r"(?<![.!?;:])[;:]++(?=\s|$)", r"(?<![a-z0-9])v\.(?=\s+[0-9])"
@@ -91,7 +151,8 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", sentences: di
 
     A rule holds where its identifiers occur one after another in the row's identifiers. licenses: the names of all rules that
     hold, sorted, each once; license and kind: those of the first rule that holds (null if none). Null and empty texts
-    have none. Texts are read whole, row by row, with no shuffle; repeated rows repeat their result.
+    have none. Notices may be wrapped, indented and stand behind comment marks. Texts are read whole, however long, in linear time, row by row, with no shuffle;
+    repeated rows repeat their result, null keys stay, an empty table gives no rows, and columns other than the two that are named are left out.
     """
     ids = docs.select(docs[key].alias("doc_id"), sentence_ids(docs[text], sentences).alias("sentence_ids"))
     line = F.concat(F.lit(" "), F.array_join("sentence_ids", " "), F.lit(" "))
@@ -103,14 +164,27 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", sentences: di
 
 
 def oracle(sentences: dict[str, str] = SENTENCES, rules: list = RULES) -> str:
+    """The same scan by other means: texts are cut into pieces wherever a sentence must or may end, and every run of pieces within one sentence is
+    looked up as a whole. Of the hits those go that begin within an earlier one, or are the shorter of two that begin together."""
     known = ", ".join(f"('{s}', '{i}')" for s, i in sentences.items())
     ruled = ", ".join(f"({n}, '{name}', ' {' '.join(need)} ', '{kind}')" for n, (name, need, kind) in enumerate(rules))
-    return f"""
+    longest = max(map(len, sentences))
+    return rf"""
 WITH known(sentence, id) AS (VALUES {known}), rules(n, name, need, kind) AS (VALUES {ruled}),
-parts AS (SELECT rowid rid, unnest(list_zip(s, range(len(s)))) p FROM (SELECT row_number() OVER () rowid, regexp_split_to_array(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.!?;:]+(\\s|$)', chr(10), 'g'), '\\n') s FROM documents)),
-rows AS (SELECT row_number() OVER () rid, doc_id FROM documents),
-hits AS (SELECT rid, string_agg(k.id, ',' ORDER BY p[2]) ids, count(*) n FROM parts JOIN known k ON k.sentence = trim(regexp_replace(p[1], '[^a-z0-9]+', ' ', 'g')) GROUP BY rid),
-held AS (SELECT rid, string_agg(DISTINCT name, ',' ORDER BY name) names, count(DISTINCT name) n_names, arg_min(name, r.n) license, arg_min(kind, r.n) kind FROM hits JOIN rules r ON contains(' ' || replace(ids, ',', ' ') || ' ', need) GROUP BY rid)
-SELECT doc_id, coalesce(ids, '') sentence_ids, coalesce(hits.n, 0)::BIGINT n_sentences, coalesce(names, '') licenses, coalesce(n_names, 0)::BIGINT n_licenses, license, kind
-FROM rows LEFT JOIN hits USING (rid) LEFT JOIN held USING (rid)
+docs AS (SELECT row_number() OVER () rid, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') t FROM documents),
+-- Q ends a sentence, P may end one; a full stop after a lone v before a number only may
+versions AS (SELECT rid, regexp_replace(' ' || t || ' ', '([^a-z0-9]v)\.(\s+[0-9])', '\1P\2', 'g') t FROM docs),
+ended AS (SELECT rid, regexp_replace(regexp_replace(t, '[.!?;:]*[.!?][.!?;:]*(\s)', 'Q\1', 'g'), '[;:]+(\s)', 'P\1', 'g') t FROM versions),
+lined AS (SELECT rid, regexp_replace(regexp_replace(t, '\n[^a-z0-9QP\n]*(\n[^a-z0-9QP\n]*)+', 'Q', 'g'), '\n', 'P', 'g') t FROM ended),
+strong AS (SELECT rid, unnest(list_zip(s, range(len(s)))) p FROM (SELECT rid, string_split(t, 'Q') s FROM lined)),
+parts AS (SELECT rid, p[2] sid, list_filter(list_transform(string_split(p[1], 'P'), lambda x: trim(regexp_replace(x, '[^a-z0-9]+', ' ', 'g'))), lambda x: x <> '') w FROM strong),
+firsts AS (SELECT rid, sid, w, unnest(range(1, len(w) + 1)) i FROM parts WHERE len(w) > 0),
+hopeful AS (SELECT f.* FROM firsts f SEMI JOIN (SELECT DISTINCT string_split(sentence, ' ')[1] one FROM known) k ON string_split(w[i], ' ')[1] = k.one),
+runs AS (SELECT rid, sid, i, j, array_to_string(w[i:j], ' ') s FROM (SELECT rid, sid, w, i, unnest(range(i, least(len(w), i + {longest}) + 1)) j FROM hopeful) WHERE length(array_to_string(w[i:j], ' ')) <= {longest}),
+found AS (SELECT rid, sid, i, j, id FROM runs JOIN known ON s = sentence),
+hits AS (SELECT * FROM found f WHERE NOT EXISTS (SELECT 1 FROM found g WHERE g.rid = f.rid AND g.sid = f.sid AND ((g.i < f.i AND g.j >= f.i) OR (g.i = f.i AND g.j > f.j)))),
+lists AS (SELECT rid, string_agg(id, ',' ORDER BY sid, i) ids, count(*) n FROM hits GROUP BY rid),
+held AS (SELECT rid, string_agg(DISTINCT name, ',' ORDER BY name) names, count(DISTINCT name) n_names, arg_min(name, r.n) license, arg_min(kind, r.n) kind FROM lists JOIN rules r ON contains(' ' || replace(ids, ',', ' ') || ' ', need) GROUP BY rid)
+SELECT doc_id, coalesce(ids, '') sentence_ids, coalesce(lists.n, 0)::BIGINT n_sentences, coalesce(names, '') licenses, coalesce(n_names, 0)::BIGINT n_licenses, license, kind
+FROM docs LEFT JOIN lists USING (rid) LEFT JOIN held USING (rid)
 """

@@ -34,7 +34,7 @@ def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.topk(table(spark, sf_dir, "embeddings"), 20, 20)
 
 
-def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
@@ -51,8 +51,8 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_order, op3_bpe, op4_toxicity, op5_sharding, op6_topk, op7_licenses, op8_decontam, op9_html, op10_jaccard)}
+    return {f.__name__: f for f in (op1_mixing, op2_order, op3_bpe, op4_toxicity, op5_sharding, op6_topk, op7_license_scan, op8_decontam, op9_html, op10_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_topk": topk.ORACLE, "op7_licenses": licenses.oracle(), "op8_decontam": decontam.ORACLE}
+    return {"op6_topk": topk.ORACLE, "op7_license_scan": licenses.oracle(), "op8_decontam": decontam.ORACLE}

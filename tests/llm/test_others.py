@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from atlas.llm import html, licenses, mixing, order, queries, sharding, topk, toxicity
 from atlas.llm.common import Work, by_hash
+from tests.conftest import rows as rows_of
 from tests.llm.conftest import crc
 
 # --- language model
@@ -356,12 +357,29 @@ WRAPPED = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.",
     "Unlicense": "This is free and unencumbered software released into the\npublic domain.",
 }
+_LGPL = "This library is free software{0} you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation{1} either\nversion {2} of the License, or (at your option) any later version.\n\nThis library is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU\nLesser General Public License for more details.\n\nYou should have received a copy of the GNU Lesser General Public\nLicense along with this library; if not, write to the Free Software\nFoundation, Inc."
+_ISC = 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH\nREGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND\nFITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE'
+MORE = [
+    ("MIT", WRAPPED["MIT"].replace("AUTHORS BE LIABLE.", "AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER\nLIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,\nOUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE\nSOFTWARE.")),
+    ("BSD-3-Clause", "\n".join(" * " + x for x in WRAPPED["BSD-3-Clause"].replace("copyright holder nor", "University nor").split("\n")) + '\n * THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"\n * AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE\n * IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE\n * DISCLAIMED.'),
+    ("Apache-2.0", "/*\n" + "\n".join(x.replace("#", " *", 1) for x in WRAPPED["Apache-2.0"].removesuffix(".").split("\n")) + " governing permissions and\n * limitations under the License.\n */"),
+    ("GPL-2.0-only", "// This program is free software; you can redistribute it and/or modify\n// it under the terms of the GNU General Public License version 2 as\n// published by the Free Software Foundation.\n"),
+    ("LGPL-2.1-or-later", _LGPL.format(";", ";", "2.1")), ("LGPL-3.0-or-later", _LGPL.format(":", ",", "3")),
+    ("AGPL-3.0-or-later", WRAPPED["GPL-3.0-or-later"].replace("GNU General", "GNU Affero General")),
+    ("ISC", WRAPPED["ISC"] + "\n\n" + _ISC), ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted.\n\n" + _ISC),
+    ("Unlicense", WRAPPED["Unlicense"] + "\n\nAnyone is free to copy, modify, publish, use, compile, sell, or\ndistribute this software, either in source code form or as a compiled\nbinary, for any purpose, commercial or non-commercial, and by any\nmeans."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied\nwarranty. In no event will the authors be held liable for any damages\narising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:\n\n1. The origin"),
+    ("BSL-1.0", "//          Distributed under the Boost Software License, Version 1.0.\n//    (See accompanying file LICENSE_1_0.txt)"),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons\nAttribution-ShareAlike 4.0 International License."), ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0\nInternational License"),
+    *[(name, f"#!/bin/sh\n# SPDX-License-Identifier: {name}\n# Copyright 2020\nset -e") for name in licenses.TAGGED],
+]
 SHORT = {"Apache-2.0": "Licensed under the Apache License,\nVersion 2.0.", "MIT": "Released under\nthe MIT License.", "CC-BY-4.0": "Licensed under\nCC BY 4.0."}
 
 
 def test_licences_in_wrapped_notices(spark):
     bsd2 = WRAPPED["BSD-3-Clause"].split("3. Neither")[0]
-    texts = [*WRAPPED.items(), *SHORT.items(), ("BSD-2-Clause", bsd2), (None, "Released under\n\nthe MIT License."), (None, "Released under. The MIT License"), (None, "He released under\nthe MIT License"), (None, ";\n" * 50_000 + "." * 100_000 + "\n" * 100_000)]
+    texts = [*WRAPPED.items(), *SHORT.items(), ("BSD-2-Clause", bsd2), (None, "Released under\n\nthe MIT License."), (None, "Released under. The MIT License"), (None, "He released under\nthe MIT License"), (None, ";\n" * 50_000 + "." * 100_000 + "\n" * 100_000), *MORE]
     got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")).collect()}
     assert [got[i].license for i in range(len(texts))] == [name for name, _ in texts]
     kinds = {name: got[i].kind for i, (name, _) in enumerate(WRAPPED.items())}
@@ -370,6 +388,17 @@ def test_licences_in_wrapped_notices(spark):
     assert every - {""} == set(licenses.SENTENCES.values())
 
 
+def test_licence_sql_agrees_on_notices(spark):
+    """The SQL, written by other means, on every notice, wrapped, indented and commented, and on them all in one text."""
+    import duckdb
+
+    texts = [*[t for _, t in [*WRAPPED.items(), *SHORT.items(), *MORE]], "\n\n".join([*WRAPPED.values(), *[t for _, t in MORE]]), "licensed under the apache license; version 2.0.", "a v. 2.0 v.\n3 all rights reserved", None, "", "All rights\n\nreserved. ALL RIGHTS RESERVED!?"]
+    documents = pa.table({"doc_id": range(len(texts)), "text": texts})
+    other = duckdb.sql(licenses.oracle()).df()  # reads documents
+    mine = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).toPandas()
+    assert len(documents) == len(mine) and rows_of(mine) == rows_of(other)
+
+
 # --- pages
 
 
