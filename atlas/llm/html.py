@@ -13,28 +13,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_hash
+from .common import by_hash, give_back
 
 # Elements without content, elements whose content is no text, elements that begin and end blocks, and what ends an open one.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|noscript|template|textarea|title|svg|math|iframe|object|select|canvas|noframes|xmp"
+RAW = "script|style|noscript|template|textarea|title|svg|iframe|select|noframes"
 BLOCKS = set("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 # Names of elements, classes and ids that tell what a part of a page is; used to label training pages only.
 REST = set("nav menu navbar navigation header masthead footer aside sidebar ad ads advert advertisement promo sponsored banner cookie cookies consent notice alert form comments comment reply disqus breadcrumb breadcrumbs share social related newsletter popup modal widget button dialog".split())
 MAIN = set("article main content post entry story".split())
 
-# An svg or math element may close itself; a raw element's name is whole, so that <object-list> is none.
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?:svg|math)(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+(?<=/)>|<(?P<raw>{RAW})(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>", re.S | re.I)
+# An svg element may close itself; a raw element's name is whole, so that <object-list> is none.
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<svg(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+(?<=/)>|<(?P<raw>{RAW})(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>", re.S | re.I)
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 WORD = re.compile(r"[a-z]+")
 
 PATH, WORDS, SIZES = 192, 32, 5
 INPUTS, HIDDEN = PATH + WORDS + SIZES, 24
-#: Pages that the labeller is trained on, by a hash of their html; their versions, steps and blocks a step reads at most.
-PAGES, VERSIONS, EPOCHS, LONGEST = 240, 3, 12, 96
-#: Blocks of one inference window: far longer than pages are; windows of longer pages overlap by half, so that no page is cut.
-WINDOW = 512
+#: Pages that the labeller is trained on, by a hash of their html; their versions, passes over them, and pages of one step.
+PAGES, VERSIONS, EPOCHS, BATCH = 240, 3, 12, 32
+#: Blocks that are read side by side: pages of like length go together, so many that this bound holds, or one longer page.
+SIDE = 16_384
 
 
 @dataclass
@@ -168,7 +168,7 @@ class Labeller:
         self.p["out"], self.p["bias"] = random.normal(0, 0.1, 2 * HIDDEN), np.zeros(1)
         self.p = {k: a.astype(np.float32) for k, a in self.p.items()}
 
-    def _lstm(self, x, mask, d):
+    def _lstm(self, x, mask, d, keep=True):
         steps, n = mask.shape
         w, h, c, kept = self.p["w" + d], np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32), []
         given = x @ w[:INPUTS] + self.p["c" + d]
@@ -180,7 +180,8 @@ class Labeller:
             fresh = f * c + i * g
             tc = np.tanh(fresh)
             m = mask[t][:, None]
-            kept.append((h, c, i, f, o, g, tc, m))
+            if keep:
+                kept.append((h, c, i, f, o, g, tc, m))
             h, c = np.where(m, o * tc, h), np.where(m, fresh, c)
             outs[t] = h
         return outs, kept
@@ -201,13 +202,13 @@ class Labeller:
             dh, dc = dz @ w[INPUTS:].T + dh * ~m, dcell * f + dc * ~m
         return dw, db
 
-    def states(self, x, mask):
-        forward, kf = self._lstm(x, mask, "f")
-        backward, kb = self._lstm(x[::-1], mask[::-1], "b")
+    def states(self, x, mask, keep=True):
+        forward, kf = self._lstm(x, mask, "f", keep)
+        backward, kb = self._lstm(x[::-1], mask[::-1], "b", keep)
         return np.concatenate([forward, backward[::-1]], axis=2), kf, kb
 
     def probabilities(self, x, mask):
-        both, _, _ = self.states(x, mask)
+        both, _, _ = self.states(x, mask, keep=False)
         return _sigmoid(both @ self.p["out"] + self.p["bias"])
 
     def gradients(self, x, mask, y):
@@ -227,21 +228,33 @@ def packed(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, mask
 
 
+def grouped(lengths: list[int], most: int) -> list[list[int]]:
+    """Numbers of pages, those of like length together: at most `most`, and at most SIDE blocks or one longer page."""
+    out: list[list[int]] = []
+    for i in sorted(range(len(lengths)), key=lambda i: (lengths[i], i)):
+        if out and len(out[-1]) < most and (len(out[-1]) + 1) * lengths[i] <= SIDE:
+            out[-1].append(i)
+        else:
+            out.append([i])
+    return out
+
+
 def train(pages: list[str], seed: int = 3) -> Labeller:
-    """A labeller fitted on the pages and their versions; the hints of each block's path are its labels. No pages: an untrained one."""
+    """A labeller fitted on the pages, whole, and their versions; the hints of each block's path are its labels. No pages: an untrained one."""
     random, model = np.random.default_rng(seed), Labeller(seed)
     parsed = [x for x in (leaves(p) for p in pages) if x]
     others = [x for p in parsed for x in p]
     told = []
     for p in parsed:
         for v in range(VERSIONS):
-            mine = (p if v == 0 else version(p, others, random))[:LONGEST]
+            mine = p if v == 0 else version(p, others, random)
             told.append((features(mine), hints(mine)))
     m, v, step = {k: np.zeros_like(a) for k, a in model.p.items()}, {k: np.zeros_like(a) for k, a in model.p.items()}, 0
     for _ in range(EPOCHS):
-        order = random.permutation(len(told))
-        for at in range(0, len(order), 32):
-            some = [told[i] for i in order[at : at + 32]]
+        order = random.permutation(len(told)).tolist()  # pages of like length in another order each time
+        batches = grouped([len(told[i][0]) for i in order], BATCH)
+        for k in random.permutation(len(batches)):
+            some = [told[order[i]] for i in batches[k]]
             x, mask = packed([a for a, _ in some])
             y = np.zeros(mask.shape)
             for k, (_, b) in enumerate(some):
@@ -255,27 +268,14 @@ def train(pages: list[str], seed: int = 3) -> Labeller:
 
 
 def label(model: Labeller, pages: list[np.ndarray]) -> list[np.ndarray]:
-    """Which blocks of each page belong to the main text. A page of over WINDOW blocks is read in windows that overlap by half; each block is
-    labelled by the window in whose middle it stands."""
-    jobs = []
-    for k, p in enumerate(pages):
-        half = WINDOW // 2
-        jobs += [(k, a) for a in range(0, max(1, len(p) - half), half)] if len(p) > WINDOW else [(k, 0)]
+    """Which blocks of each page belong to the main text. Every page is read whole, from both ends."""
     out = [np.zeros(len(p), bool) for p in pages]
-    jobs.sort(key=lambda j: min(WINDOW, len(pages[j[0]]) - j[1]))
-    at = 0
-    while at < len(jobs):
-        longest = max(1, min(WINDOW, len(pages[jobs[at][0]]) - jobs[at][1]))
-        some = jobs[at : at + max(1, min(256, 8192 // longest))]
-        at += len(some)
-        x, mask = packed([pages[k][a : a + WINDOW] for k, a in some])
-        if not len(x):
-            continue
-        p = model.probabilities(x, mask)
-        for j, (k, a) in enumerate(some):
-            n = int(mask[:, j].sum())
-            skip = WINDOW // 4 if a else 0
-            out[k][a + skip : a + n] = p[skip:n, j] >= 0.5
+    for some in grouped([len(p) for p in pages], 256):
+        x, mask = packed([pages[k] for k in some])
+        if len(x):
+            p = model.probabilities(x, mask)
+            for j, k in enumerate(some):
+                out[k][:] = p[: len(out[k]), j] >= 0.5
     return out
 
 
@@ -288,6 +288,7 @@ def _extract(model):
                 kept = label(model.value, [features(p) for p in pages])
                 texts = ["\n".join(x.text for x, k in zip(p, keep) if k) for p, keep in zip(pages, kept)]
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+            give_back()
 
     return run
 
@@ -296,9 +297,10 @@ def extract(pages: DataFrame, html: str = "html", key: str = "page_id", url: str
     """page_id, url, text, n_chars; one row per row of pages.
 
     text: the blocks that the labeller keeps, in page order, one line each; empty if there is none. The labeller is trained on
-    PAGES pages at most, chosen by a hash of their html, with labels from the names of elements, classes and ids; every page is then read
-    whole and every block is classified from its tag path, its words and its place among all blocks. Null html is empty; null ids and urls
-    stay; repeated rows repeat their result; an empty table gives no rows.
+    PAGES pages at most, of under 1 MB of html, chosen by a hash of their html (a bounded sample of pages, with labels from the names of elements,
+    classes and ids); every page is then read whole, however long, and every block is classified from its tag path, its words and all blocks around
+    it. Null html is empty; null ids and urls stay; repeated rows repeat their result; columns other than the three that are named are left out,
+    whatever their names; an empty table gives no rows.
     """
     spark = pages.sparkSession
     body = pages[html]

@@ -453,6 +453,33 @@ def test_leaves():
     assert [x.text for x in html.leaves(page)] == ["a", "b <", "c d ef", "g"]
 
 
+def test_long_pages_are_read_whole():
+    """2,000 different blocks: labels and training take all of them, as one reading of the whole page gives them."""
+    rng = np.random.default_rng(7)
+    body = "".join(f"<div class='{'menu' if rng.random() < 0.5 else 'x' + str(i % 17)}'><p>block {i} {rng.integers(0, 99)}.</p></div>" for i in range(2000))
+    page = html.features(html.leaves(f"<body><article>{body}</article></body>"))
+    assert len(page) == 2000
+    model = html.Labeller(5)
+    x, mask = html.packed([page])
+    whole = model.probabilities(x, mask)[:, 0] >= 0.5
+    short = html.features(html.leaves("<p>a</p><p>b</p>"))
+    got = html.label(model, [short, page, short])
+    assert (got[1] == whole).all() and len(got[0]) == 2 and (got[0] == got[2]).all()
+    sizes = [3, 20_000, 5, 5, 8000, 8200, 1]
+    assert sorted(i for g in html.grouped(sizes, 2) for i in g) == list(range(7)) and all(len(g) == 1 or len(g) * max(sizes[i] for i in g) <= html.SIDE for g in html.grouped(sizes, 2))
+
+
+def test_formulas_keep_their_text():
+    text = lambda page: " ".join(x.text for x in html.leaves(page))
+    assert text("<p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be</p>") == "Let x=1 be"
+    assert text("<p>a <object data='x'>b</object> <canvas>c</canvas></p>") == "a b c"
+
+
+def test_pages_with_clashing_columns(spark):
+    rows = spark.createDataFrame([(1, "u", "<article><p>a b.</p></article>", "text", 5, "h")], "page_id long, url string, html string, text string, n_chars long, page string")
+    assert [tuple(r)[:2] for r in html.extract(rows).collect()] == [(1, "u")]
+
+
 def test_gradients():
     """The LSTM's gradients against differences."""
     rng, model = np.random.default_rng(0), html.Labeller(1)
