@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from .common import Words, text_slices
 
 #: Bytes of item text that go to the executors in one pass; more items make more passes.
-TEST_BYTES = 16 << 20
+TEST_BYTES = 8 << 20
 WINDOW = 10
 
 
@@ -28,12 +28,41 @@ class Tests:
         left = words.first[1:][row] - np.arange(len(row))  # words from here to the item's end
         need = np.minimum(window, n)[row]
         begins = np.flatnonzero(left >= need)  # each is one window
-        self.hash, self.left = words.hash, left[begins]
-        self.at, self.need, self.item = begins, need[begins], row[begins]
-        self.text = [words.joined(int(b), int(k)) for b, k in zip(begins, self.need)]
+        self.words, self.hash = words, words.hash
+        self.at, self.need, self.item = begins.astype(np.int32), need[begins].astype(np.int32), row[begins].astype(np.int32)
         self.ids, self.first = [i for i, _ in items], words.first
 
 
+_KEPT: dict[int, tuple[list, Tests]] = {}
+
+
+def tests_of(items: list[tuple[str, str]], window: int) -> Tests:
+    """Tests of a broadcast list, made once in a worker; those of an earlier pass go."""
+    kept = _KEPT.get(window)
+    if kept is None or kept[0] is not items:
+        _KEPT.clear()
+        _KEPT[window] = kept = (items, Tests(items, window))
+    return kept[1]
+
+
+def same_words(a: Words, i: np.ndarray, b: Words, j: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """Whether need[k] words of a from i[k] on equal those of b from j[k] on, byte by byte."""
+    out = np.ones(len(i), bool)
+    for at in range(0, len(i), 1 << 15):
+        some = slice(at, at + (1 << 15))
+        hit = np.repeat(np.arange(len(i[some])), need[some])
+        step = np.arange(len(hit)) - np.repeat(np.cumsum(need[some]) - need[some], need[some])
+        p, q = i[some][hit] + step, j[some][hit] + step
+        size = a.end[p] - a.start[p]
+        alike = size == b.end[q] - b.start[q]
+        out[some][hit[~alike]] = False
+        p, q, size, hit = p[alike], q[alike], size[alike], hit[alike]
+        byte = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        differ = a.bytes[np.repeat(a.start[p], size) + byte] != b.bytes[np.repeat(b.start[q], size) + byte]
+        out[some][np.repeat(hit, size)[differ]] = False
+    return out
+
+
 class SuffixArray:
     """Suffixes of a shard's words in order of their first depth words. Words are ordered by hash; rows end with a mark of their own."""
 
@@ -91,56 +120,63 @@ class SuffixArray:
 FOUND = T.StructType([T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("items", T.ArrayType(T.StructType([T.StructField("item_id", T.StringType()), T.StructField("words", T.LongType()), T.StructField("doc_word", T.LongType()), T.StructField("item_word", T.LongType())])))])
 
 
-def shard_matches(words: Words, tests: Tests, depth: int) -> list[tuple[int, int, int, int, int]]:
-    """(row, first word in the row, words, item, first word in the items) of every window occurrence, checked byte by byte."""
+def shard_matches(words: Words, tests: Tests, depth: int) -> np.ndarray:
+    """Row, first word in the row, words, item, first word in the items of every window occurrence, checked byte by byte: [5, hits]."""
     if not len(words.hash) or not len(tests.at):
-        return []
+        return np.zeros((5, 0), np.int64)
     array = SuffixArray(words, depth)
     low, high = array.matches(tests)
     word_at = np.full(len(array.text), -1, np.int64)
     word_at[array.place] = np.arange(len(words.hash))
-    row_of = words.row_of_word()
-    out = []
-    for t in np.flatnonzero(high > low):
-        need = int(tests.need[t])
-        for w in word_at[array.suffixes[low[t] : high[t]]]:
-            w = int(w)
-            if words.joined(w, need) == tests.text[t]:
-                row = int(row_of[w])
-                out.append((row, w - int(words.first[row]), need, int(tests.item[t]), int(tests.at[t])))
+    n = np.maximum(high - low, 0)
+    test = np.repeat(np.arange(len(n)), n)
+    word = word_at[array.suffixes[low[test] + np.arange(len(test)) - np.repeat(np.cumsum(n) - n, n)]]
+    right = same_words(words, word, tests.words, tests.at[test], tests.need[test])
+    test, word = test[right], word[right]
+    row = words.row_of_word()[word] if len(word) else word
+    return np.array([row, word - words.first[row], tests.need[test], tests.item[test], tests.at[test]], np.int64).reshape(5, -1)
+
+
+def spans_of(hits: np.ndarray, rows: int) -> list[list[list[int]]]:
+    """For each row the ranges of words that hits cover, those that touch as one."""
+    out: list[list[list[int]]] = [[] for _ in range(rows)]
+    row, at, need = hits[:3, np.lexsort((hits[1], hits[0]))]
+    if len(row):
+        base = row * (int((at + need).max()) + 2)  # rows don't touch one another
+        end = np.maximum.accumulate(base + at + need)
+        fresh = np.append(True, base[1:] + at[1:] > end[:-1])
+        begins = np.flatnonzero(fresh)
+        for r, a, b in zip(row[begins].tolist(), at[begins].tolist(), (end[np.append(begins[1:], len(row)) - 1] - base[begins]).tolist()):
+            out[r].append([a, b])
     return out
 
 
-def longest(hits: list[tuple[int, int, int, int, int]]) -> dict[tuple[int, int], tuple[int, int, int]]:
-    """For each row and item the longest run of windows that follow one another in both: words, place in the row, place in the items."""
-    out: dict[tuple[int, int], tuple[int, int, int]] = {}
-    runs: dict[tuple[int, int, int], tuple[int, int]] = {}
-    for row, at, need, item, place in sorted(hits):
-        key = (row, item, at - place)
-        begin, end = runs.get(key, (at, at))
-        runs[key] = (begin, at + need) if at - 1 < end and at - (end - need) <= 1 else (at, at + need)
-        begin, end = runs[key]
-        if end - begin > out.get((row, item), (0,))[0]:
-            out[row, item] = (end - begin, begin, place - (at - begin))
-    return out
+def longest(hits: np.ndarray) -> dict[tuple[int, int], tuple[int, int, int]]:
+    """For each row and item the longest run of windows that follow one another in both: words, place in the row, place in the items; of equal ones the first."""
+    row, at, need, item, place = hits[:, np.lexsort((hits[1], hits[1] - hits[4], hits[3], hits[0]))]
+    if not len(row):
+        return {}
+    line = at - place
+    fresh = np.append(True, (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (line[1:] != line[:-1]) | (at[1:] > at[:-1] + 1))
+    begins = np.flatnonzero(fresh)
+    last = np.append(begins[1:], len(row)) - 1
+    words = at[last] + need[last] - at[begins]
+    order = np.lexsort((at[begins], -words, item[begins], row[begins]))
+    keys = np.stack([row[begins], item[begins]])[:, order]
+    best = order[np.append(True, (keys[:, 1:] != keys[:, :-1]).any(axis=0))]
+    return {(int(row[b]), int(item[b])): (int(words[k]), int(at[b]), int(place[b])) for k, b in zip(best, begins[best])}
 
 
 def _pass(broadcast, window: int, text: str, first: bool):
     depth = window
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tests = Tests(broadcast.value, window)
+        tests = tests_of(broadcast.value, window)
         for batch in text_slices(batches, text, within="doc"):
             words = Words(batch.column(text))
             hits = shard_matches(words, tests, depth)
-            spans: list[list[list[int]]] = [[] for _ in range(batch.num_rows)]
+            spans = spans_of(hits, batch.num_rows)
             items: list[list[dict]] = [[] for _ in range(batch.num_rows)]
-            for row, at, need, _, _ in sorted(hits):
-                mine = spans[row]
-                if mine and at <= mine[-1][1]:
-                    mine[-1][1] = max(mine[-1][1], at + need)
-                else:
-                    mine.append([at, at + need])
             for (row, item), (n, at, place) in longest(hits).items():
                 items[row].append({"item_id": tests.ids[item], "words": n, "doc_word": at, "item_word": place - int(tests.first[item])})
             counts = pa.array(np.diff(words.first), pa.int64())
