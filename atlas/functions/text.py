@@ -66,7 +66,7 @@ def github_repo(url: Column) -> Column:
 def unfenced(text: Column) -> Column:
     """A model's answer without white space, code fences and a leading "json"."""
     bare = F.regexp_replace(trim_all(text), r"^`+|`+$", "")
-    return trim_all(F.regexp_replace(bare, r"^json", ""))
+    return trim_all(F.regexp_replace(bare, r"(?i)^json", ""))
 
 
 def safe_json(text: Column, schema: str) -> Column:

@@ -13,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-# Texts of a request, requests of a minute, retries and first pause, dimension.
-BATCH, REQUESTS, PERIOD, RETRIES, PAUSE, DIMENSION = 100, 90, 60.0, 5, 10.0, 768
+# Texts of a request, requests of a minute, tries and first pause, dimension.
+BATCH, REQUESTS, PERIOD, TRIES, PAUSE, DIMENSION = 100, 90, 60.0, 5, 10.0, 768
 
 
 class Embedder(Protocol):
@@ -53,13 +53,13 @@ class Throttle:
         self.at.append(self.clock())
 
 
-def with_retries(call: Callable[[], list], retries: int = RETRIES, pause: float = PAUSE, sleep: Callable[[float], None] = time.sleep) -> list:
-    """Tries again after pause, twice that and so on, only where the error speaks of a rate limit."""
-    for attempt in range(retries + 1):
+def with_retries(call: Callable[[], list], tries: int = TRIES, pause: float = PAUSE, sleep: Callable[[float], None] = time.sleep) -> list:
+    """Tries up to so many times, after pause, twice that and so on, only where the error speaks of a rate limit."""
+    for attempt in range(tries):
         try:
             return call()
         except Exception as e:
-            if attempt == retries or not any(x in str(e) for x in ("RESOURCE_EXHAUSTED", "429")):
+            if attempt == tries - 1 or not any(x in str(e) for x in ("RESOURCE_EXHAUSTED", "429")):
                 raise
             sleep(pause * 2**attempt)
     return []
@@ -78,9 +78,13 @@ def embed(chunks: DataFrame, embedder: Embedder, content: str = "content", dimen
             vectors = []
             texts = batch.column(content).to_pylist()
             for at in range(0, len(texts), BATCH):
-                if throttle:
-                    throttle.wait()
-                vectors += with_retries(lambda: embedder.embed([t or "" for t in texts[at : at + BATCH]]))  # noqa: B023
+
+                def call(some=texts[at : at + BATCH]):
+                    if throttle:
+                        throttle.wait()  # repeated requests count, too
+                    return embedder.embed([t or "" for t in some])
+
+                vectors += with_retries(call)
             for v in vectors:
                 if len(v) != dimension:
                     raise ValueError(f"a vector has {len(v)} dimensions, not {dimension}")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from atlas.functions import text as X
 
+from .tables import node_id
+
 
 def _first(pairs: DataFrame, order: list[str]) -> DataFrame:
     return pairs.withColumn("_r", F.row_number().over(Window.partitionBy("call_id").orderBy(*order))).where("_r = 1").drop("_r")
@@ -36,6 +38,65 @@ def inferred(calls: DataFrame, repos: DataFrame) -> DataFrame:
     return _first(sites.join(names, (F.col("repo") != F.col("target_repo")) & F.contains("bare", "name")), ["ord", "target_repo"]).withColumn("confidence", F.lit("inferred")).drop("bare", "name")
 
 
+# What a repository's root is called, and the kinds of edges.
+ROOT, HTTP, GRPC, MANUAL = "__service_root__", "http_call", "grpc_call", "manual"
+
+
+def service_roots(repos: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """id, repo_id, node_type, qualified_name, file_path of each repository's root: the node that is there, else a new one with a deterministic id.
+
+    repos: id, name. nodes: those that are known.
+    """
+    name = F.concat("name", F.lit(f"::{ROOT}"))
+    wanted = repos.select(node_id(F.col("id"), F.lit("module"), name).alias("id"), F.col("id").alias("repo_id"), F.lit("module").alias("node_type"), name.alias("qualified_name"), F.lit("").alias("file_path"))
+    if nodes is None:
+        return wanted
+    there = nodes.groupBy("repo_id", "qualified_name").agg(F.min("id").alias("_id"))
+    return wanted.join(there, ["repo_id", "qualified_name"], "left").select(F.coalesce("_id", "id").alias("id"), "repo_id", "node_type", "qualified_name", "file_path")
+
+
+def endpoint_nodes(endpoints: DataFrame) -> DataFrame:
+    """Endpoints (repo_id, method, path as normalised, ord) as nodes: one for each repository, method and path, the first in order."""
+    name = F.concat(F.coalesce(F.concat(F.upper("method"), F.lit(" ")), F.lit("")), "path")
+    first = endpoints.groupBy("repo_id", "method", "path").agg(F.min("ord").alias("ord"))
+    return first.select(node_id(F.col("repo_id"), F.lit("endpoint"), name).alias("id"), "repo_id", F.lit("endpoint").alias("node_type"), name.alias("qualified_name"), F.lit("").alias("file_path"), "method", "path", "ord")
+
+
+def link(repos: DataFrame, endpoints: DataFrame, calls: DataFrame, overrides: DataFrame | None = None, nodes: DataFrame | None = None, scope: list | None = None) -> dict[str, DataFrame]:
+    """nodes (endpoints and roots) and edges between repositories, each once and with the same id in every run.
+
+    repos: id, name, status; endpoints: repo_id, method (null: a service's rpc), path, ord; calls: source_node_id, repo_id, literal; overrides:
+    source_repo, target_repo, edge_type; nodes: those known so far. Active repositories, in scope if one is given, are linked; if there are fewer than two, nothing
+    is. A call leads to the first endpoint of another repository with its path (confirmed), else to the root of the first repository
+    whose name its text holds (inferred); overrides lead from root to root. Calls that lead from one node to one target the same way are one edge.
+    """
+    active = repos.where(F.col("status") == "active") if scope is None else repos.where((F.col("status") == "active") & F.col("id").isin(scope))
+    enough = active.agg(F.count("*").alias("_n")).where("_n > 1")
+    active = active.join(F.broadcast(enough), F.lit(True), "left_semi").select("id", "name")  # one row or none
+    mine = active.select(F.col("id").alias("repo_id"))
+    ends = endpoint_nodes(endpoints.join(mine, "repo_id", "left_semi"))
+    roots = service_roots(active, nodes)
+    sites = calls.join(mine, "repo_id", "left_semi").select(F.struct("source_node_id", "literal").alias("call_id"), F.col("repo_id").alias("repo"), "literal").distinct()
+    by_path = ends.groupBy("repo_id", "path").agg(F.min(F.struct("ord", "method", "id")).alias("e"))
+    sure = confirmed(sites, by_path.select(F.col("repo_id").alias("repo"), "path", F.col("e.ord").alias("ord")))
+    way = by_path.select(F.col("repo_id").alias("target_repo"), "path", F.col("e.id").alias("target_node_id"), F.when(F.col("e.method").isNotNull(), HTTP).otherwise(GRPC).alias("edge_type"))
+    first = sure.join(way, ["target_repo", "path"]).select("call_id", "repo", "target_repo", "target_node_id", "edge_type", F.lit("confirmed").alias("confidence"))
+    names = active.select("name", F.col("id").alias("_target"))
+    rest = sites.join(sure.select("call_id"), "call_id", "left_anti").join(active.select(F.col("id").alias("repo"), F.col("name").alias("_own")), "repo").withColumn("repo", F.col("_own"))
+    guess = inferred(rest.select("call_id", "repo", "literal"), active.select(F.col("name").alias("repo"), F.col("name").alias("ord")))
+    guess = guess.withColumnRenamed("target_repo", "name").join(names, "name").join(active.select(F.col("name").alias("repo"), F.col("id").alias("_source")), "repo")
+    root_ids = roots.select(F.col("repo_id").alias("_target"), F.col("id").alias("target_node_id"))
+    second = guess.join(root_ids, "_target").select("call_id", F.col("_source").alias("repo"), F.col("_target").alias("target_repo"), "target_node_id", F.lit(HTTP).alias("edge_type"), F.lit("inferred").alias("confidence"))
+    found = first.unionByName(second).select(F.col("call_id.source_node_id").alias("source_node_id"), F.col("repo").alias("source_repo_id"), F.col("target_repo").alias("target_repo_id"), "target_node_id", "edge_type", "confidence")
+    if overrides is not None:
+        told = manual(overrides, active)
+        source = roots.select(F.col("repo_id").alias("source_id"), F.col("id").alias("source_node_id"))
+        target = roots.select(F.col("repo_id").alias("target_id"), F.col("id").alias("target_node_id"))
+        found = found.unionByName(told.join(source, "source_id").join(target, "target_id").select("source_node_id", F.col("source_id").alias("source_repo_id"), F.col("target_id").alias("target_repo_id"), "target_node_id", "edge_type", "confidence"))
+    edges = found.distinct().select(node_id(F.col("source_node_id"), F.col("target_node_id"), F.col("edge_type"), F.col("confidence")).alias("id"), "*", F.lit(True).alias("is_cross_repo"))
+    return {"nodes": ends.select(*roots.columns).unionByName(roots), "edges": edges}
+
+
 def links(calls: DataFrame, endpoints: DataFrame, repos: DataFrame) -> DataFrame:
     """call_id, repo, target_repo, path, confidence: confirmed links, and inferred ones for the call sites that have none."""
     sure = confirmed(calls, endpoints)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Protocol
 
 from pyspark.sql import DataFrame
@@ -26,26 +27,49 @@ def heuristic_type(question: str) -> str:
 
 
 def route(question: str, repos: list[dict], model: Model | None = None) -> dict:
-    """question_type, repo_ids, needs_clarification, clarification_message. No repository: nothing to ask; one: that one; more: the
-    model's JSON {question_type, repo_names, confident}, and all of them with a request to be clearer where it can't be read or isn't sure."""
+    """question_type, repo_ids, needs_clarification, clarification_message. No repository: a request to register one; one: that one, by the
+    keywords of the question; more: the model's JSON {question_type, repo_names, confident}. Where it can't be read, names no known
+    repository or isn't sure, a request to be clearer comes with the repositories that it named, or with all. Without a model the keywords
+    give the type, and all repositories are searched."""
     out = {"question_type": heuristic_type(question), "repo_ids": [], "needs_clarification": False, "clarification_message": None}
     if not repos:
         return out | {"needs_clarification": True, "clarification_message": "No repositories are registered."}
     if len(repos) == 1:
         return out | {"repo_ids": [repos[0]["id"]]}
     everything = [r["id"] for r in repos]
+    if model is None:
+        return out | {"repo_ids": everything}
     names = ", ".join(r["name"] for r in repos)
-    said = parse_decision(model.complete(f"Repositories: {names}\nQuestion: {question}\nAnswer as JSON: question_type, repo_names, confident.")) if model else None
+    unsure = {"needs_clarification": True, "clarification_message": f"Which of these do you mean: {names}?"}
+    said = parse_decision(model.complete(f"Repositories: {names}\nQuestion: {question}\nAnswer as JSON: question_type, repo_names, confident."))
     if said is None:
-        return out | {"repo_ids": everything}
-    by_name = {r["name"]: r["id"] for r in repos}
-    chosen = [by_name[n] for n in said.get("repo_names") or [] if n in by_name]
-    out["question_type"] = said.get("question_type") or out["question_type"]
-    if not chosen or not said.get("confident", True):
-        return out | {"repo_ids": chosen or everything, "needs_clarification": True, "clarification_message": f"Which of these do you mean: {names}?"}
+        return out | {"question_type": "general", "repo_ids": everything} | unsure
+    out["question_type"] = said.get("question_type") or "general"
+    chosen = named_repos(said.get("repo_names"), repos)
+    if not chosen or not said.get("confident", False):
+        return out | {"repo_ids": chosen or everything} | unsure
     return out | {"repo_ids": chosen}
 
 
+def named_repos(names: list[str] | None, repos: list[dict]) -> list:
+    """Ids of the repositories that a model named, in its order; unknown names are dropped, repeated ones stay."""
+    by_name = {r["name"]: r["id"] for r in repos}
+    return [by_name[n] for n in names or [] if n in by_name]
+
+
+class Models:
+    """A model for each role (routing, tracing, answering): made by its provider's factory when it is first asked for, and kept."""
+
+    def __init__(self, roles: dict[str, tuple[str, str]], factories: dict[str, Callable[[str], Model]]):
+        self.roles, self.factories, self.made = roles, factories, {}
+
+    def of(self, role: str) -> Model:
+        if role not in self.made:
+            provider, name = self.roles[role]
+            self.made[role] = self.factories[provider](name)
+        return self.made[role]
+
+
 def allowed_repos(grants: DataFrame, user: str | None, repo_ids: list) -> list:
     """repo_ids that the user may see, in order; a user without grants sees all of them."""
     if user is None:

@@ -58,17 +58,6 @@ def cosine_topk_scoped(spark, sf_dir):
     return search.search(e, _first_vector(e), 8, scope=[1, 3], scope_col="label", vector="embedding", key="vec_id").select("vec_id", "label", F.round("similarity", 6).alias("similarity"))
 
 
-@register(f"""
-WITH q AS (SELECT vec_id query_id, embedding FROM embeddings ORDER BY vec_id LIMIT 16),
-r AS (SELECT q.query_id, e.vec_id, {_SIM} s, row_number() OVER (PARTITION BY q.query_id ORDER BY {_SIM} DESC NULLS LAST, e.vec_id) rank FROM embeddings e, q)
-SELECT query_id, rank::INT rank, vec_id, round(s, 6) similarity FROM r WHERE rank <= 5
-""")
-def cosine_topk_batch(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    q = e.orderBy("vec_id").limit(16).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    return search.search_batch(e, q, 5, vector="embedding", key="vec_id").select("query_id", "rank", "vec_id", F.round("similarity", 6).alias("similarity"))
-
-
 # --- chunks
 
 _LINES = "CASE WHEN {t} LIKE '%' || chr(10) THEN string_split({t}, chr(10))[:-2] ELSE string_split({t}, chr(10)) END"
@@ -103,22 +92,6 @@ def chunk_headings(spark, sf_dir):
     return chunk.headings(d.select("doc_id", F.array_join(marked, "\n").alias("text")), "text").select("doc_id", "section", F.md5("content").alias("content_md5"))
 
 
-@register(f"""
-WITH l AS (SELECT doc_id, {_LINES.format(t="text")} ls FROM documents),
-r AS (SELECT doc_id, ls, 1 s, least(len(ls), 150) e FROM l WHERE len(ls) > 0 UNION ALL SELECT doc_id, ls, 3 s, 5 e FROM l WHERE len(ls) >= 5),
-p AS (SELECT doc_id, list_slice(ls, s, e) ls, s, e FROM r),
-w AS (SELECT doc_id, s, e, ls, unnest(CASE WHEN e - s + 1 > 120 THEN range(0, greatest(ceil((len(ls) - 60) / 50.0)::BIGINT, 0) + 1) ELSE [-1] END) k FROM p),
-c AS (SELECT doc_id, CASE WHEN k < 0 THEN s ELSE s + k * 50 END start_line, CASE WHEN k < 0 THEN e ELSE s - 1 + least(k * 50 + 60, len(ls)) END end_line,
-  {_trim("array_to_string(CASE WHEN k < 0 THEN ls ELSE list_slice(ls, k * 50 + 1, k * 50 + 60) END, chr(10))")} content FROM w)
-SELECT doc_id, start_line::INT start_line, end_line::INT end_line, md5(content) content_md5 FROM c WHERE content <> ''
-""")
-def chunk_ranges(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content")).withColumn("n", F.size(chunk.lines(F.col("content"))))
-    whole = d.where("n > 0").select("doc_id", "content", F.lit(1).alias("start_line"), F.col("n").alias("end_line"))
-    some = d.where("n >= 5").select("doc_id", "content", F.lit(3).alias("start_line"), F.lit(5).alias("end_line"))
-    return chunk.ranges(whole.unionByName(some)).select("doc_id", "start_line", "end_line", F.md5("content").alias("content_md5"))
-
-
 @register("SELECT source, count(*) n FROM documents GROUP BY source")
 def chunk_count_by_type(spark, sf_dir):
     return tables.count_by(table(spark, sf_dir, "documents"), "source")
@@ -260,20 +233,6 @@ def edge_counts(spark, sf_dir):
     return tables.count_by(e.select(F.col("o_orderstatus").alias("edge_type"), F.col("l_returnflag").alias("confidence")), "edge_type", "confidence")
 
 
-@register("""
-WITH d AS (SELECT o_custkey node_id, o_orderpriority target_node_id FROM orders GROUP BY ALL),
-f AS (SELECT c.c_custkey node_id, o.o_orderpriority target_node_id FROM customer c JOIN customer c2 ON c.c_nationkey = c2.c_nationkey AND c2.c_custkey % 100 = 1 JOIN orders o ON o.o_custkey = c2.c_custkey GROUP BY ALL)
-SELECT node_id, target_node_id, false via_file_level_import FROM d UNION ALL SELECT node_id, target_node_id, true FROM f ANTI JOIN d USING (node_id, target_node_id)
-""")
-def edges_with_fallback(spark, sf_dir):
-    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
-    direct = o.select(F.col("o_custkey").alias("node_id"), F.col("o_orderpriority").alias("target_node_id")).distinct()
-    # the enclosing file of a customer is the nation's; its edges are those of a few of its customers
-    files = c.where("c_custkey % 100 = 1").select("c_nationkey", F.col("c_custkey").alias("o_custkey")).join(o, "o_custkey").select("c_nationkey", F.col("o_orderpriority").alias("target_node_id")).distinct()
-    above = c.select(F.col("c_custkey").alias("node_id"), "c_nationkey").join(files, "c_nationkey").select("node_id", "target_node_id")
-    return graph.with_fallback(direct, above)
-
-
 @register("SELECT 'c' || c_custkey node_id, 'n' || n_nationkey file_node_id FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def enclosing_lookup(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), F.lit(1).alias("repo_id"), F.col("c_nationkey").alias("file_path"), F.lit("function").alias("node_type"))
@@ -471,12 +430,12 @@ def retrieve(spark, sf_dir):
 
 
 def queries():
-    from . import fixtures
+    from . import fixtures, products
 
-    return QUERIES | fixtures.QUERIES
+    return QUERIES | products.QUERIES | fixtures.QUERIES
 
 
 def oracle_sql():
-    from . import fixtures
+    from . import fixtures, products
 
-    return SQL | fixtures.SQL
+    return SQL | products.SQL | fixtures.SQL

@@ -1,52 +1,19 @@
-"""Queries over small source files written here: the code graph, API descriptions, and links between three services."""
+"""Queries over source files: files made from the supplier table, and a few small ones written here in other languages."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atlas.operators import chunk
+from atlas.operators import chunk, graph
 from atlas.sources import code, specs
 
-ORDERS = '''def get_order(order_id):
-    # looks an order up
-    order = {"id": order_id}
-    return order
-'''
-CHECKOUT = '''import requests
-
-ORDERS_BASE_URL = "http://orders-service:8000"
-
-
-def fetch_order(order_id):
-    url = f"{ORDERS_BASE_URL}/orders/{order_id}"
-    response = requests.get(url)
-    if response.ok:
-        return response.json()
-    return None
-
-
-def notify_user(user_id):
-    url = f"http://notifications-service:8000/notify/{user_id}"
-    response = requests.post(url, json={})
-    if not response.ok:
-        raise RuntimeError(response.text)
-    return True
-'''
-NOTIFICATIONS = '''def send_notification(user_id, message):
-    # hands a message over
-    print(user_id, message)
-    return True
-'''
-SPEC = "openapi: 3.0.0\npaths:\n  /orders/{id}:\n    get:\n      operationId: getOrder\n"
-PROTO = "service Orders {\n  rpc Get(A) returns (B);\n  rpc List (A) returns (B);\n}\nservice Other { rpc Ping(A) returns (B) {} rpc Lost(A) returns (B); }\n"
-PACKAGE = "from .core import run\nimport util as u\nfrom missing import x\n\n\ndef main():\n    return run(u)\n\n\nmain()\n"
-WEB = "import { api } from './api';\nconst BASE = 'https://orders';\nexport function load(id) {\n  return fetch(`${BASE}/v1/orders/${id}`);\n}\nconst save = (x) => {\n  return post(BASE + '/save/' + x);\n};\nsave(load(1));\n"
+SPEC = "openapi: 3.0.0\npaths:\n  /shelves/{shelf}/books:\n    get:\n      summary: Books of a shelf\n    put:\n      description: Puts one there\n"
+PROTO = "message Book { string isbn = 1; }\nservice Shelf {\n  rpc Find(Isbn) returns (Book);\n  rpc Lend (Isbn) returns (Receipt);\n}\nservice Desk { rpc Open(Day) returns (Hours); }\n"
+VIEW = "import { Cover } from './cover';\nconst ROOT = 'https://shelf.example';\nexport function preview(isbn) {\n  return fetch(`${ROOT}/books/${isbn}/cover`);\n}\nconst reserve = (isbn) => {\n  return send(ROOT + '/holds/' + isbn);\n};\nreserve(preview('1'));\n"
 FILES = [
-    ("orders-service", "openapi.yaml", SPEC), ("orders-service", "app.py", ORDERS), ("orders-service", "orders.proto", PROTO),
-    ("checkout-service", "client.py", CHECKOUT), ("notifications-service", "app.py", NOTIFICATIONS),
-    ("package", "pkg/main.py", PACKAGE), ("package", "pkg/core.py", "def run(x):\n    return x\n"), ("package", "util.py", "A = 1\n"), ("package", "bad.py", "def (:\n"),
-    ("web", "src/app.ts", WEB), ("web", "src/api.ts", "export class Api {}\n"),
+    ("shelf", "api/openapi.yaml", SPEC), ("shelf", "api/shelf.proto", PROTO), ("reader", "src/view.ts", VIEW), ("reader", "src/cover.ts", "export class Cover {}\n"),
+    ("desk", "broken.py", "def (:\n"), ("desk", "deep.py", "x = " + "-" * 20_000 + "1\n"), ("desk", "ok.py", "A = 1\n"),
 ]
 
 
@@ -54,28 +21,60 @@ def files(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(FILES, "repo_id string, file_path string, content string")
 
 
-def py_graph_nodes(spark, sf_dir):
-    found = code.nodes(code.parse_files(files(spark)))
-    return found.select("repo_id", "node_type", "qualified_name", "start_line", "end_line", F.size(F.coalesce("skipped_files", F.array())).alias("skipped"))
+def supplier_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Python file for each supplier, and one for each nation that theirs import; a nation is a repository."""
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("string").alias("k"), F.col("s_nationkey").cast("string").alias("n"))
+    source = F.concat(
+        F.lit("import os\nfrom kit"), "n", F.lit(" import weigh\n\nHOST = 'http://nation-"), "n", F.lit("'\n\n\ndef offer_"), "k", F.lit("(part):\n    address = f'{HOST}/offers/"), "k",
+        F.lit("/{part}'\n    return ask(address)\n\n\nclass Stock"), "k", F.lit(":\n    pass\n\n\noffer_"), "k", F.lit("(1)\n"),
+    )
+    mine = s.select(F.col("n").alias("repo_id"), F.concat(F.lit("s"), "k", F.lit(".py")).alias("file_path"), source.alias("content"))
+    kits = s.select("n").distinct().select(F.col("n").alias("repo_id"), F.concat(F.lit("kit"), "n", F.lit(".py")).alias("file_path"), F.lit("def weigh(x):\n    return x\n").alias("content"))
+    return mine.unionByName(kits)
 
 
-def py_graph_edges(spark, sf_dir):
-    parsed = code.parse_files(files(spark))
+def source_nodes(spark, sf_dir):
+    return code.nodes(code.parse_files(supplier_files(spark, sf_dir))).select("repo_id", "node_type", "qualified_name", "start_line", "end_line")
+
+
+def source_edges(spark, sf_dir):
+    parsed = code.parse_files(supplier_files(spark, sf_dir))
     n = code.nodes(parsed)
     a, b = (n.select(F.col("id").alias(f"{s}_node_id"), F.col("qualified_name").alias(s)) for s in ("source", "target"))
     return code.edges(parsed).join(a, "source_node_id").join(b, "target_node_id").select("repo_id", "edge_type", "source", "target")
 
 
-def py_call_literals(spark, sf_dir):
+def source_literals(spark, sf_dir):
+    return code.parse_files(supplier_files(spark, sf_dir)).select("repo_id", "file_path", F.posexplode("call_site_literals").alias("ord", "literal"))
+
+
+def nodes_with_literals(spark, sf_dir):
+    nodes = code.nodes(code.parse_files(supplier_files(spark, sf_dir)))
+    return nodes.where(F.size("call_site_literals") > 0).select("repo_id", "qualified_name")
+
+
+def precise_nodes(spark, sf_dir):
+    return graph.precise_nodes(code.nodes(code.parse_files(supplier_files(spark, sf_dir)))).select("repo_id", "qualified_name")
+
+
+def web_nodes(spark, sf_dir):
+    return code.nodes(code.parse_files(files(spark))).where("node_type <> 'module'").select("repo_id", "node_type", "qualified_name", "start_line", "end_line")
+
+
+def web_literals(spark, sf_dir):
     return code.parse_files(files(spark)).select("repo_id", "file_path", F.posexplode("call_site_literals").alias("ord", "literal"))
 
 
-def openapi_explode(spark, sf_dir):
+def mapping_errors(spark, sf_dir):
+    return graph.mapping_errors(code.nodes(code.parse_files(files(spark)))).select("repo_id", "file_path")
+
+
+def openapi_rows(spark, sf_dir):
     found = specs.openapi_endpoints(files(spark))
     return found.select("repo_id", "method", "path", chunk.endpoint_text(F.col("method"), F.col("path"), F.col("summary"), F.col("description")).alias("content"))
 
 
-def proto_rpcs(spark, sf_dir):
+def proto_rows(spark, sf_dir):
     return specs.proto_rpcs(files(spark)).select("repo_id", "path")
 
 
@@ -88,24 +87,25 @@ def _values(columns: str, rows: list[tuple]) -> str:
     return f"SELECT {kinds} FROM (VALUES {', '.join('(' + ', '.join(map(text, r)) + ')' for r in rows)}) t({names})"
 
 
-QUERIES = {f.__name__: f for f in (py_graph_nodes, py_graph_edges, py_call_literals, openapi_explode, proto_rpcs)}
+_FILES = "WITH s AS (SELECT s_suppkey::VARCHAR k, s_nationkey::VARCHAR n FROM supplier), f AS (SELECT n repo_id, 's' || k || '.py' p, k, n FROM s), m AS (SELECT DISTINCT n repo_id, 'kit' || n || '.py' p, n FROM s) "
+_WHOLE = "SELECT repo_id, {0} qualified_name{1} FROM f"
+QUERIES = {f.__name__: f for f in (source_nodes, source_edges, source_literals, nodes_with_literals, precise_nodes, web_nodes, web_literals, mapping_errors, openapi_rows, proto_rows)}
 SQL = {
-    "py_graph_nodes": _values("repo_id VARCHAR, node_type VARCHAR, qualified_name VARCHAR, start_line INT, end_line INT, skipped INT", [
-        ("orders-service", "file", "app.py", None, None, 0), ("orders-service", "function", "app.py::get_order", 1, 4, 0),
-        ("checkout-service", "file", "client.py", None, None, 0), ("checkout-service", "function", "client.py::fetch_order", 6, 11, 0), ("checkout-service", "function", "client.py::notify_user", 14, 19, 0),
-        ("notifications-service", "file", "app.py", None, None, 0), ("notifications-service", "function", "app.py::send_notification", 1, 4, 0),
-        ("package", "file", "pkg/main.py", None, None, 0), ("package", "function", "pkg/main.py::main", 6, 7, 0), ("package", "file", "pkg/core.py", None, None, 0), ("package", "function", "pkg/core.py::run", 1, 2, 0), ("package", "file", "util.py", None, None, 0), ("package", "module", "__mapping_errors__", None, None, 1),
-        ("web", "file", "src/app.ts", None, None, 0), ("web", "function", "src/app.ts::load", 3, 5, 0), ("web", "function", "src/app.ts::save", 6, 8, 0), ("web", "file", "src/api.ts", None, None, 0), ("web", "class", "src/api.ts::Api", 1, 1, 0),
-    ]),
-    "py_graph_edges": _values("repo_id VARCHAR, edge_type VARCHAR, source VARCHAR, target VARCHAR", [
-        ("orders-service", "defines", "app.py", "app.py::get_order"), ("checkout-service", "defines", "client.py", "client.py::fetch_order"), ("checkout-service", "defines", "client.py", "client.py::notify_user"), ("notifications-service", "defines", "app.py", "app.py::send_notification"),
-        ("package", "defines", "pkg/main.py", "pkg/main.py::main"), ("package", "defines", "pkg/core.py", "pkg/core.py::run"), ("package", "calls", "pkg/main.py", "pkg/main.py::main"), ("package", "imports", "pkg/main.py", "pkg/core.py"), ("package", "imports", "pkg/main.py", "util.py"),
-        ("web", "defines", "src/app.ts", "src/app.ts::load"), ("web", "defines", "src/app.ts", "src/app.ts::save"), ("web", "defines", "src/api.ts", "src/api.ts::Api"), ("web", "calls", "src/app.ts", "src/app.ts::save"), ("web", "calls", "src/app.ts", "src/app.ts::load"), ("web", "imports", "src/app.ts", "src/api.ts"),
-    ]),
-    "py_call_literals": _values("repo_id VARCHAR, file_path VARCHAR, ord INT, literal VARCHAR", [
-        ("checkout-service", "client.py", 0, "http://orders-service:8000/orders/{}"), ("checkout-service", "client.py", 1, "http://notifications-service:8000/notify/{}"),
-        ("web", "src/app.ts", 0, "https://orders/v1/orders/{}"), ("web", "src/app.ts", 1, "https://orders/save/{}"),
+    "source_nodes": _FILES + """
+SELECT repo_id, 'file' node_type, p qualified_name, NULL::INT start_line, NULL::INT end_line FROM f UNION ALL SELECT repo_id, 'file', p, NULL, NULL FROM m
+UNION ALL SELECT repo_id, 'function', p || '::offer_' || k, 7, 9 FROM f UNION ALL SELECT repo_id, 'class', p || '::Stock' || k, 12, 13 FROM f UNION ALL SELECT repo_id, 'function', p || '::weigh', 1, 2 FROM m""",
+    "source_edges": _FILES + """
+SELECT repo_id, 'defines' edge_type, p source, p || '::offer_' || k target FROM f UNION ALL SELECT repo_id, 'defines', p, p || '::Stock' || k FROM f UNION ALL SELECT repo_id, 'defines', p, p || '::weigh' FROM m
+UNION ALL SELECT repo_id, 'calls', p, p || '::offer_' || k FROM f UNION ALL SELECT repo_id, 'imports', p, 'kit' || n || '.py' FROM f""",
+    "source_literals": _FILES + "SELECT repo_id, p file_path, 0 ord, 'http://nation-' || n || '/offers/' || k || '/{}' literal FROM f",
+    "nodes_with_literals": _FILES + "SELECT repo_id, p qualified_name FROM f",
+    "precise_nodes": _FILES + "SELECT repo_id, p || '::offer_' || k qualified_name FROM f UNION ALL SELECT repo_id, p || '::Stock' || k FROM f UNION ALL SELECT repo_id, p || '::weigh' FROM m",
+    "web_nodes": _values("repo_id VARCHAR, node_type VARCHAR, qualified_name VARCHAR, start_line INT, end_line INT", [
+        ("reader", "file", "src/view.ts", None, None), ("reader", "function", "src/view.ts::preview", 3, 5), ("reader", "function", "src/view.ts::reserve", 6, 8),
+        ("reader", "file", "src/cover.ts", None, None), ("reader", "class", "src/cover.ts::Cover", 1, 1), ("desk", "file", "ok.py", None, None),
     ]),
-    "openapi_explode": _values("repo_id VARCHAR, method VARCHAR, path VARCHAR, content VARCHAR", [("orders-service", "get", "/orders/{id}", "GET /orders/{id}:")]),
-    "proto_rpcs": _values("repo_id VARCHAR, path VARCHAR", [("orders-service", "Orders.Get"), ("orders-service", "Orders.List"), ("orders-service", "Other.Ping")]),
+    "web_literals": _values("repo_id VARCHAR, file_path VARCHAR, ord INT, literal VARCHAR", [("reader", "src/view.ts", 0, "https://shelf.example/books/{}/cover"), ("reader", "src/view.ts", 1, "https://shelf.example/holds/{}")]),
+    "mapping_errors": _values("repo_id VARCHAR, file_path VARCHAR", [("desk", "broken.py"), ("desk", "deep.py")]),
+    "openapi_rows": _values("repo_id VARCHAR, method VARCHAR, path VARCHAR, content VARCHAR", [("shelf", "get", "/shelves/{shelf}/books", "GET /shelves/{shelf}/books: Books of a shelf"), ("shelf", "put", "/shelves/{shelf}/books", "PUT /shelves/{shelf}/books: \nPuts one there")]),
+    "proto_rows": _values("repo_id VARCHAR, path VARCHAR", [("shelf", "Shelf.Find"), ("shelf", "Shelf.Lend"), ("shelf", "Desk.Open")]),
 }

@@ -24,7 +24,8 @@ _ARROW = pa.schema([("repo_id", pa.string()), ("file_path", pa.string()), ("lang
 def read_files(spark, root: str, repo_id: str, extensions: list[str] | None = None) -> DataFrame:
     """source_files of a checked-out repository by Spark's own reader: repo_id, file_path (relative) and content. Bad bytes are dropped."""
     endings = "|".join(re.escape(e) for e in (extensions or LANGUAGES))
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    wanted = "*{" + ",".join(extensions or LANGUAGES) + "}"
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", wanted).load(root)
     base = spark._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath().rstrip("/") + "/"
     path = F.regexp_replace("path", r"^[a-z0-9]+:/*(?=/)", "")
     relative = F.substring(path, len(base) + 1, 1 << 20)
@@ -49,7 +50,7 @@ def _parse(strict: bool):
                     found = (parse_py if language == "python" else parse_js).parse(row["content"] or "", strict)
                     out["definitions"] = [dict(zip(("node_type", "name", "start_line", "end_line"), d)) for d in found.definitions]
                     out |= {"raw_imports": found.imports, "calls": found.calls, "call_site_literals": found.literals}
-                except (SyntaxError, ValueError, RecursionError) as e:  # one bad file doesn't stop the others; it becomes an error row
+                except Exception as e:  # noqa: BLE001  one bad file doesn't stop the others; it becomes an error row
                     out["error"] = f"{type(e).__name__}: {e}"
                 rows.append(out)
             yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)

@@ -43,7 +43,7 @@ def test_ranges_keep_lines_of_the_file(spark):
 def test_whole_ranges_reach_the_last_line(spark, tmp_path):
     rows = [(n, "\n".join(f"l{i}" for i in range(n))) for n in (100, 150, 151, 1200)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    found = catalogue.queries()["chunk_ranges"](spark, str(tmp_path)).where("end_line > 5").orderBy("doc_id", "start_line").collect()
+    found = catalogue.queries()["chunk_whole_ranges"](spark, str(tmp_path)).where("end_line > 5").orderBy("doc_id", "start_line").collect()
     assert [(r.doc_id, r.start_line, r.end_line) for r in found] == [(n, *w) for n, _ in rows for w in ([(1, n)] if n <= 120 else windows(n))]
 
 
