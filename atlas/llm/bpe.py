@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import environment_path, give_back, text_bytes, text_slices
+from .common import Work, environment_path, give_back, text_bytes, text_slices
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Bytes of marked words that make one block at most.
@@ -85,8 +85,8 @@ def rank_map(path: str) -> tuple[str, str]:
 
 
 def _numbers(text: str) -> Column:
-    """A literal array, which the optimiser folds. Every item is a number: a failed cast makes an exception each, which costs seconds and memory."""
-    return F.split(F.lit(text), ",", -1).cast("array<bigint>")
+    """A literal array, which the optimiser folds: read as JSON, since splitting and casting make some strings an item, which the driver's memory feels."""
+    return F.from_json(F.lit(f"[{text}]"), "array<bigint>")
 
 
 def fold(word: Column, path: str) -> Column:
@@ -250,11 +250,14 @@ def fold_ahead(docs: DataFrame, text: str, path: str, pattern: str):
     total = docs.agg(F.sum(F.octet_length(body))).first()[0] or 0
     some = docs.select(body.alias("t")).where(F.pmod(F.xxhash64("t"), F.lit(1 << 20)) < F.lit(min(1 << 20, (AHEAD_BYTES << 20) // max(1, total))))
     words = some.select(F.explode(F.regexp_extract_all("t", F.lit(_java(pattern)), F.lit(0))).alias("w")).groupBy("w").count().where((F.col("count") > 1) & (F.octet_length("w") <= FOLD_BYTES))
-    words = words.orderBy(F.desc("count"), "w").limit(AHEAD_WORDS).select("w")
-    bytes_ = words.repartition(spark.sparkContext.defaultParallelism).mapInArrow(_as_bytes, "w string, b array<tinyint>")
+    words = words.orderBy(F.desc("count"), "w").limit(AHEAD_WORDS).select("w").repartition(spark.sparkContext.defaultParallelism)
+    bytes_ = Work(spark).table(words.mapInArrow(_as_bytes, "w string, b array<tinyint>"), "ahead")  # so that the plan that holds the literal has one stage, and is told once
     found = bytes_.select("w", fold(F.col("b"), path).alias("ids")).toArrow().combine_chunks()
     arrays = [c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in found.columns]
-    return spark.sparkContext.broadcast(Ahead(*arrays))
+    shared = spark.sparkContext.broadcast(Ahead(*arrays))
+    del found, arrays
+    give_back()
+    return shared
 
 
 def _as_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
