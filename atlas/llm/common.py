@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker turns into arrays at once; one longer text stands alone.
 SLICE_BYTES = 2 << 20
+#: Tables that one query writes between two collections of the driver's garbage.
+SETTLE = 8
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -65,6 +67,8 @@ class Work:
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._work_path = path
+        if self.n % SETTLE == 0:  # operators of many steps would else fill the driver's heap with plans of steps that are done
+            settle(self.spark)
         return out
 
     def drop(self, *tables: DataFrame) -> None:
@@ -88,6 +92,12 @@ def give_back() -> None:
         trim(0)
 
 
+def settle(spark: SparkSession) -> None:
+    """Ends a step on the driver: its Python returns memory; its JVM collects the step's plans and task records, and shrinks its heap."""
+    give_back()
+    spark._jvm.System.gc()
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES, within: str | None = None, rows: int = 1024) -> Iterator[pa.RecordBatch]:
     """Cuts batches between rows so that each holds about limit bytes of the column, which is taken out of the struct column `within` if
     one is named. Null texts become empty. Few rows are copied at once, and what was copied is given back before the next batch."""
