@@ -44,4 +44,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = common.Work(spark)
     for name, stage in STAGES:
         docs = work.table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        common.settle(spark)
     return docs
