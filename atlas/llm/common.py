@@ -6,6 +6,7 @@ import atexit
 import ctypes
 import functools
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -25,10 +26,12 @@ SETTLE = 8
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share.
 
-    Only where the session names no such folder (tests on one machine) is a temporary one set.
+    Only where the session names no such folder and runs in one process (tests) is a temporary one set; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="atlas-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/atlas-{uuid.uuid4().hex}"

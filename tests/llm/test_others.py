@@ -545,3 +545,14 @@ def test_pipeline_of_odd_rows(spark, odd, sf_dir, tmp_path):
     for t in ("labels", "benchmark"):
         spark.read.parquet(f"file://{tmp_path}/{t}.parquet").write.parquet(f"file://{tmp_path}/none/{t}.parquet")
     assert pipeline.run(spark, f"file://{tmp_path}/none").count() == 0
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace as Some
+
+    from atlas.llm import common
+
+    for master in ("local-cluster[3,2,3000]", "spark://host:7077", "yarn"):
+        session = Some(conf=Some(get=lambda *_: None), sparkContext=Some(master=master, getCheckpointDir=lambda: None))
+        with pytest.raises(ValueError):
+            common.shared_dir(session)
