@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, decontam, html, jaccard, licenses, mixing, order, sharding, topk, toxicity
+from . import bpe, decontam, html, jaccard, licenses, mixing, negatives, order, sharding, spelling, topk, toxicity, urls
 from .common import table
 
 
@@ -50,9 +51,25 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings"), label)
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group(table(spark, sf_dir, "documents"))
+
+
+def op13_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), urls.RULES)
+
+
+ALL = (op1_mixing, op2_order, op3_bpe, op4_toxicity, op5_sharding, op6_topk, op7_license_scan, op8_decontam, op9_html, op10_jaccard, op11_negatives, op12_spelling, op13_urls)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_order, op3_bpe, op4_toxicity, op5_sharding, op6_topk, op7_license_scan, op8_decontam, op9_html, op10_jaccard)}
+    return {f.__name__: f for f in ALL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_topk": topk.ORACLE, "op7_license_scan": licenses.oracle(), "op8_decontam": decontam.ORACLE}
+    return {"op6_topk": topk.ORACLE, "op7_license_scan": licenses.oracle(), "op8_decontam": decontam.ORACLE, "op11_negatives": negatives.ORACLE, "op12_spelling": spelling.ORACLE}

@@ -14,4 +14,4 @@ def test_query_equals_sql(spark, duck, sf_dir, name):
 
 
 def test_every_operator_has_one_query():
-    assert [int(n[2:].split("_")[0]) for n in queries.queries()] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in queries.queries()] == list(range(1, 14))
