@@ -430,12 +430,12 @@ def retrieve(spark, sf_dir):
 
 
 def queries():
-    from . import fixtures, products
+    from . import fixtures, journeys, products
 
-    return QUERIES | products.QUERIES | fixtures.QUERIES
+    return QUERIES | products.QUERIES | fixtures.QUERIES | journeys.QUERIES
 
 
 def oracle_sql():
-    from . import fixtures, products
+    from . import fixtures, journeys, products
 
-    return SQL | products.SQL | fixtures.SQL
+    return SQL | products.SQL | fixtures.SQL | journeys.SQL
