@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from atlas.functions import text as X
 
+from .rounds import Rounds
 from .tables import node_id
 
 
@@ -28,14 +34,67 @@ def confirmed(calls: DataFrame, endpoints: DataFrame) -> DataFrame:
     return _first(sites.join(few, "path").where("repo <> target_repo"), ["ord", "target_repo"]).withColumn("confidence", F.lit("confirmed"))
 
 
-def inferred(calls: DataFrame, repos: DataFrame) -> DataFrame:
+#: Bytes of repository names that go to the call sites in one pass.
+NAME_BYTES = 16 << 20
+
+
+def _rank(bearer: tuple) -> tuple:
+    """Order of repositories (ord, name): nulls first, as Spark sorts them."""
+    return ((0,) if bearer[0] is None else (1, bearer[0])), bearer[1]
+
+
+def _names_in(sent, calls: DataFrame, kind: str) -> DataFrame:
+    """Call sites with the first repository of a pass whose name their text holds: one walk along the text, whatever the number of names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bearers = list(sent.value.items())
+        automaton = ahocorasick.Automaton()
+        for i, (name, _) in enumerate(bearers):
+            automaton.add_word(name, i)
+        automaton.make_automaton()
+        for batch in batches:
+            picked = []
+            for text, own in zip(batch.column("_bare").to_pylist(), batch.column("repo").to_pylist()):
+                fit = (x for _, i in (automaton.iter(text) if text and bearers and own is not None else ()) for x in bearers[i][1] if x[1] != own)
+                picked.append(min(fit, key=_rank, default=(None, None)))
+            kept = [c for c in batch.schema.names if c != "_bare"]
+            ord_, target = pa.array([x[0] for x in picked], schema.field("ord").type), pa.array([x[1] for x in picked], pa.string())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), target, ord_], names=[*kept, "target_repo", "ord"])
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    wide = T.StructType([*calls.schema.fields, T.StructField("target_repo", T.StringType()), T.StructField("ord", kind)])
+    schema = to_arrow_schema(wide)
+    return calls.withColumn("_bare", X.name_norm(F.col("literal"))).mapInArrow(run, wide).where("target_repo is not null")
+
+
+def inferred(calls: DataFrame, repos: DataFrame, name_bytes: int = NAME_BYTES) -> DataFrame:
     """Call sites whose literal holds the name of another repository: the first in order. Names are compared without case, - and _.
 
-    repos: repo, ord: one row a repository, a small dimension. Spark broadcasts it if its size allows; the condition has no equality.
+    calls: call_id, repo, literal; repos: repo (a name), ord. All names of a pass make one Aho-Corasick automaton, which reads each literal once. Names of
+    more than name_bytes go in several passes by the hash of the name, each a written table; so what a task holds stays bounded, and no
+    pair of a call site and a name that it lacks is ever made. Of repositories with one name two are enough: a call site can belong to only one of them.
+    Null literals, call sites without a repository and names without a letter link to nothing.
     """
-    names = repos.select(F.col("repo").alias("target_repo"), "ord", X.name_norm(F.col("repo")).alias("name")).where("name <> ''")
-    sites = calls.withColumn("bare", X.name_norm(F.col("literal")))
-    return _first(sites.join(names, (F.col("repo") != F.col("target_repo")) & F.contains("bare", "name")), ["ord", "target_repo"]).withColumn("confidence", F.lit("inferred")).drop("bare", "name")
+    spark = calls.sparkSession
+    calls = calls.select("call_id", "repo", "literal")
+    names = repos.select(F.col("repo").cast("string").alias("target_repo"), "ord", X.name_norm(F.col("repo")).alias("name")).where("name <> ''")
+    few = names.groupBy("name", "target_repo").agg(F.min("ord").alias("ord"))
+    few = few.withColumn("_k", F.row_number().over(Window.partitionBy("name").orderBy("ord", "target_repo"))).where("_k < 3").drop("_k")
+    size = few.agg(F.sum(F.octet_length("name") + F.octet_length("target_repo") + 32)).first()[0] or 0
+    passes = max(1, -(-size // name_bytes))
+    rounds, found = Rounds(spark), None
+    for p in range(passes):
+        held: dict[str, list] = {}
+        for r in few.where(F.pmod(F.xxhash64("name"), F.lit(passes)) == p).collect():
+            held.setdefault(r["name"], []).append((r["ord"], r["target_repo"]))
+        sent = spark.sparkContext.broadcast(held)
+        part = _names_in(sent, calls, repos.schema["ord"].dataType)
+        if passes > 1:
+            part = rounds.table(part)
+            sent.destroy()
+        found = part if found is None else found.unionByName(part)
+    return _first(found, ["ord", "target_repo"]).withColumn("confidence", F.lit("inferred"))
 
 
 # What a repository's root is called, and the kinds of edges.
@@ -74,11 +133,13 @@ def link(repos: DataFrame, endpoints: DataFrame, calls: DataFrame, overrides: Da
     enough = active.agg(F.count("*").alias("_n")).where("_n > 1")
     active = active.join(F.broadcast(enough), F.lit(True), "left_semi").select("id", "name")  # one row or none
     mine = active.select(F.col("id").alias("repo_id"))
-    ends = endpoint_nodes(endpoints.join(mine, "repo_id", "left_semi"))
-    roots = service_roots(active, nodes)
-    sites = calls.join(mine, "repo_id", "left_semi").select(F.struct("source_node_id", "literal").alias("call_id"), F.col("repo_id").alias("repo"), "literal").distinct()
-    by_path = ends.groupBy("repo_id", "path").agg(F.min(F.struct("ord", "method", "id")).alias("e"))
+    rounds = Rounds(repos.sparkSession)  # what is read more than once is written first
+    ends = rounds.table(endpoint_nodes(endpoints.join(mine, "repo_id", "left_semi")))
+    roots = rounds.table(service_roots(active, nodes))
+    sites = rounds.table(calls.join(mine, "repo_id", "left_semi").select(F.struct("source_node_id", "literal").alias("call_id"), F.col("repo_id").alias("repo"), "literal").distinct())
+    by_path = rounds.table(ends.groupBy("repo_id", "path").agg(F.min(F.struct("ord", "method", "id")).alias("e")))
     sure = confirmed(sites, by_path.select(F.col("repo_id").alias("repo"), "path", F.col("e.ord").alias("ord")))
+    sure = rounds.table(sure)
     way = by_path.select(F.col("repo_id").alias("target_repo"), "path", F.col("e.id").alias("target_node_id"), F.when(F.col("e.method").isNotNull(), HTTP).otherwise(GRPC).alias("edge_type"))
     first = sure.join(way, ["target_repo", "path"]).select("call_id", "repo", "target_repo", "target_node_id", "edge_type", F.lit("confirmed").alias("confidence"))
     names = active.select("name", F.col("id").alias("_target"))
