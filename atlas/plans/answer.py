@@ -27,13 +27,13 @@ def heuristic_type(question: str) -> str:
 
 
 def route(question: str, repos: list[dict], model: Model | None = None) -> dict:
-    """question_type, repo_ids, needs_clarification, clarification_message. No repository: a request to register one; one: that one, by the
+    """question_type, repo_ids, needs_clarification, clarification_message. No repository: the type general, and nothing to search; one: that one, by the
     keywords of the question; more: the model's JSON {question_type, repo_names, confident}. Where it can't be read, names no known
     repository or isn't sure, a request to be clearer comes with the repositories that it named, or with all. Without a model the keywords
     give the type, and all repositories are searched."""
     out = {"question_type": heuristic_type(question), "repo_ids": [], "needs_clarification": False, "clarification_message": None}
     if not repos:
-        return out | {"needs_clarification": True, "clarification_message": "No repositories are registered."}
+        return out | {"question_type": "general"}
     if len(repos) == 1:
         return out | {"repo_ids": [repos[0]["id"]]}
     everything = [r["id"] for r in repos]

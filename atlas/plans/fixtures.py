@@ -1,4 +1,4 @@
-"""Queries over source files: files made from the supplier table, and a few small ones written here in other languages."""
+"""Queries over source files that are made from the supplier and part tables: Python, TypeScript, API descriptions, service definitions, files that don't parse."""
 
 from __future__ import annotations
 
@@ -6,21 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from atlas.operators import chunk, graph
+from atlas.operators.rounds import Rounds
 from atlas.sources import code, specs
 
-SPEC = "openapi: 3.0.0\npaths:\n  /shelves/{shelf}/books:\n    get:\n      summary: Books of a shelf\n    put:\n      description: Puts one there\n"
-PROTO = "message Book { string isbn = 1; }\nservice Shelf {\n  rpc Find(Isbn) returns (Book);\n  rpc Lend (Isbn) returns (Receipt);\n}\nservice Desk { rpc Open(Day) returns (Hours); }\n"
-VIEW = "import { Cover } from './cover';\nconst ROOT = 'https://shelf.example';\nexport function preview(isbn) {\n  return fetch(`${ROOT}/books/${isbn}/cover`);\n}\nconst reserve = (isbn) => {\n  return send(ROOT + '/holds/' + isbn);\n};\nreserve(preview('1'));\n"
-FILES = [
-    ("shelf", "api/openapi.yaml", SPEC), ("shelf", "api/shelf.proto", PROTO), ("reader", "src/view.ts", VIEW), ("reader", "src/cover.ts", "export class Cover {}\n"),
-    ("desk", "broken.py", "def (:\n"), ("desk", "deep.py", "x = " + "-" * 20_000 + "1\n"), ("desk", "ok.py", "A = 1\n"),
-]
-
-
-def files(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(FILES, "repo_id string, file_path string, content string")
-
-
 def supplier_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A Python file for each supplier, and one for each nation that theirs import; a nation is a repository."""
     s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("string").alias("k"), F.col("s_nationkey").cast("string").alias("n"))
@@ -38,7 +26,7 @@ def source_nodes(spark, sf_dir):
 
 
 def source_edges(spark, sf_dir):
-    parsed = code.parse_files(supplier_files(spark, sf_dir))
+    parsed = Rounds(spark).table(code.parse_files(supplier_files(spark, sf_dir)))  # read several times below, parsed once
     n = code.nodes(parsed)
     a, b = (n.select(F.col("id").alias(f"{s}_node_id"), F.col("qualified_name").alias(s)) for s in ("source", "target"))
     return code.edges(parsed).join(a, "source_node_id").join(b, "target_node_id").select("repo_id", "edge_type", "source", "target")
@@ -57,39 +45,78 @@ def precise_nodes(spark, sf_dir):
     return graph.precise_nodes(code.nodes(code.parse_files(supplier_files(spark, sf_dir)))).select("repo_id", "qualified_name")
 
 
+# --- TypeScript: a module for each part, in the folder of its brand, which imports the brand's; every fifth one doesn't parse
+
+
+def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("n"), F.col("p_partkey").cast("string").alias("k"), F.regexp_replace("p_brand", "[^A-Za-z0-9]", "-").alias("brand"))
+    source = F.concat(
+        F.lit("import { Brand } from './brand';\nconst ROOT = 'https://parts.example';\n// function none"), "k", F.lit("() {}\nexport async function view"), "k", F.lit("(id) {\n  let path = '/parts/"), "k",
+        F.lit("';\n  if (id > 9) {\n    const path = '/old/"), "k", F.lit("';\n    ask(path);\n  } else {\n    const path = '/new/"), "k", F.lit("';\n    ask(path);\n  }\n  return fetch(`${ROOT}/parts/"), "k", F.lit("/${id}`);\n}\nclass Card"), "k",
+        F.lit(" {}\nconst show"), "k", F.lit(" = (id) => {\n  return view"), "k", F.lit("(id);\n};\n"),
+    )
+    cut = F.when(F.col("n") % 5 == 0, F.concat(F.lit("function open() {\n"), source)).otherwise(source)
+    mine = p.select("brand", F.concat(F.lit("src/p"), "k", F.lit(".ts")).alias("file_path"), cut.alias("content"))
+    brands = p.select("brand", F.lit("src/brand.ts").alias("file_path"), F.lit("export class Brand {}\n").alias("content")).distinct()
+    return mine.unionByName(brands).withColumnRenamed("brand", "repo_id")
+
+
 def web_nodes(spark, sf_dir):
-    return code.nodes(code.parse_files(files(spark))).where("node_type <> 'module'").select("repo_id", "node_type", "qualified_name", "start_line", "end_line")
+    return code.nodes(code.parse_files(part_files(spark, sf_dir))).where("node_type <> 'module'").select("repo_id", "node_type", "qualified_name", "start_line", "end_line")
 
 
 def web_literals(spark, sf_dir):
-    return code.parse_files(files(spark)).select("repo_id", "file_path", F.posexplode("call_site_literals").alias("ord", "literal"))
+    return code.parse_files(part_files(spark, sf_dir)).select("repo_id", "file_path", F.posexplode("call_site_literals").alias("ord", "literal"))
 
 
 def mapping_errors(spark, sf_dir):
-    return graph.mapping_errors(code.nodes(code.parse_files(files(spark)))).select("repo_id", "file_path")
+    return graph.mapping_errors(code.nodes(code.parse_files(part_files(spark, sf_dir)))).select("repo_id", "file_path")
+
+
+# --- API descriptions and service definitions: one of each kind for a supplier
+
+
+def supplier_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """YAML for even suppliers, JSON for odd ones; every seventh file has a name that only hints, and every eleventh no mark of a description."""
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("n"), F.col("s_suppkey").cast("string").alias("k"))
+    even = F.col("n") % 2 == 0
+    mark = F.when(F.col("n") % 11 == 0, "title").otherwise("openapi")
+    yaml = F.concat(mark, F.lit(": 3.0.0\npaths:\n  /v1/s"), "k", F.lit("/offers/{offer}:\n    get:\n      summary: Offers of "), "k", F.lit("\n    x-note: none\n    PUT:\n      description: Puts one\n  /s"), "k", F.lit("/:\n    delete: {}\n"))
+    json = F.concat(F.lit('{"'), mark, F.lit('": "2", "paths": {"/v1/s'), "k", F.lit('/offers/{offer}": {"get": {"summary": "Offers of '), "k", F.lit('"}, "x-note": 1, "PUT": {"description": "Puts one"}}, "/s'), "k", F.lit('/": {"delete": {}}}}'))
+    name = F.concat(F.lit("api/"), "k", F.lit("/"), F.when(F.col("n") % 7 == 0, F.concat(F.lit("spec-"), "k")).otherwise("openapi"), F.when(even, ".yaml").otherwise(".json"))
+    return s.select(F.lit("r").alias("repo_id"), name.alias("file_path"), F.when(even, yaml).otherwise(json).alias("content"))
 
 
 def openapi_rows(spark, sf_dir):
-    found = specs.openapi_endpoints(files(spark))
-    return found.select("repo_id", "method", "path", chunk.endpoint_text(F.col("method"), F.col("path"), F.col("summary"), F.col("description")).alias("content"))
+    found = specs.openapi_endpoints(supplier_specs(spark, sf_dir))
+    return found.select("file_path", "ord", "method", "path", chunk.endpoint_text(F.col("method"), F.col("path"), F.col("summary"), F.col("description")).alias("content"))
 
 
-def proto_rows(spark, sf_dir):
-    return specs.proto_rpcs(files(spark)).select("repo_id", "path")
+def endpoint_paths(spark, sf_dir):
+    """Normalised paths of the descriptions, and rpcs, as links compare them."""
+    files = supplier_specs(spark, sf_dir).unionByName(supplier_protos(spark, sf_dir))
+    return specs.endpoints(files).select("file_path", "method", "path")
 
 
-def _values(columns: str, rows: list[tuple]) -> str:
-    def text(v):
-        return "NULL" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+def supplier_protos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("string").alias("k"))
+    text = F.concat(F.lit("message Offer { string id = 1; }\nservice Shop"), "k", F.lit(" {\n  rpc Find(Id) returns (Offer);\n  rpc  Take"), "k", F.lit(" (Id) returns (Offer);\n}\nservice Desk { rpc Open(Day) returns (Hours); }\n"))
+    return s.select(F.lit("r").alias("repo_id"), F.concat(F.lit("proto/"), "k", F.lit(".proto")).alias("file_path"), text.alias("content"))
 
-    kinds = ", ".join(f"c{i}::{k.split()[1]} {k.split()[0]}" for i, k in enumerate(columns.split(", ")))
-    names = ", ".join(f"c{i}" for i in range(len(columns.split(", "))))
-    return f"SELECT {kinds} FROM (VALUES {', '.join('(' + ', '.join(map(text, r)) + ')' for r in rows)}) t({names})"
+
+def proto_rows(spark, sf_dir):
+    return specs.proto_rpcs(supplier_protos(spark, sf_dir)).select("file_path", "ord", "path")
 
 
 _FILES = "WITH s AS (SELECT s_suppkey::VARCHAR k, s_nationkey::VARCHAR n FROM supplier), f AS (SELECT n repo_id, 's' || k || '.py' p, k, n FROM s), m AS (SELECT DISTINCT n repo_id, 'kit' || n || '.py' p, n FROM s) "
-_WHOLE = "SELECT repo_id, {0} qualified_name{1} FROM f"
-QUERIES = {f.__name__: f for f in (source_nodes, source_edges, source_literals, nodes_with_literals, precise_nodes, web_nodes, web_literals, mapping_errors, openapi_rows, proto_rows)}
+_PARTS = "WITH b AS (SELECT regexp_replace(p_brand, '[^A-Za-z0-9]', '-', 'g') repo_id, p_partkey n, p_partkey::VARCHAR k, 'src/p' || p_partkey || '.ts' p FROM part), f AS (SELECT * FROM b WHERE n % 5 <> 0) "
+API = """
+SELECT 'api/' || s_suppkey || '/' || CASE WHEN s_suppkey % 7 = 0 THEN 'spec-' || s_suppkey ELSE 'openapi' END || CASE WHEN s_suppkey % 2 = 0 THEN '.yaml' ELSE '.json' END file_path, ord, method,
+  CASE WHEN ord = 2 THEN '/s' || s_suppkey || '/' ELSE '/v1/s' || s_suppkey || '/offers/{offer}' END AS path, CASE WHEN ord = 0 THEN 'Offers of ' || s_suppkey END summary, CASE WHEN ord = 1 THEN 'Puts one' END description
+FROM supplier, (VALUES (0, 'get'), (1, 'put'), (2, 'delete')) o(ord, method) WHERE s_suppkey % 11 <> 0 OR s_suppkey % 7 <> 0
+"""
+_RPC = "SELECT 'proto/' || s_suppkey || '.proto' file_path, ord::INT ord, CASE ord WHEN 0 THEN 'Shop' || s_suppkey || '.Find' WHEN 1 THEN 'Shop' || s_suppkey || '.Take' || s_suppkey ELSE 'Desk.Open' END AS path FROM supplier, (VALUES (0), (1), (1000)) o(ord)"
+QUERIES = {f.__name__: f for f in (source_nodes, source_edges, source_literals, nodes_with_literals, precise_nodes, web_nodes, web_literals, mapping_errors, openapi_rows, endpoint_paths, proto_rows)}
 SQL = {
     "source_nodes": _FILES + """
 SELECT repo_id, 'file' node_type, p qualified_name, NULL::INT start_line, NULL::INT end_line FROM f UNION ALL SELECT repo_id, 'file', p, NULL, NULL FROM m
@@ -100,12 +127,12 @@ UNION ALL SELECT repo_id, 'calls', p, p || '::offer_' || k FROM f UNION ALL SELE
     "source_literals": _FILES + "SELECT repo_id, p file_path, 0 ord, 'http://nation-' || n || '/offers/' || k || '/{}' literal FROM f",
     "nodes_with_literals": _FILES + "SELECT repo_id, p qualified_name FROM f",
     "precise_nodes": _FILES + "SELECT repo_id, p || '::offer_' || k qualified_name FROM f UNION ALL SELECT repo_id, p || '::Stock' || k FROM f UNION ALL SELECT repo_id, p || '::weigh' FROM m",
-    "web_nodes": _values("repo_id VARCHAR, node_type VARCHAR, qualified_name VARCHAR, start_line INT, end_line INT", [
-        ("reader", "file", "src/view.ts", None, None), ("reader", "function", "src/view.ts::preview", 3, 5), ("reader", "function", "src/view.ts::reserve", 6, 8),
-        ("reader", "file", "src/cover.ts", None, None), ("reader", "class", "src/cover.ts::Cover", 1, 1), ("desk", "file", "ok.py", None, None),
-    ]),
-    "web_literals": _values("repo_id VARCHAR, file_path VARCHAR, ord INT, literal VARCHAR", [("reader", "src/view.ts", 0, "https://shelf.example/books/{}/cover"), ("reader", "src/view.ts", 1, "https://shelf.example/holds/{}")]),
-    "mapping_errors": _values("repo_id VARCHAR, file_path VARCHAR", [("desk", "broken.py"), ("desk", "deep.py")]),
-    "openapi_rows": _values("repo_id VARCHAR, method VARCHAR, path VARCHAR, content VARCHAR", [("shelf", "get", "/shelves/{shelf}/books", "GET /shelves/{shelf}/books: Books of a shelf"), ("shelf", "put", "/shelves/{shelf}/books", "PUT /shelves/{shelf}/books: \nPuts one there")]),
-    "proto_rows": _values("repo_id VARCHAR, path VARCHAR", [("shelf", "Shelf.Find"), ("shelf", "Shelf.Lend"), ("shelf", "Desk.Open")]),
+    "web_nodes": _PARTS + """
+SELECT repo_id, 'file' node_type, p qualified_name, NULL::INT start_line, NULL::INT end_line FROM f UNION ALL SELECT repo_id, 'function', p || '::view' || k, 4, 14 FROM f UNION ALL SELECT repo_id, 'class', p || '::Card' || k, 15, 15 FROM f
+UNION ALL SELECT repo_id, 'function', p || '::show' || k, 16, 18 FROM f UNION ALL SELECT DISTINCT repo_id, 'file', 'src/brand.ts', NULL::INT, NULL::INT FROM b UNION ALL SELECT DISTINCT repo_id, 'class', 'src/brand.ts::Brand', 1, 1 FROM b""",
+    "web_literals": _PARTS + "SELECT repo_id, p file_path, ord, CASE ord WHEN 0 THEN '/old/' || k WHEN 1 THEN '/new/' || k ELSE 'https://parts.example/parts/' || k || '/{}' END literal FROM f, (VALUES (0), (1), (2)) o(ord)",
+    "mapping_errors": "SELECT regexp_replace(p_brand, '[^A-Za-z0-9]', '-', 'g') repo_id, 'src/p' || p_partkey || '.ts' file_path FROM part WHERE p_partkey % 5 = 0",
+    "openapi_rows": "SELECT file_path, ord::INT ord, method, path, rtrim(upper(method) || ' ' || path || ': ' || coalesce(summary, '') || CASE WHEN description IS NULL THEN '' ELSE chr(10) || description END) AS content FROM (" + API + ")",
+    "endpoint_paths": "SELECT file_path, method, regexp_replace(replace(replace(path, '/v1/', '/'), '{offer}', '*'), '/$', '') AS path FROM (" + API + ") UNION ALL SELECT file_path, NULL, path FROM (" + _RPC + ")",
+    "proto_rows": _RPC,
 }

@@ -8,6 +8,7 @@ from atlas.functions import text as X
 from atlas.operators import chunk, graph, link, registry, search
 
 from .catalogue import _LINES, _SIM, _STRIP, _norm, _trim, table
+from .fixtures import API, supplier_specs
 
 # --- links between repositories: hosts are repositories, their pages are endpoints, and each calls another host's pages by address or by name
 
@@ -69,8 +70,11 @@ def index_chunks(spark, sf_dir):
     nodes = whole.select(*node, F.when(F.col("doc_id") % 2 == 0, "function").otherwise("class").alias("node_type"), F.lit(1).alias("start_line"), F.when(F.col("doc_id") % 9 != 0, F.col("n")).alias("end_line"))
     docs = b.select(F.lit("r").alias("repo_id"), F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("file_path"), F.col("text").alias("content"))
     pulls = c.select(F.lit("r").alias("repo_id"), (F.col("conv_id") * 1000 + F.col("turn")).cast("int").alias("pr_number"), chunk.pull_request_text(F.col("turn"), F.col("role"), F.col("text")).alias("content"))
-    found = registry.index_chunks(files, nodes, docs=docs, pulls=pulls)
-    return found.select("source_type", "file_path", "graph_node_id", "start_line", "end_line", "pr_number", F.md5("content").alias("content_md5"))
+    specs_ = supplier_specs(spark, sf_dir).select("repo_id", "file_path", "content")
+    o = table(spark, sf_dir, "orders").select(F.lit("r").alias("repo_id"), F.col("o_orderkey").cast("string").alias("k"), "o_orderpriority", "o_orderstatus")
+    logs = o.select("repo_id", F.concat(F.lpad("k", 40, "0"), F.lit("\u001f"), "o_orderpriority", F.lit("\u001f"), "o_orderstatus", F.lit("\u001e")).alias("log"))
+    found = registry.index_chunks(files.unionByName(specs_), nodes, docs=docs, logs=logs, pulls=pulls)
+    return found.select("source_type", "file_path", "graph_node_id", "start_line", "end_line", "pr_number", "commit_sha", F.md5("content").alias("content_md5"))
 
 
 _INDEX = f"""
@@ -80,9 +84,11 @@ w AS (SELECT *, unnest(CASE WHEN node IS NOT NULL AND len(ls) <= 120 THEN [-1] E
 code AS (SELECT 'code' source_type, file_path, node graph_node_id, CASE WHEN k < 0 THEN 1 ELSE k * 50 + 1 END start_line, CASE WHEN k < 0 THEN len(ls) ELSE least(k * 50 + 60, len(ls)) END end_line,
   {_trim("array_to_string(CASE WHEN k < 0 THEN ls ELSE list_slice(ls, k * 50 + 1, k * 50 + 60) END, chr(10))")} content FROM w),
 doc AS (SELECT 'doc' source_type, 'b' || item_id file_path, {_trim("text")} content FROM benchmark),
-pr AS (SELECT 'pr' source_type, conv_id * 1000 + turn pr_number, {_trim("'PR #' || turn || ': ' || role || chr(10) || coalesce(text, '')")} content FROM conversations)
-SELECT source_type, file_path, graph_node_id, start_line::INT start_line, end_line::INT end_line, NULL::INT pr_number, md5(content) content_md5 FROM code WHERE content <> ''
-UNION ALL SELECT source_type, file_path, NULL, NULL, NULL, NULL, md5(content) FROM doc WHERE content <> '' UNION ALL SELECT DISTINCT source_type, NULL, NULL, NULL, NULL, pr_number::INT, md5(content) FROM pr
+pr AS (SELECT 'pr_description' source_type, conv_id * 1000 + turn pr_number, {_trim("'PR #' || turn || ': ' || role || chr(10) || coalesce(text, '')")} content FROM conversations)
+SELECT source_type, file_path, graph_node_id, start_line::INT start_line, end_line::INT end_line, NULL::INT pr_number, NULL::VARCHAR commit_sha, md5(content) content_md5 FROM code WHERE content <> ''
+UNION ALL SELECT source_type, file_path, NULL, NULL, NULL, NULL, NULL, md5(content) FROM doc WHERE content <> '' UNION ALL SELECT DISTINCT source_type, NULL, NULL, NULL, NULL, pr_number::INT, NULL, md5(content) FROM pr
+UNION ALL SELECT 'api_spec', file_path, NULL, NULL, NULL, NULL, NULL, md5(rtrim(upper(method) || ' ' || path || ': ' || coalesce(summary, '') || CASE WHEN description IS NULL THEN '' ELSE chr(10) || description END)) FROM (""" + API + """)
+UNION ALL SELECT 'commit', NULL, NULL, NULL, NULL, NULL, lpad(o_orderkey::VARCHAR, 40, '0'), md5(o_orderpriority || chr(10) || o_orderstatus) FROM orders
 """
 
 

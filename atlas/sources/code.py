@@ -14,8 +14,9 @@ from atlas.operators.tables import node_id
 
 from . import parse_js, parse_py
 
-# Languages by extension, and folders that are never listed.
+# Languages by extension, endings of documents, and folders that are never listed.
 LANGUAGES = {".py": "python", ".ts": "typescript", ".tsx": "typescript", ".js": "javascript", ".jsx": "javascript"}
+DOCUMENTS = [".md", ".mdx", ".rst"]
 IGNORED = {".git", "node_modules", "__pycache__", ".venv", "venv", "dist", "build", ".mypy_cache", ".pytest_cache"}
 PARSED = "repo_id string, file_path string, language string, error string, definitions array<struct<node_type string, name string, start_line int, end_line int>>, raw_imports array<string>, calls array<string>, call_site_literals array<string>"
 _ARROW = pa.schema([("repo_id", pa.string()), ("file_path", pa.string()), ("language", pa.string()), ("error", pa.string()), ("definitions", pa.list_(pa.struct([("node_type", pa.string()), ("name", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32())]))), ("raw_imports", pa.list_(pa.string())), ("calls", pa.list_(pa.string())), ("call_site_literals", pa.list_(pa.string()))])

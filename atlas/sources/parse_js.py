@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import re
 
-from .parse_py import Parsed, is_target
+from .parse_py import Parsed, apart, chosen, is_target
 
 TOKEN = re.compile(
     r"""(?P<space>\s+|//[^\n]*|/\*.*?(?:\*/|\Z))|(?P<string>"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*')|(?P<template>`(?:\\.|[^`\\])*`)|(?P<word>[A-Za-z_$][\w$]*)|(?P<number>\d[\w.]*)|(?P<mark>=>|\?\?|\|\||&&|===|!==|==|!=|[-+*/%&|^!~?:;,.<>=(){}\[\]@#])|(?P<other>.)""",
     re.S | re.X,
 )
 PART = re.compile(r"\$\{([^{}]*)\}")
+KEYWORDS = {"if", "for", "while", "switch", "catch", "with", "function", "return", "await", "typeof", "super"}
 OPEN, CLOSE = {"(": ")", "[": "]", "{": "}"}, {")", "]", "}"}
 
 
@@ -27,11 +28,102 @@ class _File:
                 stack.append(i)
         if stack:
             raise SyntaxError(f"{self.tokens[stack[-1]][1]} is never closed")
-        self.values: dict[str, list[tuple[int, int, int]]] = {}  # name: where it is declared, and its value's tokens
-        for i in range(len(self.tokens) - 3):
-            if self.tokens[i][1] in ("const", "let", "var") and self.tokens[i + 2][1] == "=":
-                self.values.setdefault(self.tokens[i + 1][1], []).append((i, i + 3, self.end_of(i + 3)))
+        self.match_back = {j: i for i, j in self.match.items()}
+        self.scopes()
+        self.values: dict[str, list[tuple[int, int, int]]] = {}  # name: where its declaration begins, and its value's tokens
+        for i, (kind, text, *_) in enumerate(self.tokens):
+            if kind == "word" and text in ("const", "let", "var"):
+                self.declared(i)
         self.busy: set[tuple[int, int]] = set()
+        self.known: dict[tuple[int, int], str | None] = {}
+        self.cut = False  # whether the resolution that is going on met itself
+
+    def at(self, i: int) -> str:
+        return self.tokens[i][1] if 0 <= i < len(self.tokens) else ""
+
+    def declared(self, i: int) -> None:
+        """The names and values of one const, let or var, which may declare several; types are passed over."""
+        j = i + 1
+        while j < len(self.tokens) and self.tokens[j][0] == "word":
+            k = j + 1
+            while self.at(j + 1) == ":" and k < len(self.tokens) and self.at(k) not in ("=", ";", ",") and self.depth[k] == self.depth[j]:
+                k = self.match.get(k, k) + 1
+            if self.at(k) == "=":
+                end = self.end_of(k + 1, ";,")
+                self.values.setdefault(self.at(j), []).append((j, k + 1, end))
+                k = end
+            if self.at(k) != ",":
+                return
+            j = k + 1
+
+    def scopes(self) -> None:
+        """For each token the innermost function around it, and the arms of the ifs around it.
+
+        Functions are declarations and expressions (but generators), arrows and methods. An if's arms exclude each other; what stands in an else, and
+        so an else if, is in its other arm. The parts of a try don't exclude each other, as in the original for this language.
+        """
+        n = len(self.tokens)
+        functions, arms = [], []
+        for i, (kind, text, *_) in enumerate(self.tokens):
+            if kind == "word" and text == "function" and self.at(i + 1) != "*":
+                j = i + 1 if self.at(i + 1) == "(" else i + 2
+                body = self.body(self.match.get(j)) if self.at(j) == "(" else None
+                if body is not None:
+                    functions.append((i, self.match[body] + 1))
+            elif kind == "mark" and text == "=>":
+                begin = self.match_back.get(i - 1, i - 1)
+                if self.at(i - 1) != ")":  # a type may stand between the parameters and the arrow
+                    back = next((j for j in range(i - 1, max(i - 12, -1), -1) if self.at(j) == ":" and self.at(j - 1) == ")" and self.depth[j] == self.depth[i]), None)
+                    begin = self.match_back.get(back - 1, begin) if back is not None else begin
+                functions.append((begin, self.match[i + 1] + 1 if self.at(i + 1) == "{" else self.end_of(i + 1)))
+            elif kind == "word" and self.at(i + 1) == "(" and text not in KEYWORDS and self.at(i - 1) not in ("function", "new", "*"):
+                body = self.body(self.match.get(i + 1))
+                if body is not None and self.at(i - 1) in ("{", "}", ";", ",", "async", "static", "get", "set", "public", "private", "protected", ")"):
+                    functions.append((i, self.match[body] + 1))
+            elif kind == "word" and text == "if" and self.at(i + 1) == "(" and self.at(i - 1) != ".":
+                then, other = self.arms_of(i)
+                arms += [(*then, (i, True)), *([(*other, (i, False))] if other else [])]
+        self.function: list[tuple[int, int] | None] = self._around(functions, n, lambda held, x: x, None)
+        self.arms: list[dict[int, bool]] = self._around([(a, b, label) for a, b, label in arms], n, lambda held, x: {**held, x[2][0]: x[2][1]}, {})
+
+    @staticmethod
+    def _around(spans: list[tuple], n: int, add, nothing) -> list:
+        """For each token what the spans around it, the outermost first, add up to."""
+        spans, out, open_ = sorted(spans, key=lambda x: (x[0], -x[1])), [], [(n + 1, nothing)]
+        k = 0
+        for i in range(n):
+            while open_[-1][0] <= i:
+                open_.pop()
+            while k < len(spans) and spans[k][0] == i:
+                open_.append((spans[k][1], add(open_[-1][1], spans[k])))
+                k += 1
+            out.append(open_[-1][1])
+        return out
+
+    def body(self, close: int | None) -> int | None:
+        """The brace that opens a function's body after its parameters, and a type, if there is one."""
+        if close is None:
+            return None
+        j = close + 1
+        if self.at(j) == ":":
+            while j < len(self.tokens) and self.at(j) not in ("{", ";", ",", "=>") and self.depth[j] == self.depth[close]:
+                j = self.match.get(j, j) + 1
+        return j if self.at(j) == "{" and j in self.match else None
+
+    def statement_end(self, i: int) -> int:
+        """The token after the statement that begins at i."""
+        if self.at(i) == "{":
+            return self.match[i] + 1
+        if self.at(i) == "if" and self.at(i + 1) == "(":
+            then, other = self.arms_of(i)
+            return (other or then)[1]
+        end = self.end_of(i, ";")
+        return end + (self.at(end) == ";")
+
+    def arms_of(self, i: int) -> tuple[tuple[int, int], tuple[int, int] | None]:
+        begin = self.match.get(i + 1, i + 1) + 1
+        end = self.statement_end(begin)
+        return (begin, end), ((end, self.statement_end(end + 1)) if self.at(end) == "else" else None)
 
     def end_of(self, i: int, stop: str = ";,") -> int:
         """The token after the expression that begins at i."""
@@ -53,20 +145,31 @@ class _File:
 
     def resolve(self, a: int, b: int) -> str | None:
         """The literal that tokens a to b stand for, with {} for what isn't known."""
-        if a >= b or (a, b) in self.busy:
+        if a >= b:
             return None
+        if (a, b) in self.known:
+            return self.known[a, b]
+        if (a, b) in self.busy:
+            self.cut = True
+            return None
+        before, self.cut = self.cut, False
         self.busy.add((a, b))
         try:
-            return self._resolve(a, b)
+            found = self._resolve(a, b)
         finally:
             self.busy.discard((a, b))
+        if not self.cut:
+            self.known[a, b] = found
+        self.cut = before or self.cut
+        return found
 
     def _resolve(self, a: int, b: int) -> str | None:
         top = [j for j in self._level(a, b) if self.tokens[j][0] == "mark"]
         for sign in ("||", "??"):
             at = [j for j in top if self.tokens[j][1] == sign]
             if at:
-                return self.resolve(at[-1] + 1, b)
+                left = self.source[self.tokens[a][2] : self.tokens[at[-1]][2]].replace(" ", "")
+                return self.resolve(at[-1] + 1, b) if left.startswith("process.env.") else None
         plus = [j for j in top if self.tokens[j][1] == "+"]
         if plus:
             parts = [self.resolve(x, y) for x, y in ((a, plus[-1]), (plus[-1] + 1, b))]
@@ -82,11 +185,21 @@ class _File:
         return self.named(text, a) if kind == "word" else None
 
     def named(self, name: str, use: int) -> str | None:
-        before = [v for v in self.values.get(name, []) if v[2] <= use]
-        for _, x, y in reversed(before):
-            found = self.resolve(x, y)
-            if found is not None:
-                return found
+        """What a name stands for at a token: its declarations in the function around it; if these tell nothing, those of the module outside functions.
+
+        Earlier declarations count that the use isn't part of. Those in another arm of an if than the use go. Of one value it is that; of several
+        that exclude each other none; else the last one.
+        """
+        mine = self.function[use]
+        for scope in [mine, None] if mine is not None else [None]:
+            before = []
+            for at, x, y in self.values.get(name, []):
+                inside = self.function[at] is None if scope is None else scope[0] <= at < scope[1]
+                if inside and at < use and not at <= use < y and (found := self.resolve(x, y)) is not None:
+                    before.append((at, found))
+            if not before:
+                continue
+            return chosen([(at, self.arms[at], v) for at, v in before if not apart(self.arms[at], self.arms[use])])
         return None
 
     def _level(self, a: int, b: int):

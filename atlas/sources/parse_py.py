@@ -18,6 +18,24 @@ def is_target(text: str) -> bool:
     return text.startswith(("http://", "https://")) or (text.startswith("/") and len(text) > 1)
 
 
+def apart(a: dict, b: dict) -> bool:
+    """Whether two sets of arms, each {branch: arm}, hold different arms of one branch."""
+    return any(k in b and b[k] != arm for k, arm in a.items())
+
+
+def chosen(found: list[tuple]) -> str | None:
+    """The value of assignments (place, arms, value): the one they agree on; none if two of different value exclude each other; else the last one's."""
+    if len({v for *_, v in found}) <= 1:
+        return found[0][2] if found else None
+    groups: dict[frozenset, set] = {}  # assignments in the same arms don't exclude each other
+    for _, arms, value in found:
+        groups.setdefault(frozenset(arms.items()), set()).add(value)
+    sets = [(dict(k), v) for k, v in groups.items()]
+    if any(len(v | w) > 1 and apart(a, b) for i, (a, v) in enumerate(sets) for b, w in sets[i + 1 :]):
+        return None
+    return max(found, key=lambda x: x[0])[2]
+
+
 class _Module:
     """A module with, for each node, its enclosing function and the branch arms that it stands in."""
 
@@ -28,6 +46,8 @@ class _Module:
         self.order: list[ast.AST] = []
         self.assigned: dict[tuple[ast.AST | None, str], list[ast.AST]] = {}
         self.busy: set[ast.AST] = set()
+        self.known: dict[ast.AST, str | None] = {}
+        self.cut = False  # whether the resolution that is going on met itself
         self._walk(self.tree, None, {})
 
     def _walk(self, node: ast.AST, function, arms: dict[int, str]) -> None:
@@ -79,18 +99,25 @@ class _Module:
         return ast.get_source_segment(self.source, node)
 
     def exclusive(self, a: ast.AST, b: ast.AST) -> bool:
-        other = self.arms[b]
-        return any(k in other and other[k] != arm for k, arm in self.arms[a].items())
+        return apart(self.arms[a], self.arms[b])
 
     def resolve(self, node: ast.AST) -> str | None:
         """The literal that an expression stands for, with {} for what isn't known; None if nothing is."""
+        if node in self.known:
+            return self.known[node]
         if node in self.busy:
+            self.cut = True
             return None
+        before, self.cut = self.cut, False
         self.busy.add(node)
         try:
-            return self._resolve(node)
+            found = self._resolve(node)
         finally:
             self.busy.discard(node)
+        if not self.cut:
+            self.known[node] = found
+        self.cut = before or self.cut
+        return found
 
     def _resolve(self, node: ast.AST) -> str | None:
         if isinstance(node, ast.Constant) and isinstance(node.value, (str, bytes)):
@@ -137,18 +164,15 @@ class _Module:
             for x in self.assigned.get((scope, use.id), []):
                 if scope is None and self.function[x] is not None:
                     continue
-                if (x.lineno, x.col_offset) < (use.lineno, use.col_offset) and not any(y is use for y in ast.walk(x)):
+                place = (use.lineno, use.col_offset)
+                if (x.lineno, x.col_offset) < place and not place < (x.end_lineno, x.end_col_offset):  # earlier, and the use is no part of it
                     literal = self.resolve(x.value)
                     if literal is not None:
                         before.append((x, literal))
             if not before:
                 continue  # assignments that tell nothing don't hide the module's
             fit = [(x, s) for x, s in before if not self.exclusive(x, use)]
-            if len({s for _, s in fit}) <= 1:
-                return fit[0][1] if fit else None
-            if any(s != t and self.exclusive(x, y) for i, (x, s) in enumerate(fit) for y, t in fit[i + 1 :]):
-                return None
-            return max(fit, key=lambda p: (p[0].lineno, p[0].col_offset))[1]
+            return chosen([((x.lineno, x.col_offset), self.arms[x], s) for x, s in fit])
         return None
 
 

@@ -173,7 +173,7 @@ def test_route_and_answer(spark):
         def complete(self, prompt):
             return self.text
 
-    assert answer.route("why?", [])["needs_clarification"]
+    assert answer.route("why?", []) == {"question_type": "general", "repo_ids": [], "needs_clarification": False, "clarification_message": None}
     assert answer.route("why?", repos[:1]) | {"x": 0} == {"question_type": "why_historical", "repo_ids": [1], "needs_clarification": False, "clarification_message": None, "x": 0}
     assert answer.route("q", repos, M("nonsense"))["repo_ids"] == [1, 2]
     assert answer.route("q", repos, M('{"repo_names": ["b", "zz"], "question_type": "general"}'))["repo_ids"] == [2]

@@ -24,6 +24,44 @@ def test_python_literals(source, literals):
     assert parse_py.parse(source).literals == literals
 
 
+JS_CASES = [
+    ("const U = '/a'\nfunction f() { get(U) }\n", ["/a"]),
+    ("function f(x) { if (x) { var u = '/a' } else { var u = '/b' }\n get(u) }\n", []),
+    ("function f(x) { if (x) { const u = '/a'; get(u) } else { const u = '/b'; get(u) } }\n", ["/a", "/b"]),
+    ("const f = (x) => { if (x) { var u = '/a' } else if (x > 1) { var u = '/b' } else { get(u) } }\n", []),
+    ("const f = x => { if (x) var u = '/a'; else var u = '/b'\n get(u) }\n", []),
+    ("var u = '/a'\nvar u = '/b'\nget(u)\n", ["/b"]),
+    ("var u = '/a'\nvar u = u + '/x'\nget(u)\n", ["/a/x"]),
+    ("const B = process.env.B || 'http://h'\nget(B + '/x/' + i)\n", ["http://h/x/{}"]),
+    ("const B = other || 'http://h'\nget(B)\nconst C = process.env.C\nget(C)\n", []),
+    ("const U = '/g'\nfunction f() { const U = load(); get(U) }\n", ["/g"]),
+    ("const U = '/g'\nfunction f() { const U = '/l'; get(U) }\nget(U)\n", ["/l", "/g"]),
+    ("function g() { const U = '/other' }\nfunction f() { get(U) }\nget(U)\n", []),
+    ("class A { m(x: number): string { const u = '/m', v = `${u}/v`; get(v); return u }\n n() { get(u) } }\n", ["/m/v"]),
+    ("const o = { m() { const u = '/m'; get(u) }, k: (a: string): void => { const u = '/k'; get(u) } }\n", ["/m", "/k"]),
+    ("try { var u = '/a' } catch (e) { var u = '/b' }\nget(u)\n", ["/b"]),
+    ("const u: string = '/typed'\nget(u)\n", ["/typed"]),
+    ("get(u)\nconst u = '/late'\n", []),
+]
+
+
+@pytest.mark.parametrize(("source", "literals"), JS_CASES)
+def test_javascript_literals(source, literals):
+    assert parse_js.parse(source).literals == literals
+
+
+def test_many_assignments():
+    """A thousand assignments of one name, each used, in either language, and chains of names."""
+    import time
+
+    began, n = time.time(), 1000
+    assert parse_py.parse("".join(f"u = '/x{i}'\nget(u)\n" for i in range(n))).literals == [f"/x{i}" for i in range(n)]
+    assert parse_js.parse("".join(f"var u = '/x{i}'\nget(u)\n" for i in range(n))).literals == [f"/x{i}" for i in range(n)]
+    assert parse_py.parse("u0 = '/x'\n" + "".join(f"u{i} = u{i - 1} + u{i - 1}\n" for i in range(1, 15)) + "get(u14)\n").literals == ["/x" * 2**14]
+    assert parse_js.parse("var u0 = '/x'\n" + "".join(f"var u{i} = u{i - 1} + u{i - 1}\n" for i in range(1, 15)) + "get(u14)\n").literals == ["/x" * 2**14]
+    assert time.time() - began < 20
+
+
 def test_python_definitions():
     source = "@d\ndef a(): pass\nclass B:\n    def m(self): pass\nasync def c(): pass\nif x:\n    def no(): pass\nfrom __future__ import annotations\nimport os\ndef z():\n    import json\n    a()\n"
     found = parse_py.parse(source)
