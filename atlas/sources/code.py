@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,8 +19,8 @@ from . import parse_js, parse_py
 LANGUAGES = {".py": "python", ".ts": "typescript", ".tsx": "typescript", ".js": "javascript", ".jsx": "javascript"}
 DOCUMENTS = [".md", ".mdx", ".rst"]
 IGNORED = {".git", "node_modules", "__pycache__", ".venv", "venv", "dist", "build", ".mypy_cache", ".pytest_cache"}
-PARSED = "repo_id string, file_path string, language string, error string, definitions array<struct<node_type string, name string, start_line int, end_line int>>, raw_imports array<string>, calls array<string>, call_site_literals array<string>"
-_ARROW = pa.schema([("repo_id", pa.string()), ("file_path", pa.string()), ("language", pa.string()), ("error", pa.string()), ("definitions", pa.list_(pa.struct([("node_type", pa.string()), ("name", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32())]))), ("raw_imports", pa.list_(pa.string())), ("calls", pa.list_(pa.string())), ("call_site_literals", pa.list_(pa.string()))])
+PARSED = "repo_id string, file_path string, language string, error string, definitions array<struct<node_type string, name string, start_line int, end_line int, nth int>>, raw_imports array<string>, calls array<string>, call_site_literals array<string>"
+_ARROW = pa.schema([("repo_id", pa.string()), ("file_path", pa.string()), ("language", pa.string()), ("error", pa.string()), ("definitions", pa.list_(pa.struct([("node_type", pa.string()), ("name", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32()), ("nth", pa.int32())]))), ("raw_imports", pa.list_(pa.string())), ("calls", pa.list_(pa.string())), ("call_site_literals", pa.list_(pa.string()))])
 
 
 def read_files(spark, root: str, repo_id: str, extensions: list[str] | None = None) -> DataFrame:
@@ -49,7 +50,10 @@ def _parse(strict: bool):
                 out = {"repo_id": row["repo_id"], "file_path": row["file_path"], "language": language, "error": None, "definitions": [], "raw_imports": [], "calls": [], "call_site_literals": []}
                 try:
                     found = (parse_py if language == "python" else parse_js).parse(row["content"] or "", strict)
-                    out["definitions"] = [dict(zip(("node_type", "name", "start_line", "end_line"), d)) for d in found.definitions]
+                    same: Counter = Counter()  # definitions of one kind and name are told apart by their order, not by their lines, which move
+                    for d in found.definitions:
+                        out["definitions"].append(dict(zip(("node_type", "name", "start_line", "end_line", "nth"), (*d, same[d[:2]]))))
+                        same[d[:2]] += 1
                     out |= {"raw_imports": found.imports, "calls": found.calls, "call_site_literals": found.literals}
                 except Exception as e:  # noqa: BLE001  one bad file doesn't stop the others; it becomes an error row
                     out["error"] = f"{type(e).__name__}: {e}"
@@ -72,7 +76,7 @@ def nodes(parsed: DataFrame) -> DataFrame:
     files = good.select(node_id(F.col("repo_id"), F.lit("file"), F.col("file_path")).alias("id"), "repo_id", F.lit("file").alias("node_type"), F.col("file_path").alias("qualified_name"), "file_path", "language", none.cast("int").alias("start_line"), none.cast("int").alias("end_line"), "raw_imports", "call_site_literals")
     d = good.select("repo_id", "file_path", F.posexplode("definitions").alias("ord", "d"))
     name = F.concat("file_path", F.lit("::"), F.col("d.name"))
-    defs = d.select(node_id(F.col("repo_id"), F.col("d.node_type"), name, F.col("d.start_line"), F.col("ord")).alias("id"), "repo_id", F.col("d.node_type").alias("node_type"), name.alias("qualified_name"), "file_path", none.cast("string").alias("language"), F.col("d.start_line").alias("start_line"), F.col("d.end_line").alias("end_line"), none.cast("array<string>").alias("raw_imports"), none.cast("array<string>").alias("call_site_literals"))
+    defs = d.select(node_id(F.col("repo_id"), F.col("d.node_type"), name, F.col("d.nth")).alias("id"), "repo_id", F.col("d.node_type").alias("node_type"), name.alias("qualified_name"), "file_path", none.cast("string").alias("language"), F.col("d.start_line").alias("start_line"), F.col("d.end_line").alias("end_line"), none.cast("array<string>").alias("raw_imports"), none.cast("array<string>").alias("call_site_literals"))
     out = files.unionByName(defs).withColumn("skipped_files", none.cast("array<struct<file_path:string,error:string>>"))
     bad = parsed.where("error is not null").groupBy("repo_id").agg(F.sort_array(F.collect_list(F.struct("file_path", "error"))).alias("skipped_files"))
     errors = bad.select(node_id(F.col("repo_id"), F.lit("module"), F.lit("__mapping_errors__")).alias("id"), "repo_id", F.lit("module").alias("node_type"), F.lit("__mapping_errors__").alias("qualified_name"), F.lit("").alias("file_path"), "skipped_files")
@@ -124,7 +128,7 @@ def edges(parsed: DataFrame) -> DataFrame:
     d = good.select("repo_id", "file_path", F.posexplode("definitions").alias("ord", "d"))
     name = F.concat("file_path", F.lit("::"), F.col("d.name"))
     file = node_id(F.col("repo_id"), F.lit("file"), F.col("file_path"))
-    d = d.select("repo_id", "file_path", "ord", F.col("d.name").alias("name"), file.alias("source_node_id"), node_id(F.col("repo_id"), F.col("d.node_type"), name, F.col("d.start_line"), F.col("ord")).alias("target_node_id"))
+    d = d.select("repo_id", "file_path", "ord", F.col("d.name").alias("name"), file.alias("source_node_id"), node_id(F.col("repo_id"), F.col("d.node_type"), name, F.col("d.nth")).alias("target_node_id"))
     defines = d.select("repo_id", "source_node_id", "target_node_id", F.lit("defines").alias("edge_type"), F.lit(0).alias("ordinal"))
     last = d.groupBy("repo_id", "file_path", "name").agg(F.max_by("target_node_id", "ord").alias("target_node_id"))
     sites = good.select("repo_id", "file_path", file.alias("source_node_id"), F.posexplode("calls").alias("ordinal", "name"))
