@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pyarrow as pa
+from pyspark import BarrierTaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -65,15 +66,26 @@ def with_retries(call: Callable[[], list], tries: int = TRIES, pause: float = PA
     return []
 
 
-def embed(chunks: DataFrame, embedder: Embedder, content: str = "content", dimension: int = DIMENSION, requests: int | None = None, workers: int = 1) -> DataFrame:
-    """chunks with an embedding of their content. requests: of all workers in a minute (None: no limit); workers: how many share them.
+def share(requests: int, tasks: int, task: int) -> int:
+    """The part of a budget that a task of so many gets: whole requests, which add up to the budget."""
+    return requests // tasks + (task < requests % tasks)
 
-    A vector of another dimension raises. Batches of BATCH texts are one request each.
+
+def embed(chunks: DataFrame, embedder: Embedder, content: str = "content", dimension: int = DIMENSION, requests: int | None = None, workers: int = 1, period: float = PERIOD) -> DataFrame:
+    """chunks with an embedding of their content. requests: of all workers in a period (None: no limit); workers: how many share them.
+
+    With a limit the texts are dealt to `workers` barrier tasks, at most one a request of the budget: they run at the same time or not at all, each learns how many there are and takes its
+    share, so the sum never passes the budget; a stage that fails begins anew as a whole. Without one each task asks as fast as it can. A vector
+    of another dimension raises. Batches of BATCH texts are one request each.
     """
     names = [c for c in chunks.columns if c != "embedding"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        throttle = Throttle(requests // workers) if requests else None
+        throttle = None
+        if requests:
+            barrier = BarrierTaskContext.get()
+            barrier.barrier()
+            throttle = Throttle(share(requests, len(barrier.getTaskInfos()), barrier.partitionId()), period)
         for batch in batches:
             vectors = []
             texts = batch.column(content).to_pylist()
@@ -90,5 +102,5 @@ def embed(chunks: DataFrame, embedder: Embedder, content: str = "content", dimen
                     raise ValueError(f"a vector has {len(v)} dimensions, not {dimension}")
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(vectors, pa.list_(pa.float32()))], names=[*names, "embedding"])
 
-    mine = chunks.coalesce(workers) if requests else chunks
-    return mine.select(*names).mapInArrow(run, T.StructType([*[chunks.schema[n] for n in names], T.StructField("embedding", T.ArrayType(T.FloatType()))]))
+    mine = chunks.repartition(max(1, min(workers, requests))) if requests else chunks
+    return mine.select(*names).mapInArrow(run, T.StructType([*[chunks.schema[n] for n in names], T.StructField("embedding", T.ArrayType(T.FloatType()))]), barrier=bool(requests))

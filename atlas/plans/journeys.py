@@ -1,14 +1,17 @@
-"""Queries that take many steps over the driver's tables, with their SQL: reachability over cycles, traces with every ending."""
+"""Queries that take many steps over the driver's tables, with their SQL: reachability over cycles, traces with every ending, pull requests in pages."""
 
 from __future__ import annotations
 
 import json
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from atlas.operators import graph
+from atlas.operators.rounds import Rounds
+from atlas.sources import remote
 
-from .catalogue import table
+from .catalogue import _trim, table
 
 # --- a graph of parts with one cycle through all of them, and shortcuts
 
@@ -48,8 +51,43 @@ def trace_reasons(spark, sf_dir):
     return ends.join(n, "trace_id", "left").select("trace_id", "reason", F.coalesce("n_steps", F.lit(0)).alias("n_steps"))
 
 
-QUERIES = {f.__name__: f for f in (reachability_deep, trace_reasons)}
+# --- pull requests in pages: each role's turns are a repository; a page that a broken line stands in fails
+
+
+def _pages(spark, sf_dir) -> tuple:
+    """Pages of ten pull requests, written as a dump; the repositories that they belong to, and one that has another host."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.col("conv_id") % 40).alias("r"), "role", "text")
+    ranked = c.withColumn("n", F.row_number().over(Window.partitionBy("r").orderBy("conv_id", "turn")) - 1)
+    page, place = F.floor(F.col("n") / 10) + 1, F.col("n") % 10
+    line = F.to_json(F.struct(place.alias("place"), (F.col("conv_id") * 1000 + F.col("turn")).alias("number"), F.col("role").alias("title"), F.col("text").alias("body"), F.lit("open").alias("state")))
+    line = F.when((F.col("r") % 5 == 1) & (page == 2) & (place == 3), F.lit("{broken")).otherwise(line)
+    rounds = Rounds(spark)
+    at = f"{rounds.base}/pages"
+    ranked.select(F.lit("talk").alias("owner"), F.concat(F.lit("r"), F.col("r").cast("string")).alias("repo"), page.alias("page"), line.alias("value")).repartition("repo", "page").write.partitionBy("owner", "repo", "page").text(at)
+    repos = c.select("r").distinct().select(F.concat(F.lit("r"), F.col("r").cast("string")).alias("id"), F.concat(F.lit("https://"), F.when(F.col("r") % 7 == 3, "gitlab.com").otherwise("github.com"), F.lit("/talk/r"), F.col("r").cast("string"), F.lit(".git")).alias("git_url"))
+    return repos, remote.Dump(at)
+
+
+def pull_request_pages(spark, sf_dir):
+    repos, pages = _pages(spark, sf_dir)
+    found, _ = remote.pull_requests(spark, repos, pages, most=25, size=10)
+    return found.select("repo_id", "pr_number", "state", F.md5("content").alias("content_md5"))
+
+
+def pull_request_failures(spark, sf_dir):
+    repos, pages = _pages(spark, sf_dir)
+    return remote.pull_requests(spark, repos, pages, most=25, size=10, span=2)[1].select("repo_id", "page")
+
+
+_TALK = """
+WITH c AS (SELECT conv_id, turn, conv_id % 40 r, role, text, row_number() OVER (PARTITION BY conv_id % 40 ORDER BY conv_id, turn) - 1 n FROM conversations),
+p AS (SELECT *, n // 10 + 1 page, r % 5 = 1 AND n = 13 broken FROM c WHERE r % 7 <> 3), bad AS (SELECT r, min(page) page FROM p WHERE broken AND page <= 3 GROUP BY r)
+"""
+QUERIES = {f.__name__: f for f in (reachability_deep, trace_reasons, pull_request_pages, pull_request_failures)}
 SQL = {
+    "pull_request_pages": _TALK + f"""SELECT 'r' || p.r repo_id, (conv_id * 1000 + turn)::INT pr_number, 'open' state, md5({_trim("'PR #' || (conv_id * 1000 + turn) || ': ' || coalesce(role, '') || chr(10) || coalesce(text, '')")}) content_md5
+FROM p LEFT JOIN bad ON p.r = bad.r WHERE n < 25 AND (bad.page IS NULL OR p.page < bad.page)""",
+    "pull_request_failures": _TALK + "SELECT 'r' || r repo_id, page::INT page FROM bad",
     "reachability_deep": """
 WITH RECURSIVE n AS (SELECT max(p_partkey) m FROM part),
 e AS (SELECT p_partkey a, p_partkey % m + 1 b FROM part, n UNION SELECT p_partkey, (p_partkey * 3) % m + 1 FROM part, n WHERE p_partkey % 5 = 0),

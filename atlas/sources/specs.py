@@ -77,12 +77,10 @@ def endpoints(files: DataFrame) -> DataFrame:
 
 
 def git_log(spark: SparkSession, folders: dict[str, str]) -> DataFrame:
-    """repo_id and log of local clones, as chunk.commits() reads it. A folder that git can't read has an empty log."""
-    rows = []
-    for repo, folder in folders.items():
-        done = subprocess.run(["git", "-C", folder, "log", f"-{COMMITS}", "--pretty=format:%H%x1f%s%x1f%b%x1e"], capture_output=True, text=True, errors="ignore", check=False)
-        rows.append((repo, done.stdout if done.returncode == 0 else ""))
-    return spark.createDataFrame(rows, "repo_id string, log string")
+    """repo_id and log of clones, as chunk.commits() reads it; git runs on the executors. A folder that git can't read has an empty log."""
+    from .remote import clones
+
+    return clones(spark, folders, "log")
 
 
 def list_files(folder: str) -> list[str]:
