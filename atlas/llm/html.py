@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import bisect
 import html as entities
 import re
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -17,87 +18,188 @@ from .common import by_hash, give_back
 
 # Elements without content, elements whose content is no text, elements that begin and end blocks, and what ends an open one.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|noscript|template|textarea|title|svg|iframe|select|noframes"
+RAW = set("script style noscript template textarea title svg iframe select noframes".split())
 BLOCKS = set("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 # Names of elements, classes and ids that tell what a part of a page is; used to label training pages only.
 REST = set("nav menu navbar navigation header masthead footer aside sidebar ad ads advert advertisement promo sponsored banner cookie cookies consent notice alert form comments comment reply disqus breadcrumb breadcrumbs share social related newsletter popup modal widget button dialog".split())
 MAIN = set("article main content post entry story".split())
 
-# An svg element may close itself; a raw element's name is whole, so that <object-list> is none.
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<svg(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+(?<=/)>|<(?P<raw>{RAW})(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>", re.S | re.I)
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 WORD = re.compile(r"[a-z]+")
+STOP, MARKS = re.compile(r"[\s/>]"), re.compile(r"[>\"']")
+RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 
 PATH, WORDS, SIZES = 192, 32, 5
 INPUTS, HIDDEN = PATH + WORDS + SIZES, 24
 #: Pages that the labeller is trained on, by a hash of their html; their versions, passes over them, and pages of one step.
-PAGES, VERSIONS, EPOCHS, BATCH = 240, 3, 12, 32
+PAGES, VERSIONS, EPOCHS, BATCH = 240, 5, 12, 32
+#: Nested elements of a training page at most.
+DEEP = 200
 #: Blocks that are read side by side: pages of like length go together, so many that this bound holds, or one longer page.
 SIDE = 16_384
 
 
+class Path:
+    """An element on the way to a block and those around it; blocks share what they have in common. bits: the hashed names of all of them."""
+
+    __slots__ = ("around", "element", "bits", "depth")
+
+    def __init__(self, around: Path | None, element: tuple[str, ...]):
+        self.around, self.element, self.depth = around, element, around.depth + 1 if around else 1
+        self.bits = around.bits if around else 0
+        for name in element:
+            self.bits |= 1 << zlib.crc32(name.encode()) % (PATH - 64)
+
+    def elements(self) -> list[tuple[str, ...]]:
+        """Element names with their classes and ids, outermost first."""
+        out, at = [], self
+        while at:
+            out.append(at.element)
+            at = at.around
+        return out[::-1]
+
+
+def path_of(elements: list[tuple[str, ...]]) -> Path | None:
+    out = None
+    for element in elements:
+        out = Path(out, element)
+    return out
+
+
 @dataclass
 class Leaf:
     text: str
-    path: list[tuple[str, ...]]  # element names with their classes and ids, outermost first
+    path: Path | None
     linked: int = 0
 
 
-@dataclass
-class _Open:
-    parts: list[str] = field(default_factory=list)
-    linked: int = 0
+def tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """begin, end, name, whether it ends an element, and attributes of each tag; of comments, declarations and raw elements with their content the name is empty.
+
+    A tag ends at the first > outside quotes; where there is none, its < is text. What a < needs to know of the rest of the page is looked up
+    in tables that are filled once, so a page of any kind is read in time proportional to its length.
+    """
+    marks = [m.start() for m in MARKS.finditer(page)]
+    closing: list[int] = [-1] * (len(marks) + 1)  # for each mark the > that ends a tag whose attributes go on there, or -1
+    later: dict[str, int] = {}  # number of the next mark of each kind
+    for k in range(len(marks) - 1, -1, -1):
+        kind = page[marks[k]]
+        if kind == ">":
+            closing[k] = marks[k]
+        elif kind in later:
+            closing[k] = closing[later[kind] + 1]
+        later[kind] = k
+    last, stop, at = page.rfind(">"), -1, 0
+    while 0 <= (begin := page.find("<", at)) < last:
+        at = begin + 1
+        if page.startswith("<!--", begin):
+            end = page.find("-->", begin + 4)
+            end = len(page) if end < 0 else end + 3
+            yield begin, end, "", False, ""
+            at = end
+            continue
+        if page[at] in "!?":
+            end = page.find(">", at) + 1
+            yield begin, end, "", False, ""
+            at = end
+            continue
+        ends = page[at] == "/"
+        name = at + ends
+        if not page[name : name + 1].isascii() or not page[name : name + 1].isalpha():
+            continue
+        if stop < name:
+            found = STOP.search(page, name)
+            stop = found.start() if found else len(page)
+        k = bisect.bisect_left(marks, stop)
+        end = closing[k] + 1
+        if not end:
+            continue
+        tag, rest = page[name:stop].lower(), page[stop : end - 1]
+        if not ends and tag in RAW:
+            if tag != "svg" or not rest.endswith("/"):
+                close = RAW_END[tag].search(page, end)
+                end = close.end() if close else len(page)
+            tag = ""
+        yield begin, end, tag, ends, rest
+        at = end
+
+
+class _Stack:
+    """Open elements, with the places of each name and of the blocks among them."""
+
+    def __init__(self):
+        self.held: list[Path] = []
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def top(self) -> Path | None:
+        return self.held[-1] if self.held else None
+
+    def name(self) -> str:
+        return self.held[-1].element[0] if self.held else ""
+
+    def last(self, name: str) -> int:
+        places = self.places.get(name)
+        return places[-1] if places else -1
+
+    def push(self, element: tuple[str, ...]) -> None:
+        if element[0] in BLOCKS:
+            self.blocks.append(len(self.held))
+        self.places.setdefault(element[0], []).append(len(self.held))
+        self.held.append(Path(self.top(), element))
+
+    def cut(self, size: int) -> None:
+        while len(self.held) > size:
+            self.places[self.held.pop().element[0]].pop()
+            if self.blocks and self.blocks[-1] == len(self.held):
+                self.blocks.pop()
 
 
 def leaves(page: str) -> list[Leaf]:
     """The page's blocks of text in order, character references decoded and white space folded. Raw elements and comments have no text."""
     out: list[Leaf] = []
-    stack: list[tuple[str, ...]] = []
-    now = _Open()
+    stack, parts, linked = _Stack(), [], 0
 
     def flush() -> None:
-        nonlocal now
-        text = " ".join(entities.unescape("".join(now.parts)).split())
+        nonlocal linked
+        text = " ".join(entities.unescape("".join(parts)).split())
         if text:
-            out.append(Leaf(text, list(stack), now.linked))
-        now = _Open()
+            out.append(Leaf(text, stack.top(), linked))
+        parts.clear()
+        linked = 0
 
     def add(piece: str) -> None:
+        nonlocal linked
         if piece:
-            now.parts.append(piece)
-            if any(e[0] == "a" for e in stack):
-                now.linked += len(piece)
+            parts.append(piece)
+            linked += len(piece) if stack.last("a") >= 0 else 0
 
     at = 0
-    for m in TOKEN.finditer(page):
-        add(page[at : m.start()])
-        at = m.end()
-        tag = (m["tag"] or "").lower()
+    for begin, end, tag, ends, rest in tags(page):
+        add(page[at:begin])
+        at = end
         if not tag:
             continue
-        if tag in BLOCKS:
+        block = tag in BLOCKS
+        if block:
             flush()
         elif tag == "br":
-            now.parts.append(" ")
-        if m["end"]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
-                if stack[i][0] in BLOCKS and tag not in BLOCKS:
-                    break
+            parts.append(" ")
+        if ends:
+            i = stack.last(tag)  # an inline element's end reaches no further than the block around it
+            if i >= 0 and (block or not stack.blocks or i > stack.blocks[-1]):
+                stack.cut(i)
         else:
-            if tag in BLOCKS and tag != "hr":
-                while stack and stack[-1][0] not in BLOCKS:  # inline elements don't hold blocks
-                    stack.pop()
-                if stack and stack[-1][0] == "p":
-                    stack.pop()
-            if tag in CLOSES and stack and stack[-1][0] in CLOSES[tag]:
-                stack.pop()
-            if tag not in VOID and not m["rest"].endswith("/"):
-                names = " ".join(a or b or c for a, b, c in NAMES.findall(m["rest"])) if m["rest"] else ""
-                stack.append((tag, *WORD.findall(names.lower())))
+            if block and tag != "hr":
+                stack.cut(stack.blocks[-1] + 1 if stack.blocks else 0)  # inline elements don't hold blocks
+                if stack.name() == "p":
+                    stack.cut(len(stack.held) - 1)
+            if tag in CLOSES and stack.name() in CLOSES[tag]:
+                stack.cut(len(stack.held) - 1)
+            if tag not in VOID and not rest.endswith("/"):
+                names = " ".join(a or b or c for a, b, c in NAMES.findall(rest)) if rest else ""
+                stack.push((tag, *WORD.findall(names.lower())))
     add(page[at:])
     flush()
     return out
@@ -106,12 +208,13 @@ def leaves(page: str) -> list[Leaf]:
 def features(page: list[Leaf]) -> np.ndarray:
     """One row a block: hashed tag path, hashed words, sizes."""
     out = np.zeros((len(page), INPUTS), np.float32)
+    seen: dict[int, list[int]] = {}
     for i, leaf in enumerate(page):
-        for element in leaf.path:
-            for name in element:
-                out[i, zlib.crc32(name.encode()) % (PATH - 64)] = 1
-        for element in leaf.path[-1:]:
-            out[i, PATH - 64 + zlib.crc32(element[0].encode()) % 64] = 1
+        if leaf.path:
+            if leaf.path.bits not in seen:
+                seen[leaf.path.bits] = [k for k in range(PATH - 64) if leaf.path.bits >> k & 1]
+            out[i, seen[leaf.path.bits]] = 1
+            out[i, PATH - 64 + zlib.crc32(leaf.path.element[0].encode()) % 64] = 1
         words = leaf.text.lower().split()
         at = [PATH + zlib.crc32(w.encode()) % WORDS for w in words]
         bag = np.bincount(at, minlength=INPUTS)
@@ -122,10 +225,12 @@ def features(page: list[Leaf]) -> np.ndarray:
 
 
 def hints(page: list[Leaf]) -> np.ndarray:
-    """Training labels from the names on each block's path: 1 in a main part and in none of the rest."""
-    names = [{n for e in leaf.path for n in e if n not in ("body", "html")} for leaf in page]
+    """Training labels: 1 for blocks in a part that a name calls the main one and in none of the rest. Where no name tells, for blocks with sentences
+    of which links make less than half."""
+    names = [{n for e in (leaf.path.elements() if leaf.path else ()) for n in e if n not in ("body", "html")} for leaf in page]
     some = any(x & MAIN for x in names)
-    return np.array([not x & REST and (bool(x & MAIN) if some else leaf.linked * 2 < len(leaf.text)) for x, leaf in zip(names, page)], np.float32)
+    prose = [leaf.linked * 2 < len(leaf.text) and (len(leaf.text) > 60 or leaf.text[-1] in ".!?:") for leaf in page]
+    return np.array([not x & REST and (bool(x & MAIN) if some else fit) for x, fit in zip(names, prose)], np.float32)
 
 
 # Other names for the parts of a page, for versions of training pages.
@@ -138,18 +243,53 @@ OTHER = {
 EXTRA = [("div", "comments"), ("section", "comments"), ("aside", "sidebar"), ("form",), ("div", "cookie", "notice"), ("div", "newsletter"), ("header",), ("div", "related"), ("div", "share"), ("div", "alert"), ("div", "sidebar", "widget"), ("ul", "social")]
 
 
-def version(page: list[Leaf], others: list[Leaf], random: np.random.Generator) -> list[Leaf]:
-    """The page with its parts renamed, and with parts of other pages put in as what doesn't belong to an article."""
+#: Containers of an article whose names tell nothing, and what its paragraphs can stand in. Versions of training pages use these, too, with the labels of the
+#: page that they are made from: so lists, tables and plain divs are no sign of a menu, and names aren't the only sign of an article.
+PLAIN = [("div",), ("div", "text"), ("section",), ("div", "wrap"), ("div", "row", "col"), ("td",), ("div", "span"), ("div", "page"), ("div", "inner", "block")]
+HELD = [[("ul",), ("li",)], [("ul",), ("li",)], [("ol",), ("li",)], [("div",)], [("div",)], [("div",), ("p",)], [("section",), ("p",)], [("blockquote",), ("p",)], [("table",), ("tr",), ("td",)], [("dl",), ("dd",)], [("pre",)], [("figure",), ("figcaption",)], [("h2",)]]
+
+
+def version(page: list[Leaf], told: np.ndarray, others: list[Leaf], random: np.random.Generator) -> tuple[list[Leaf], np.ndarray]:
+    """The page with its parts renamed, runs of the article's blocks in other elements (cut to items where these make a list), and with parts of other pages,
+    and lists of links, put in as what doesn't belong to an article. told: the labels, which blocks keep."""
     names = {k: v[random.integers(len(v))] for k, v in OTHER.items()}
-    out = [Leaf(x.text, [names[e[0]] if e[0] in names and (e[0] != "div" or len(e) > 1) else e for e in x.path], x.linked) for x in page]
+    if random.random() < 0.5:
+        word = ("div", "".join(chr(97 + int(c)) for c in random.integers(0, 26, 6)))
+        names["article"] = [*PLAIN, word, word][random.integers(len(PLAIN) + 2)]
+    out: list[Leaf] = []
+    y: list[float] = []
+    run, held = 0, None
+    for leaf, mine in zip(page, told):
+        elements = [names[e[0]] if e[0] in names and (e[0] != "div" or len(e) > 1) else e for e in (leaf.path.elements() if leaf.path else ())]
+        if mine and not run and random.random() < 0.15:
+            run, held = int(random.integers(1, 5)), HELD[random.integers(len(HELD))]
+        texts = [leaf.text]
+        if mine and run and len(elements) > 1:
+            run -= 1
+            elements = [*elements[:-1], *held]
+            if held[-1][0] in ("li", "dd", "td", "h2", "figcaption"):
+                words = leaf.text.split()
+                cuts = np.sort(random.integers(1, max(2, len(words)), random.integers(0, 5)))
+                texts = [" ".join(w) for w in np.split(np.array(words, object), cuts) if len(w)] or texts
+        elif not mine:
+            run = 0
+        for text in texts:
+            out.append(Leaf(text, path_of(elements), leaf.linked))
+            y.append(float(mine))
     for _ in range(int(random.integers(0, 4))):
-        kind = EXTRA[random.integers(len(EXTRA))]
-        inner = [[("p",)], [("div",), ("p",)], [("ul",), ("li",)], []][random.integers(4)]
-        put = [Leaf(x.text, [("html",), ("body",), kind, *inner], 0) for x in (others[i] for i in random.integers(0, len(others), random.integers(1, 4)))]
-        edges = [0, len(out)] + [i for i in range(1, len(out)) if out[i].path[:3] != out[i - 1].path[:3]]
+        edges = [0, len(out)] + [i for i in range(1, len(out)) if y[i] != y[i - 1] or not y[i]]
         at = edges[random.integers(len(edges))]
+        if random.random() < 0.35:  # a menu in elements without a name
+            inner = [[("div",), ("ul",), ("li",)], [("ul",), ("li",)], [("div",)], [("div",), ("p",)]][random.integers(4)]
+            words = [w for i in random.integers(0, len(others), 3) for w in others[i].text.split()[:3]][: random.integers(2, 9)]
+            put = [Leaf(w, path_of([("html",), ("body",), *inner]), len(w)) for w in words]
+        else:
+            kind = EXTRA[random.integers(len(EXTRA))]
+            inner = [[("p",)], [("div",), ("p",)], [("ul",), ("li",)], []][random.integers(4)]
+            put = [Leaf(x.text, path_of([("html",), ("body",), kind, *inner]), 0) for x in (others[i] for i in random.integers(0, len(others), random.integers(1, 4)))]
         out[at:at] = put
-    return out
+        y[at:at] = [0.0] * len(put)
+    return out, np.array(y, np.float32)
 
 
 def _sigmoid(x):
@@ -240,15 +380,17 @@ def grouped(lengths: list[int], most: int) -> list[list[int]]:
 
 
 def train(pages: list[str], seed: int = 3) -> Labeller:
-    """A labeller fitted on the pages, whole, and their versions; the hints of each block's path are its labels. No pages: an untrained one."""
+    """A labeller fitted on the pages, whole, and their versions; hints() gives the labels. Pages of more than DEEP nested elements don't train. No
+    pages: an untrained one."""
     random, model = np.random.default_rng(seed), Labeller(seed)
-    parsed = [x for x in (leaves(p) for p in pages) if x]
+    parsed = [x for x in (leaves(p) for p in pages) if x and all(y.path is None or y.path.depth <= DEEP for y in x)]
     others = [x for p in parsed for x in p]
     told = []
     for p in parsed:
+        labels = hints(p)
         for v in range(VERSIONS):
-            mine = p if v == 0 else version(p, others, random)
-            told.append((features(mine), hints(mine)))
+            mine, y = (p, labels) if v == 0 else version(p, labels, others, random)
+            told.append((features(mine), y))
     m, v, step = {k: np.zeros_like(a) for k, a in model.p.items()}, {k: np.zeros_like(a) for k, a in model.p.items()}, 0
     for _ in range(EPOCHS):
         order = random.permutation(len(told)).tolist()  # pages of like length in another order each time
