@@ -7,11 +7,12 @@ import json
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from atlas.operators import graph
+from atlas.operators import graph, registry, tables
 from atlas.operators.rounds import Rounds
 from atlas.sources import remote
 
 from .catalogue import _trim, table
+from .fixtures import supplier_specs
 
 # --- a graph of parts with one cycle through all of them, and shortcuts
 
@@ -79,15 +80,43 @@ def pull_request_failures(spark, sf_dir):
     return remote.pull_requests(spark, repos, pages, most=25, size=10, span=2)[1].select("repo_id", "page")
 
 
+# --- a registry of two repositories: what suppliers' descriptions offer, and files that ask for it; then some descriptions go
+
+
+def registry_cascade(spark, sf_dir):
+    """Edges between the two after a sync that takes every third description away, by name."""
+    specs_, s = supplier_specs(spark, sf_dir), table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("k"))
+    source = F.concat(F.lit("def ask_"), "k", F.lit("(i):\n    return get(f'http://offers/v1/s"), "k", F.lit("/offers/{i}')\n"))
+    askers = s.select(F.lit("r").alias("repo_id"), F.concat(F.lit("s"), "k", F.lit(".py")).alias("file_path"), source.alias("content"))
+    gone = F.regexp_extract("file_path", "^api/([0-9]+)/", 1).cast("int") % 3 == 0
+    state = {"offers": specs_, "shop": askers}
+    fetch = lambda repo: state[repo["name"]].select(F.lit(repo["id"]).alias("repo_id"), "file_path", "content")
+    r = registry.Registry(tables.Snapshots(spark, f"{Rounds(spark).base}/registry"), fetch)
+    offers, _ = r.register("offers", "/clones/offers"), r.register("shop", "/clones/shop")
+    r.link()
+    state["offers"] = specs_.where(~gone)
+    r.sync(offers)
+    names = r.nodes().select("id", "qualified_name")
+    ends = (names.select(F.col("id").alias(f"{x}_node_id"), F.col("qualified_name").alias(x)) for x in ("source", "target"))
+    edges = r.edges().where("is_cross_repo")
+    for x in ends:
+        edges = edges.join(x, x.columns[0])
+    return edges.select("source", "target", "edge_type", "confidence")
+
+
 _TALK = """
 WITH c AS (SELECT conv_id, turn, conv_id % 40 r, role, text, row_number() OVER (PARTITION BY conv_id % 40 ORDER BY conv_id, turn) - 1 n FROM conversations),
 p AS (SELECT *, n // 10 + 1 page, r % 5 = 1 AND n = 13 broken FROM c WHERE r % 7 <> 3), bad AS (SELECT r, min(page) page FROM p WHERE broken AND page <= 3 GROUP BY r)
 """
-QUERIES = {f.__name__: f for f in (reachability_deep, trace_reasons, pull_request_pages, pull_request_failures)}
+QUERIES = {f.__name__: f for f in (reachability_deep, trace_reasons, pull_request_pages, pull_request_failures, registry_cascade)}
 SQL = {
     "pull_request_pages": _TALK + f"""SELECT 'r' || p.r repo_id, (conv_id * 1000 + turn)::INT pr_number, 'open' state, md5({_trim("'PR #' || (conv_id * 1000 + turn) || ': ' || coalesce(role, '') || chr(10) || coalesce(text, '')")}) content_md5
 FROM p LEFT JOIN bad ON p.r = bad.r WHERE n < 25 AND (bad.page IS NULL OR p.page < bad.page)""",
     "pull_request_failures": _TALK + "SELECT 'r' || r repo_id, page::INT page FROM bad",
+    "registry_cascade": """
+SELECT 's' || s_suppkey || '.py' AS source, CASE WHEN s_suppkey % 77 = 0 THEN 'offers::__service_root__' ELSE 'GET /s' || s_suppkey || '/offers/*' END target, 'http_call' edge_type, CASE WHEN s_suppkey % 77 = 0 THEN 'inferred' ELSE 'confirmed' END confidence
+FROM supplier WHERE s_suppkey % 77 = 0 OR s_suppkey % 3 <> 0
+""",
     "reachability_deep": """
 WITH RECURSIVE n AS (SELECT max(p_partkey) m FROM part),
 e AS (SELECT p_partkey a, p_partkey % m + 1 b FROM part, n UNION SELECT p_partkey, (p_partkey * 3) % m + 1 FROM part, n WHERE p_partkey % 5 = 0),
