@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Version prefixes, of which one at most is dropped, in this order; and keywords of question types, in order of precedence.
+# Version prefixes, of which one at most is dropped, in this order; keywords of question types, in order of precedence; and the form of a repository's address.
 PREFIXES = ["v1", "v2", "v3", "api"]
 QUESTION_TYPES = [
     ("why_historical", ["why", "reason", "decided", "history"]),

@@ -26,10 +26,10 @@ def confirmed(calls: DataFrame, endpoints: DataFrame) -> DataFrame:
     calls: call_id, repo, literal; endpoints: repo, path (normalised), ord. Endpoints that can never win are dropped before the join:
     of each path the first one, and the first one of another repository, are all that any caller needs.
     """
-    by_path = Window.partitionBy("path").orderBy("ord", "repo")
-    ranked = endpoints.select(F.col("repo").alias("target_repo"), "path", "ord", "repo").withColumn("_top", F.first("repo").over(by_path)).withColumn("_n", F.row_number().over(by_path))
-    other = Window.partitionBy("path", F.col("repo") == F.col("_top")).orderBy("ord", "repo")
-    few = ranked.withColumn("_k", F.row_number().over(other)).where("_k = 1").drop("_k", "_n", "_top", "repo")
+    each = endpoints.groupBy("path", F.col("repo").alias("target_repo")).agg(F.min("ord").alias("ord"))
+    first = each.groupBy("path").agg(F.min(F.struct("ord", "target_repo")).alias("e"))  # minima are taken before rows are dealt out, so a path of many endpoints does no harm
+    second = each.join(first, "path").where("target_repo <> e.target_repo").groupBy("path").agg(F.min(F.struct("ord", "target_repo")).alias("e"))
+    few = first.unionByName(second).select("e.target_repo", "path", "e.ord")
     sites = calls.withColumn("path", X.normalize_path(X.strip_host(F.col("literal"))))
     return _first(sites.join(few, "path").where("repo <> target_repo"), ["ord", "target_repo"]).withColumn("confidence", F.lit("confirmed"))
 

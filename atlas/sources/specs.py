@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 from atlas.functions.text import normalize_path
 from atlas.operators import chunk
 
-# Names of API descriptions, hints in other names, HTTP methods, how many commits are read.
+# Names of API descriptions, hints in other names, HTTP methods, how many commits are read, where overrides stand.
 SPEC_NAMES = ["openapi.yaml", "openapi.yml", "openapi.json", "swagger.yaml", "swagger.yml", "swagger.json"]
 SPEC_HINTS, METHODS, COMMITS = ["spec", "openapi", "swagger"], ["get", "post", "put", "delete", "patch"], 200
-LINKS_SETTING = "CROSS_REPO_LINKS_CONFIG"
+LINKS_SETTING, LINKS_FILE = "CROSS_REPO_LINKS_CONFIG", "./cross_repo_links.yaml"
 _ENDPOINT = pa.schema([("repo_id", pa.string()), ("file_path", pa.string()), ("ord", pa.int32()), ("method", pa.string()), ("path", pa.string()), ("summary", pa.string()), ("description", pa.string())])
 
 
@@ -104,8 +104,8 @@ def pull_requests(spark: SparkSession, path: str) -> DataFrame:
 
 
 def manual_links(spark: SparkSession, path: str | None = None) -> DataFrame:
-    """Overrides from a YAML file with a list `links`; no file: none."""
-    path, rows = path or os.environ.get(LINKS_SETTING, ""), []
+    """Overrides from a YAML file with a list `links`: that of path, else of the setting, else the file of the usual name; no file: none."""
+    path, rows = path or os.environ.get(LINKS_SETTING, LINKS_FILE), []
     if path and os.path.exists(path):
         with open(path) as f:
             rows = [(x.get("source_repo"), x.get("target_repo"), x.get("edge_type")) for x in (_load(f.read(), path) or {}).get("links") or []]
