@@ -226,7 +226,8 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def report(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated; one row per row of docs. See matches()."""
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated; one row per row of docs, so repeated rows repeat. See matches(). Columns other than key and text are
+    left out, whatever their names."""
     found = matches(docs.select(docs[key].alias("doc_id"), docs[text].alias("text")), benchmark, window=window)
     return found.select("doc.doc_id", "n_words", "spans", "items").mapInArrow(_merged, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 

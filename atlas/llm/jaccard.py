@@ -286,7 +286,8 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: fl
     among all documents that links and copies connect. n_links: how many other texts are linked with this one, texts with the
     same set among them. n_copies: how many other rows have an equal set of shingles. Texts of fewer words than a shingle
     have one shingle of all their words. Null and empty texts are equal texts; texts without any word are linked with
-    equal texts only. Null ids stay; a class whose ids are all null has a null class_id. Empty tables give no rows.
+    equal texts only. Null ids stay; a class whose ids are all null has a null class_id. Empty tables give no rows. Texts of any length count
+    with all their shingles; columns other than key and text are never read, whatever their names.
     """
     return _join(docs, text, key, threshold, n, recall).select("doc_id", "class_id", "n_links", "n_copies")
 

@@ -313,7 +313,8 @@ def sampled_dictionary(rows: DataFrame, path: str, pattern: str, length: int = L
 
 def materialise_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str | None = None) -> DataFrame:
     """Tokenises documents by the tiktoken library with a public rank file and materialises them below the session's shared folder; see
-    materialise(). Null and empty texts have no part. Sequences travel compressed with a dictionary made from SAMPLE texts at most, which
+    materialise(). Null and empty texts have no part; repeated rows are materialised each; a text of any length fills as many sequences as it needs; columns other than
+    key and text are never read, whatever their names. Sequences travel compressed with a dictionary made from SAMPLE texts at most, which
     changes no result."""
     import public_tokenizers
 

@@ -52,7 +52,8 @@ def shard(docs: DataFrame, shards: int = 8, text: str = "text", key: str = "doc_
     Largest groups go first to the least-loaded shard. Only the histogram of group sizes reaches the driver:
     n different sizes need at least n * n / 2 bytes of text, so 100 TB have under 15 million, and far fewer in practice.
     Equal sizes are ordered by the text's digest; slots are numbered within each shard from 0 without gaps.
-    Repeated rows each get a slot. Null keys are kept. An empty table gives no rows.
+    Repeated rows each get a slot. Null keys are kept. An empty table gives no rows. Texts of any length are read whole; columns other than key and text are
+    never read, whatever their names.
     """
     spark = docs.sparkSession
     work = Work(spark)

@@ -93,7 +93,7 @@ def topk(vectors: DataFrame, k: int = 20, every: int = 20, vector: str = "embedd
     """query_id, rank, vec_id, score: for each row whose id is divisible by every, its k highest integer inner products.
 
     Components become floor(64 * x). Candidates are all rows with another id. Ties go to the smaller vec_id; repeated rows count
-    each. Rows with a null id or vector, or a null or non-finite component, take no part; vectors of different lengths meet only
+    each. Scores are exact up to 2^53; larger ones are rounded as doubles are. Columns other than key and vector are never read. Rows with a null id or vector, or a null or non-finite component, take no part; vectors of different lengths meet only
     their own length. Empty tables give no rows. Queries go to the candidates in passes of QUERY_BYTES at most, so what
     is broadcast stays bounded however many there are; each task keeps k rows a query, and a window merges the tasks' rows.
     """

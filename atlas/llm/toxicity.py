@@ -160,8 +160,9 @@ def held_out(key) -> F.Column:
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic") -> Model:
     """Fits the classifiers. Confirmed toxic rows are the positives; unlabelled text is drawn from all rows that aren't held out, whatever
     their label, so that it holds toxic rows as often as the corpus does. The class prior is the share of toxic ones among the labels
-    that may be learned from. At most POSITIVE and UNLABELLED rows are read, chosen by a hash of their ids. Several
-    labels of an id count as toxic if one is; null labels and ids are left out.
+    that may be learned from. At most POSITIVE and UNLABELLED ids are read, chosen by a hash, and all rows of these; WEIGHED features at most are weighed. Several
+    labels of an id count as toxic if one is; null labels and ids are left out. Without labels, or without toxic ones, no feature stands out: the model
+    gives each text the prior, which lies between 0.0001 and a half, so none is called toxic.
     """
     said = labels.where(labels[key].isNotNull() & labels[label].isNotNull() & ~held_out(labels[key])).groupBy(labels[key].cast("long").alias("doc_id")).agg(F.max(labels[label]).cast("int").alias("toxic"))
     counts = said.agg(F.count("*"), F.sum("toxic")).first()
@@ -211,11 +212,12 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted; one row per row of docs."""
+    """doc_id, held_out, score, predicted; one row per row of docs: null texts are empty, null ids are held out, repeated rows repeat, texts are read whole,
+    columns other than doc_id and text are left out, and an empty table gives no rows."""
     found = score(docs.select("doc_id", "text"), train(docs, labels))
     return found.select("doc.doc_id", held_out(F.col("doc.doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that aren't predicted toxic, with the columns of docs."""
+    """The rows of docs that aren't predicted toxic, with the columns of docs, whatever their names; what report() says of odd rows holds here too."""
     return score(docs, train(docs, labels)).where("score < 0.5").select("doc.*")

@@ -538,7 +538,7 @@ def test_pipeline(spark, sf_dir):
 def test_pipeline_of_odd_rows(spark, odd, sf_dir, tmp_path):
     import corpus_pipeline as pipeline
 
-    odd.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"file://{tmp_path}/documents.parquet")
+    odd.write.parquet(f"file://{tmp_path}/documents.parquet")
     for t in ("labels", "benchmark"):
         spark.read.parquet(f"{sf_dir}/{t}.parquet").limit(0 if t == "labels" else 40).write.parquet(f"file://{tmp_path}/{t}.parquet")
     found = [r.doc_id for r in pipeline.run(spark, f"file://{tmp_path}").collect()]
