@@ -2,7 +2,8 @@
 
 A stage takes (spark, docs, sf_dir) and returns the documents that it keeps, with the columns of documents; the last one returns
 doc_id, n_tokens, ids_sha256 and decoded_sha256 of each document that is left. Null texts are empty texts throughout: they aren't
-toxic, are copies of one another, and hold no benchmark words. An empty table passes through.
+toxic, are copies of one another, and hold no benchmark words. An empty table passes through. Repeated rows and ties: of a group of copies one row stays, that with the
+smallest doc_id. Texts are read whole, however long. Further columns of documents stay with their rows to the last stage, whatever their names.
 """
 
 from __future__ import annotations
