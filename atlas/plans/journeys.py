@@ -48,7 +48,7 @@ def trace_reasons(spark, sf_dir):
     contents = nodes.select(F.col("id").alias("node_id"), F.col("file_path").alias("content"))
     traces = p.select(F.col("id").alias("trace_id"), F.col("id").alias("node_id"), F.col("p_name").alias("question"))
     steps, ends = graph.trace_many(options, nodes, contents, traces, ByNumber(), 6)
-    n = steps.groupBy("trace_id").agg(F.count("*").alias("n_steps"), F.max("hop").alias("last_hop"))
+    n = steps.groupBy("trace_id").agg(F.count("*").alias("n_steps"))
     return ends.join(n, "trace_id", "left").select("trace_id", "reason", F.coalesce("n_steps", F.lit(0)).alias("n_steps"))
 
 
