@@ -26,7 +26,7 @@ from .common import Work, environment_path, give_back, text_bytes, text_slices
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Bytes of marked words that make one block at most.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 4 << 20
 #: Ends each word on its way to Python: U+FFFF, which is never a character.
 MARK = b"\xef\xbf\xbf"
 #: Bytes of text that are sampled for words to fold ahead, and how many words at most; both bound what is broadcast.
