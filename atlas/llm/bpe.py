@@ -31,6 +31,8 @@ BLOCK_BYTES = 4 << 20
 MARK = b"\xef\xbf\xbf"
 #: Bytes of text that are sampled for words to fold ahead, and how many words at most; both bound what is broadcast.
 AHEAD_BYTES, AHEAD_WORDS = 64 << 20, 400_000
+#: Characters of a plan's text that the driver keeps for each query: the literal rank map alone has megabytes.
+PLAN_TEXT = 1 << 16
 #: Words of more bytes are merged with a heap in the last step: a fold needs the square of a word's length.
 FOLD_BYTES = 128
 #: More than any merged id and place: no pair of a word is left.
@@ -354,6 +356,9 @@ def _chain(docs: DataFrame, text: str, key: str, path: str | None, digest: bool,
     import public_tokenizers
 
     path, pattern = path or environment_path(RANKS), public_tokenizers.PATTERN
+    conf = docs.sparkSession.conf
+    if conf.get("spark.sql.maxPlanStringLength", None) is None:  # else the driver would keep the literal as text, once for each plan that holds it
+        conf.set("spark.sql.maxPlanStringLength", PLAN_TEXT)
     ahead = fold_ahead(docs, text, path, pattern)
     return encode_blocks(blocks(docs, ahead, text, key, pattern), path).mapInArrow(_emit(path, ahead, digest), schema)
 
