@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -158,7 +159,7 @@ MARKER, EXCEPTION = "spdx license identifier", "with [a-z]+(?: [a-z0-9]+){0,3}?
 
 #: A full stop, question or exclamation mark before white space or the end always ends a sentence, as a blank line does. One after "v" before a
 #: number, one after "inc", "corp", "ltd" or "co", a semicolon, a colon and a single line break may stand within a sentence too: notices are wrapped, and "free software: you can" is one sentence.
-STRONG, WEAK, VERSION = r"(?<![.!?;:])[;:]*+[.!?][.!?;:]*+(?=\s|$)", r"(?<![.!?;:])[;:]++(?=\s|$)", r"(?<=(?<![a-z0-9])v)\.(?=\s+[0-9])|(?<=(?<![a-z0-9])(?:inc|corp|ltd|co))\.(?=\s)"
+STRONG, WEAK, VERSION = r"(?<![.!?;:])[;:]*+[.!?][.!?;:]*+(?=\s|$)", r"(?<![.!?;:])[;:]++(?=\s|$)", r"\.(?:(?<=(?<![a-z0-9])v\.)(?=\s+[0-9])|(?<=(?<![a-z0-9])(?:inc|corp|ltd|co)\.)(?=\s))"
 
 
 def ascii_lower(text: Column) -> Column:
@@ -182,6 +183,21 @@ def slotted(sentence: str, gap: str) -> str:
     return gap.join(slot(i) if w == "*" else w for i, w in enumerate(sentence.split(" ")))
 
 
+def any_of(sentences: list[str], gap: str) -> str:
+    """One regular expression for all sentences, the longest first among those that begin alike; what they begin with is looked for once."""
+    heads: dict[str, list[str]] = {}
+    for sentence in sorted(sentences, key=lambda s: (-len(s), s)):
+        heads.setdefault(sentence.split(" ")[0], []).append(sentence)
+    out = []
+    for same in heads.values():
+        split = [s.split(" ") for s in same]
+        shared = len(os.path.commonprefix(split))
+        rests = [slotted(" ".join(["-", *x[shared:]]), gap)[1:] for x in split]  # each with the gap before it; a slot there is no first word
+        begin = slotted(" ".join(split[0][:shared]), gap)
+        out.append(begin + (f"(?:{'|'.join(rests)})" if len(rests) > 1 else rests[0]))
+    return "|".join(out)
+
+
 def expression(gap: str = " ") -> str:
     """A regular expression for a licence expression in words: identifiers, with exceptions, joined by and, or. One with a number isn't taken for one without."""
     one = rf"(?:{'|'.join(IDS)})(?: {EXCEPTION})?"
@@ -191,8 +207,8 @@ def expression(gap: str = " ") -> str:
 def sentence_ids(text: Column, sentences: dict[str, str]) -> Column:
     """Identifiers of the known sentences of a text, in order; of two that begin together the longer. Others are left out. A tag gives one for each licence of its expression."""
     known = F.create_map(*[F.lit(x) for kv in sentences.items() if "*" not in kv[0] for x in kv])
-    any_of = "|".join(slotted(s, "(?: /)? ") for s in sorted(sentences, key=len, reverse=True))
-    found = F.regexp_extract_all(marked(text), F.lit(rf"(?<=[|/] )(?:(?:{any_of})(?= [|/])|{MARKER}(?: /)? {expression()}(?= ))"), F.lit(0))
+    every = any_of(list(sentences), "(?: /)? ")
+    found = F.regexp_extract_all(marked(text), F.lit(rf"(?<=[|/] )(?:(?:{every})(?= [|/])|{MARKER}(?: /)? {expression()}(?= ))"), F.lit(0))
     tags = F.create_map(*[F.lit(x) for w, name in IDS.items() for x in (w, f"spdx-{name.lower()}")])
 
     def told(s: Column) -> Column:
