@@ -122,6 +122,71 @@ def test_bits_equal_a_single_stream():
             seen.append((g[i], value[i]))
 
 
+def test_untold_bits_are_mixtures():
+    """With odds in place of bits the result is that of the mixture of both ways; without own counts it needs p alone."""
+    rng = np.random.default_rng(3)
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(3), np.arange(4), indexing="ij"))
+    bits = mixing.Bits([a, a * 4 + b], a, rng.integers(0, 50, (2, 2, 12)).astype(float))
+    n = mixing.FIRST  # before any update
+    g, c, text, place = rng.integers(0, 3, n), rng.integers(0, 4, n), np.zeros(n, int), np.arange(n)
+    ones = 10.0 ** bits.follow([g, g * 4 + c], g, np.ones(n, int), text, place, 1)
+    odds = np.where(np.arange(n) % 3 == 0, 0.0, rng.exponential(3, n))
+    got = bits.follow([g, g * 4 + c], g, None, text, place, 1, odds)
+    assert got == pytest.approx(np.log10(ones * odds + 1 - ones), abs=1e-6)
+    # odds that are all but infinite tell the bit, for later updates, too
+    g, c, text, place, value = (np.tile(x, 8) for x in (g, c, text, place, np.arange(n) % 2))
+    place = np.arange(8 * n)
+    told = bits.follow([g, g * 4 + c], g, value, text, place, 1)
+    untold = bits.follow([g, g * 4 + c], g, None, text, place, 1, np.where(value == 1, 1e12, 0.0))
+    assert untold - np.where(value == 1, 12, 0) == pytest.approx(told, abs=1e-3)
+
+
+def test_shares_are_the_likeliest():
+    counts = np.random.default_rng(5).integers(0, 90, (2, 3, mixing.RATIOS))
+    counts[0, 0] = 0
+    zero, ones = mixing.shares(counts)
+    assert zero + ones == pytest.approx(counts.sum(axis=-1))
+    odds = np.array([0.0] + [2.0 ** (k - mixing.RATIOS // 2) for k in range(1, mixing.RATIOS)])
+    assert mixing.ratios(odds).tolist() == list(range(mixing.RATIOS))
+    grid = np.linspace(0.001, 0.999, 999)
+    for i, j in [(0, 1), (0, 2), (1, 0), (1, 1), (1, 2)]:
+        best = grid[np.argmax([(counts[i, j] * np.log(p * odds + 1 - p)).sum() for p in grid])]
+        assert ones[i, j] / (zero + ones)[i, j] == pytest.approx(best, abs=0.005)
+
+
+def test_common_words_after_common_words(spark):
+    """Where a common word always follows another one, texts that keep the order are worth more than the same words in another order."""
+    r = np.random.default_rng(6)
+    follows = {f"w{k}": f"w{(k * 7 + 3) % 40}" for k in range(40)}
+
+    def text(keeps: bool) -> str:
+        out = [f"w{r.integers(40)}"]
+        while len(out) < 400:
+            out.append(follows[out[-1]] if keeps and r.random() < 0.7 else f"w{r.integers(40)}")
+        return " ".join(out)
+
+    texts = {i: text(True) for i in range(120)}
+    held = [i for i in texts if crc(i) % 7 == 2]
+    shuffled = {i: " ".join(r.permutation(texts[i].split())) if i in held else texts[i] for i in texts}
+    one, other = ({x.doc_id: x for x in mixing.score(spark.createDataFrame(list(t.items()), "doc_id long, text string")).collect()} for t in (texts, shuffled))
+    assert len(held) > 8
+    assert all(one[i].score > one[i].base_score + 50 and one[i].score > other[i].score + 50 for i in held if one[i].n_followed == 0 == other[i].n_followed)
+
+
+def test_choice_of_a_common_word_is_a_distribution():
+    counts = np.array([900, 700, 640, 2000, 1100])
+    common = mixing.Common(np.array([5, 2, 9, 1, 7], np.uint64), counts, 512)
+    assert common.hashes.tolist() == [1, 2, 5, 7, 9] and common.counts.tolist() == [2000, 700, 900, 1100, 640]
+    events = [np.zeros(n, np.int64) for n in common.sizes]
+    events[3][:] = np.random.default_rng(7).integers(0, 30, 25)
+    model = mixing.Model(events, common)
+    classes = common.classes[:-1]
+    mass = np.bincount(classes, common.counts, mixing.CLASSES)
+    for first in range(5):
+        p = (model.pairs[first] + mixing.PAIR_PRIOR * common.counts / mass[classes]) / (model.after[first, classes] + mixing.PAIR_PRIOR)
+        assert np.bincount(classes, p)[np.unique(classes)] == pytest.approx(1)
+
+
 def test_scores_for_any_partitions(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 300")
     one, many = ({r.doc_id: r for r in mixing.score(docs.repartition(k, "doc_id")).collect()} for k in (1, 8))
