@@ -50,3 +50,9 @@ def test_citation(spark):
 def test_github(spark):
     urls = ["https://github.com/a/b", "https://github.com/a/b.git", "http://github.com/a/b/", "https://gitlab.com/a/b", "https://github.com/a/b/c"]
     assert column(spark, urls, X.github_repo) == ["b", "b", "b", None, None]
+
+
+def test_upper_letters_as_in_the_sql(spark, duck):
+    words = ["Erßie", "get", "ﬁn ŉ", "ᾳ ᾠδή ᾼ", "Ǆǆ", "a\n\U00010428", ""]
+    assert column(spark, words, X.upper_letters) == [duck.execute("SELECT upper(?)", [w]).fetchall()[0][0] for w in words]
+    assert column(spark, [None], X.upper_letters) == [None]
