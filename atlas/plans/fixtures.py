@@ -9,6 +9,20 @@ from atlas.operators import chunk, graph
 from atlas.operators.rounds import Rounds
 from atlas.sources import code, specs
 
+#: Tasks for each core that rows are dealt to before files are made of them.
+DEALT = 4
+
+
+def _dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Rows dealt to all cores by a key. The narrow rows of a table stand in a few splits, however long the files made of them take to parse."""
+    return rows.repartition(DEALT * rows.sparkSession.sparkContext.defaultParallelism, key)
+
+
+def _parsed(files: DataFrame) -> DataFrame:
+    """What the parsers found, written: nodes and edges read it several times."""
+    return Rounds(files.sparkSession).table(code.parse_files(files))
+
+
 def supplier_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A Python file for each supplier, and one for each nation that theirs import; a nation is a repository."""
     s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("string").alias("k"), F.col("s_nationkey").cast("string").alias("n"))
@@ -16,17 +30,17 @@ def supplier_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("import os\nfrom kit"), "n", F.lit(" import weigh\n\nHOST = 'http://nation-"), "n", F.lit("'\n\n\ndef offer_"), "k", F.lit("(part):\n    address = f'{HOST}/offers/"), "k",
         F.lit("/{part}'\n    return ask(address)\n\n\nclass Stock"), "k", F.lit(":\n    pass\n\n\noffer_"), "k", F.lit("(1)\n"),
     )
-    mine = s.select(F.col("n").alias("repo_id"), F.concat(F.lit("s"), "k", F.lit(".py")).alias("file_path"), source.alias("content"))
+    mine = _dealt(s, "k").select(F.col("n").alias("repo_id"), F.concat(F.lit("s"), "k", F.lit(".py")).alias("file_path"), source.alias("content"))
     kits = s.select("n").distinct().select(F.col("n").alias("repo_id"), F.concat(F.lit("kit"), "n", F.lit(".py")).alias("file_path"), F.lit("def weigh(x):\n    return x\n").alias("content"))
     return mine.unionByName(kits)
 
 
 def source_nodes(spark, sf_dir):
-    return code.nodes(code.parse_files(supplier_files(spark, sf_dir))).select("repo_id", "node_type", "qualified_name", "start_line", "end_line")
+    return code.nodes(_parsed(supplier_files(spark, sf_dir))).select("repo_id", "node_type", "qualified_name", "start_line", "end_line")
 
 
 def source_edges(spark, sf_dir):
-    parsed = Rounds(spark).table(code.parse_files(supplier_files(spark, sf_dir)))  # read several times below, parsed once
+    parsed = _parsed(supplier_files(spark, sf_dir))
     n = code.nodes(parsed)
     a, b = (n.select(F.col("id").alias(f"{s}_node_id"), F.col("qualified_name").alias(s)) for s in ("source", "target"))
     return code.edges(parsed).join(a, "source_node_id").join(b, "target_node_id").select("repo_id", "edge_type", "source", "target")
@@ -37,12 +51,12 @@ def source_literals(spark, sf_dir):
 
 
 def nodes_with_literals(spark, sf_dir):
-    nodes = code.nodes(code.parse_files(supplier_files(spark, sf_dir)))
+    nodes = code.nodes(_parsed(supplier_files(spark, sf_dir)))
     return nodes.where(F.size("call_site_literals") > 0).select("repo_id", "qualified_name")
 
 
 def precise_nodes(spark, sf_dir):
-    return graph.precise_nodes(code.nodes(code.parse_files(supplier_files(spark, sf_dir)))).select("repo_id", "qualified_name")
+    return graph.precise_nodes(code.nodes(_parsed(supplier_files(spark, sf_dir)))).select("repo_id", "qualified_name")
 
 
 # --- TypeScript: a module for each part, in the folder of its brand, which imports the brand's; every fifth one doesn't parse
@@ -56,13 +70,13 @@ def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(" {}\nconst show"), "k", F.lit(" = (id) => {\n  return view"), "k", F.lit("(id);\n};\n"),
     )
     cut = F.when(F.col("n") % 5 == 0, F.concat(F.lit("function open() {\n"), source)).otherwise(source)
-    mine = p.select("brand", F.concat(F.lit("src/p"), "k", F.lit(".ts")).alias("file_path"), cut.alias("content"))
+    mine = _dealt(p, "n").select("brand", F.concat(F.lit("src/p"), "k", F.lit(".ts")).alias("file_path"), cut.alias("content"))
     brands = p.select("brand", F.lit("src/brand.ts").alias("file_path"), F.lit("export class Brand {}\n").alias("content")).distinct()
     return mine.unionByName(brands).withColumnRenamed("brand", "repo_id")
 
 
 def web_nodes(spark, sf_dir):
-    return code.nodes(code.parse_files(part_files(spark, sf_dir))).where("node_type <> 'module'").select("repo_id", "node_type", "qualified_name", "start_line", "end_line")
+    return code.nodes(_parsed(part_files(spark, sf_dir))).where("node_type <> 'module'").select("repo_id", "node_type", "qualified_name", "start_line", "end_line")
 
 
 def web_literals(spark, sf_dir):
@@ -70,7 +84,7 @@ def web_literals(spark, sf_dir):
 
 
 def mapping_errors(spark, sf_dir):
-    return graph.mapping_errors(code.nodes(code.parse_files(part_files(spark, sf_dir)))).select("repo_id", "file_path")
+    return graph.mapping_errors(code.nodes(_parsed(part_files(spark, sf_dir)))).select("repo_id", "file_path")
 
 
 # --- API descriptions and service definitions: one of each kind for a supplier

@@ -1,6 +1,7 @@
 """Parsers and scans."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from atlas.sources import code, parse_js, parse_py, specs
 
@@ -117,3 +118,15 @@ def test_files_and_log(spark, tmp_path):
     from atlas.operators import chunk
 
     assert [r.content for r in chunk.commits(specs.git_log(spark, {"r": str(tmp_path), "none": "/nowhere"})).collect()] == ["subject\nbody"]
+
+
+def planned(query, spark, sf_dir):
+    from atlas.plans import fixtures
+
+    return getattr(fixtures, query)(spark, sf_dir)
+
+
+def test_mapping_errors_parse_each_file_once(spark, sf_dir):
+    found = planned("mapping_errors", spark, sf_dir)
+    assert "MapInArrow" not in found._jdf.queryExecution().toString()  # what the parsers found is written before it is read
+    assert found.count() > 0
