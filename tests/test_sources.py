@@ -130,3 +130,9 @@ def test_mapping_errors_parse_each_file_once(spark, sf_dir):
     found = planned("mapping_errors", spark, sf_dir)
     assert "MapInArrow" not in found._jdf.queryExecution().toString()  # what the parsers found is written before it is read
     assert found.count() > 0
+
+
+def test_one_split_of_rows_is_parsed_by_many_tasks(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet")
+    assert rows.select(F.spark_partition_id()).distinct().count() == 1
+    assert planned("web_literals", spark, sf_dir).select(F.spark_partition_id()).distinct().count() >= spark.sparkContext.defaultParallelism
