@@ -136,3 +136,8 @@ def test_one_split_of_rows_is_parsed_by_many_tasks(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/part.parquet")
     assert rows.select(F.spark_partition_id()).distinct().count() == 1
     assert planned("web_literals", spark, sf_dir).select(F.spark_partition_id()).distinct().count() >= spark.sparkContext.defaultParallelism
+
+
+def test_nodes_parse_each_file_once(spark, sf_dir):
+    for query in ("web_nodes", "source_nodes", "nodes_with_literals", "precise_nodes"):
+        assert "MapInArrow" not in planned(query, spark, sf_dir)._jdf.queryExecution().toString()
