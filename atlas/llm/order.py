@@ -132,7 +132,7 @@ def _zstd(held: bytes) -> dict:
 
 def _sequences(found, length: int, end_id: int, shared) -> Iterator[pa.RecordBatch]:
     """Compressed sequences of (keys, ends, flat ids)."""
-    squeeze = zstandard.ZstdCompressor(level=LEVEL, **_zstd(shared.value)).compress
+    squeeze = zstandard.ZstdCompressor(level=LEVEL, write_dict_id=False, **_zstd(shared.value)).compress  # there is one dictionary, so frames needn't name it
     packer = Packer(length, end_id)
 
     def rows(bodies: list[bytes], parts: pa.Array) -> pa.RecordBatch:
@@ -256,7 +256,8 @@ def materialise(coded: DataFrame, folder: str, key: int = 1, length: int = LENGT
 
 def _shards(cut: DataFrame, folder: str, key: int, length: int, per_shard: int, shared, work: Work) -> DataFrame:
     spark = cut.sparkSession
-    held = work.table(cut.withColumn("piece", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) + 1), "sequences")
+    place = (F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) + 1).cast("int")
+    held = work.table(cut.withColumn("piece", F.spark_partition_id()).withColumn("place", place), "sequences")
     counts = sorted((r[0], r[1]) for r in held.groupBy("piece").agg(F.count("*")).collect())  # one row for each input partition
     first, n = {}, 0
     for piece, count in counts:
@@ -264,7 +265,7 @@ def _shards(cut: DataFrame, folder: str, key: int, length: int, per_shard: int,
         n += count
     placed = held.mapInArrow(_slotted(spark.sparkContext.broadcast(first), max(n, 1), key), f"{SEQUENCE}, slot bigint")
     # whole shards to a task; slots are even whatever the rows are like
-    ranged = placed.withColumn("_shard", F.expr(f"slot div {per_shard}")).repartitionByRange(-(-n // per_shard) or 1, "_shard").sortWithinPartitions("slot").drop("_shard")
+    ranged = placed.repartitionByRange(-(-n // per_shard) or 1, F.expr(f"slot div {per_shard}")).sortWithinPartitions("slot")
     fs, base = pyarrow.fs.FileSystem.from_uri(folder)
     fs.create_dir(base)
     if any(f.base_name.startswith("shard-") for f in fs.get_file_info(pyarrow.fs.FileSelector(base))):

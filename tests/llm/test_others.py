@@ -623,3 +623,18 @@ def test_a_cluster_needs_a_shared_folder():
         session = Some(conf=Some(get=lambda *_: None), sparkContext=Some(master=master, getCheckpointDir=lambda: None))
         with pytest.raises(ValueError):
             common.shared_dir(session)
+
+
+def test_op2_frames_name_no_dictionary():
+    """Each frame travels twice, and there is one dictionary."""
+    import types
+
+    import zstandard
+
+    rng = np.random.default_rng(1)
+    shared = types.SimpleNamespace(value=order.dictionary([rng.integers(0, 300, 512).astype("<u2") for _ in range(400)], 512))
+    ids = rng.integers(0, 300, 2000)
+    frames = [b for batch in order._sequences(iter([(pa.array([1]), np.array([0, 2000]), ids)]), 512, order.END_ID, shared) for b in batch.column("body").to_pylist()]
+    assert shared.value and [zstandard.get_frame_parameters(f).dict_id for f in frames] == [0] * 4
+    restore = zstandard.ZstdDecompressor(**order._zstd(shared.value)).decompress
+    assert b"".join(map(restore, frames)) == np.append(ids, order.END_ID).astype("<u2").tobytes()
