@@ -56,3 +56,9 @@ def test_upper_letters_as_in_the_sql(spark, duck):
     words = ["Erßie", "get", "ﬁn ŉ", "ᾳ ᾠδή ᾼ", "Ǆǆ", "a\n\U00010428", ""]
     assert column(spark, words, X.upper_letters) == [duck.execute("SELECT upper(?)", [w]).fetchall()[0][0] for w in words]
     assert column(spark, [None], X.upper_letters) == [None]
+
+
+def test_endpoint_text_keeps_a_sharp_s_one_letter(spark):
+    from atlas.operators import chunk
+
+    assert column(spark, ["Erßie"], lambda c: chunk.endpoint_text(c, F.lit("/x"), F.lit("s"), F.lit(None).cast("string"))) == ["ERẞIE /x: s"]
