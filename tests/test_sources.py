@@ -141,3 +141,29 @@ def test_one_split_of_rows_is_parsed_by_many_tasks(spark, sf_dir):
 def test_nodes_parse_each_file_once(spark, sf_dir):
     for query in ("web_nodes", "source_nodes", "nodes_with_literals", "precise_nodes"):
         assert "MapInArrow" not in planned(query, spark, sf_dir)._jdf.queryExecution().toString()
+
+
+def test_a_token_costs_few_calls():
+    """A file's tokens, and what stands around each, are found in bulk and not by calls for every one."""
+    import sys
+
+    source = "a = b + 1;\n" * 2000
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        parse_js.parse(source)
+    finally:
+        sys.setprofile(None)
+    assert calls < 2 * 6 * 2000
+
+
+def test_tokens_keep_kind_and_place():
+    source = " /* a */ x1 ='b' // c\n+ \"d ` `e` ٣4 é => $ /* never"
+    file = parse_js._File(source)
+    assert [(kind, text) for kind, text, *_ in file.tokens] == [("word", "x1"), ("mark", "="), ("string", "'b'"), ("mark", "+"), ("other", '"'), ("word", "d"), ("template", "` `"), ("word", "e"), ("other", "`"), ("number", "٣4"), ("other", "é"), ("mark", "=>"), ("word", "$")]
+    assert all(source[a:b] == text for _, text, a, b in file.tokens) and len(file.depth) == len(file.tokens)
