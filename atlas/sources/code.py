@@ -44,21 +44,22 @@ def read_files(spark, root: str, repo_id: str, extensions: list[str] | None = No
 def _parse(strict: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for row in batch.to_pylist():
-                language = next((v for k, v in LANGUAGES.items() if row["file_path"].endswith(k)), None)
-                out = {"repo_id": row["repo_id"], "file_path": row["file_path"], "language": language, "error": None, "definitions": [], "raw_imports": [], "calls": [], "call_site_literals": []}
+            rows: dict[str, list] = {name: [] for name in _ARROW.names[2:]}
+            for path, content in zip(batch.column("file_path").to_pylist(), batch.column("content").to_pylist()):
+                language = next((v for k, v in LANGUAGES.items() if path.endswith(k)), None)
+                error, found = None, parse_py.Parsed()
                 try:
-                    found = (parse_py if language == "python" else parse_js).parse(row["content"] or "", strict)
-                    same: Counter = Counter()  # definitions of one kind and name are told apart by their order, not by their lines, which move
-                    for d in found.definitions:
-                        out["definitions"].append(dict(zip(("node_type", "name", "start_line", "end_line", "nth"), (*d, same[d[:2]]))))
-                        same[d[:2]] += 1
-                    out |= {"raw_imports": found.imports, "calls": found.calls, "call_site_literals": found.literals}
+                    found = (parse_py if language == "python" else parse_js).parse(content or "", strict)
                 except Exception as e:  # noqa: BLE001  one bad file doesn't stop the others; it becomes an error row
-                    out["error"] = f"{type(e).__name__}: {e}"
-                rows.append(out)
-            yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+                    error = f"{type(e).__name__}: {e}"
+                same: Counter = Counter()  # definitions of one kind and name are told apart by their order, not by their lines, which move
+                definitions = []
+                for d in found.definitions:
+                    definitions.append((*d, same[d[:2]]))
+                    same[d[:2]] += 1
+                for column, value in zip(rows.values(), (language, error, definitions, found.imports, found.calls, found.literals)):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([batch.column("repo_id"), batch.column("file_path"), *(pa.array(values, _ARROW.field(name).type) for name, values in rows.items())], schema=_ARROW)
 
     return run
 
