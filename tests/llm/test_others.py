@@ -638,3 +638,35 @@ def test_op2_frames_name_no_dictionary():
     assert shared.value and [zstandard.get_frame_parameters(f).dict_id for f in frames] == [0] * 4
     restore = zstandard.ZstdDecompressor(**order._zstd(shared.value)).decompress
     assert b"".join(map(restore, frames)) == np.append(ids, order.END_ID).astype("<u2").tobytes()
+
+
+def test_spelling_leaves_a_word_out_once_a_slot(monkeypatch):
+    """What a word's bits are predicted by without the word is found once for each slot of a task, not for each bit of each word and context."""
+    import types
+
+    import numpy as np
+    import pyarrow as pa
+
+    from atlas.llm import mixing
+
+    words = pa.array([f"w{i * i}" for i in range(2500)])
+    seen = np.zeros((2, mixing.OFFSETS[-1]), np.int32)
+    for batch in mixing._counting(iter([pa.RecordBatch.from_arrays([words], names=["word"])])):
+        for at, body in zip(*(batch.column(x).to_pylist() for x in ("at", "body"))):
+            piece = np.frombuffer(body, np.int32)
+            seen.reshape(-1)[at : at + len(piece)] = piece
+    direct, calls = mixing.predictions, []
+    monkeypatch.setattr(mixing, "predictions", lambda x: calls.append(x.shape) or direct(x))
+    run = mixing._training(types.SimpleNamespace(value=seen))
+    for g in (0, 1):
+        run([pa.scalar(g)], pa.table({"word": words, "h": pa.array(range(len(words)))}))
+    assert calls == [(2, mixing.OFFSETS[-1])] * 2
+    spelled = mixing.Spelled(words)
+    stretched, often = mixing.without(seen)
+    for j in range(8):
+        value, slots = spelled.bit(j)
+        left = seen[:, slots].astype(float)
+        left[0][:, value == 0] -= 1
+        left[1][:, value == 1] -= 1
+        for got, wanted in zip((stretched, often), direct(np.maximum(left, 0))):
+            assert (got[value, slots] == wanted).all()
