@@ -187,6 +187,48 @@ def test_choice_of_a_common_word_is_a_distribution():
         assert np.bincount(classes, p)[np.unique(classes)] == pytest.approx(1)
 
 
+def test_codes_of_words_are_a_distribution():
+    """The codes of a class's words differ and none begins another one, whether words are common or begin with some bits of their hashes."""
+    groups = np.array([3, 5, 3, 3, 3, 3, 7, 5])
+    numbers = mixing.numbered(groups)
+    assert sorted(numbers[groups == 3].tolist()) == [8, 9, 10, 11, 12] and numbers[groups == 5].tolist() == [2, 3] and numbers[6] == 1
+    entries = np.sort(np.random.default_rng(8).integers(0, 1 << 63, 3000, dtype=np.uint64) * np.uint64(2))
+    key = pa.array([0])
+    ranges, taught = 4, np.repeat([1, 2, 900], 1000)
+    group = pa.table({"block": [0], "entries": [entries.tobytes()], "taught": [mixing.squeezed(taught)], "words": [2500]})
+    got = mixing.restored(mixing._totals(ranges, 512)((key[0],), group).column("numbers")[0].as_py(), np.int64)
+    assert (got[:2000] > 0).all() and (got[2000:] == 0).all()  # common words and segments have none
+    for some in (slice(0, 1000), slice(1000, 2000)):
+        codes = {f"{h:0{ranges}b}{n:b}" for h, n in zip(mixing.leading(entries[some], ranges), got[some])}
+        whole = [c[:ranges] + c[ranges + 1 :] for c in codes]
+        assert len(set(whole)) == 1000 and not any(a != b and b.startswith(a) for a, b in zip(sorted(whole), sorted(whole)[1:]))
+
+
+def test_choice_of_a_word_is_told_bit_by_bit(spark):
+    """The bits of a word's code are mixed from contexts of the one and the two words before, whichever word it is: here
+    a rare word depends on the two words before together, so that counts of single words can't tell it."""
+    r = np.random.default_rng(9)
+
+    def text() -> str:
+        out = []
+        while len(out) < 300:
+            a, b = r.integers(60, size=2)
+            out += [f"v{a}", f"v{b}", f"w{a}x{b}"]
+        return " ".join(out)
+
+    texts = {i: text() for i in range(400)}
+    held = [i for i in texts if crc(i) % 7 == 2]
+    split = {i: t.split() for i, t in texts.items()}
+    # the words that depend on others change places among themselves, so that the order of classes stays
+    moved = {i: [*w] for i, w in split.items()}
+    for i in held:
+        moved[i][2::3] = r.permutation(split[i][2::3]).tolist()
+    one, other = ({x.doc_id: x for x in mixing.score(spark.createDataFrame([(i, " ".join(w)) for i, w in t.items()], "doc_id long, text string")).collect()} for t in (split, moved))
+    plain = [i for i in held if one[i].n_followed == 0 == other[i].n_followed]
+    gains = [(one[i].score - other[i].score) / one[i].n_tokens for i in plain]
+    assert len(plain) > 8 and np.mean(gains) > 0.4
+
+
 def test_scores_for_any_partitions(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 300")
     one, many = ({r.doc_id: r for r in mixing.score(docs.repartition(k, "doc_id")).collect()} for k in (1, 8))
