@@ -35,6 +35,8 @@ AHEAD_BYTES, AHEAD_WORDS = 64 << 20, 400_000
 PLAN_TEXT = 1 << 16
 #: Words of more bytes are merged with a heap in the last step: a fold needs the square of a word's length.
 FOLD_BYTES = 128
+#: Words of documents that are joined at once.
+DOCUMENT_WORDS = 1 << 17
 #: More than any merged id and place: no pair of a word is left.
 NONE = 1 << 48
 
@@ -174,14 +176,20 @@ class Ahead:
     def length(self) -> np.ndarray:
         return pc.list_value_length(self.ids).to_numpy()
 
-    def rendered(self, render) -> np.ndarray:
-        """render() of each word's ids; kept, since all blocks of a worker need it."""
+    def rendered(self, render) -> pa.Array:
+        """render() of each word's ids; kept, since all blocks of a worker need it, as one array, since a worker that waits keeps it, too."""
         kept = self.__dict__.setdefault("_rendered", {})
         if render not in kept:
-            kept[render] = np.array([render(x.values.to_pylist()) for x in self.ids] or [b""], object)[: len(self.ids)]
+            kept[render] = rendered(self.ids, render)
         return kept[render]
 
 
+def rendered(lists: pa.Array, render) -> pa.Array:
+    """render() of each list of ids."""
+    parts = [pa.array([render(x) for x in lists.slice(at, 10_000).to_pylist()], pa.large_binary()) for at in range(0, len(lists), 10_000)]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.large_binary())
+
+
 def numbers(ids: list[int]) -> bytes:
     """Decimal numbers with one space between them."""
     return b" ".join([b"%d" % x for x in ids])
@@ -311,16 +319,20 @@ class Block:
         n = self.length[self.at]
         return both[np.repeat(first[place][self.at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))] if len(self.at) else both[:0]
 
-    def rendered(self, render) -> np.ndarray:
-        words = np.empty(len(self.code), object)
-        words[self.code >= 0] = self.ahead.rendered(render)[self.code[self.code >= 0]]
-        words[self.code < 0] = np.array([render(x.values.to_pylist()) for x in self.own] + [None], object)[:-1]
-        return words
+    def rendered(self, render) -> pa.Array:
+        """Those of the distinct words: first the ones folded ahead, then the block's own."""
+        return pa.concat_arrays([self.ahead.rendered(render).take(pa.array(self.code[self.code >= 0])), rendered(self.own, render)])
 
     def per_document(self, render, gap: bytes) -> Iterator[bytes]:
-        words = self.rendered(render)
-        for a, b in zip(self.ends, self.ends[1:]):
-            yield gap.join(words[self.at[a:b]])
+        words, own = self.rendered(render), self.code < 0
+        place = np.where(own, int((~own).sum()) + np.cumsum(own) - 1, np.cumsum(~own) - 1)[self.at]
+        row = 0
+        while row < len(self.ends) - 1:  # some documents at once
+            to = max(row + 1, int(np.searchsorted(self.ends, self.ends[row] + DOCUMENT_WORDS, "right")) - 1)
+            some = words.take(pa.array(place[self.ends[row] : self.ends[to]]))
+            for body in pc.binary_join(pa.ListArray.from_arrays(pa.array(self.ends[row : to + 1] - self.ends[row], pa.int32()), some), pa.scalar(gap, pa.large_binary())):
+                yield body.as_py()
+            row = to
 
 
 def pieces(path: str) -> list[bytes]:

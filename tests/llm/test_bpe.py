@@ -1,6 +1,7 @@
 import hashlib
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -47,3 +48,12 @@ def test_empty_and_unknown(spark, empty):
     assert bpe.digests(empty).count() == 0 and bpe.encode(empty).count() == 0
     odd = spark.createDataFrame([(None,), ([None, 99999, -1, 64],)], "ids array<int>")
     assert [bytes(r.decoded) for r in bpe.decode(odd).collect()] == [b"", bpe.pieces(PATH)[64]]
+
+
+def test_words_ahead_are_kept_as_one_array():
+    """A worker that waits keeps what it has rendered: bytes and their ends, no object a word."""
+    ids = pa.array([[k, k + 1] for k in range(25_000)] + [[]], pa.list_(pa.int32()))
+    ahead = bpe.Ahead(pa.array([b""] * len(ids), pa.binary()), ids)
+    got = ahead.rendered(bpe.numbers)
+    assert got is ahead.rendered(bpe.numbers) and got.to_pylist() == [bpe.numbers(x) for x in ids.to_pylist()]
+    assert got.nbytes < 22 * len(ids)  # an object takes 33 bytes besides its text, and eight in the array

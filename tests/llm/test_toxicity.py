@@ -1,8 +1,10 @@
 """The non-negative risk and its training against a plain version, one example at a time."""
 
 import math
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from atlas.llm import toxicity
@@ -70,3 +72,17 @@ def test_nothing_to_learn_from(spark, odd, empty):
         assert len(got) == odd.count() and {r.predicted for r in got} == {0} and len({r.score for r in got}) == 1
     assert toxicity.report(empty, labels).count() == 0
     assert toxicity.keep_clean(odd, labels).columns == odd.columns and toxicity.keep_clean(odd, labels).count() == odd.count()
+
+
+def test_counting_takes_no_second_table():
+    """One table of counts stands in a task; a batch adds to it in place, and what it yields is what each text has."""
+    table, tracked = 2 * 4 << toxicity.BITS, []
+    lists = [[3, 8], [8], [], [8, (1 << toxicity.BITS) - 1]]
+    batch = pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(pa.int32())), pa.array([1, 0, 0, 1], pa.int32())], names=["features", "toxic"])
+    tracemalloc.start()
+    found = toxicity._counts(iter([batch, batch]))
+    first = next(found)
+    tracked.append(tracemalloc.get_traced_memory()[1])
+    tracemalloc.stop()
+    assert first.to_pydict() == {"feature": [3, 8, (1 << toxicity.BITS) - 1], "pos": [2, 4, 2], "un": [0, 2, 0]}
+    assert tracked[0] < 1.5 * table  # 2.5 with a table of 64-bit counts a batch
