@@ -5,6 +5,7 @@ import heapq
 import html as entities
 import math
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -95,6 +96,19 @@ def test_earlier_and_segments():
     assert len(set(own[starts < 3000].tolist()) - set(own[starts > 3000].tolist())) <= 2  # the same places are found again
 
 
+def test_tallies_take_no_second_table():
+    """Counts are added up in place, whatever is added, however often."""
+    places = [np.array([5, 5, 0], np.int32), np.array([], np.int32), np.random.default_rng(1).integers(0, 1 << 22, 5_000).astype(np.int32)]
+    tracemalloc.start()
+    tally = mixing.Tally(1 << 22)
+    for some in places:
+        tally.add(some)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (tally.counts == np.bincount(np.concatenate(places), minlength=1 << 22)).all()
+    assert peak < 1.5 * tally.counts.nbytes
+
+
 def test_bits_equal_a_single_stream():
     """Many texts side by side are told as each alone, bit by bit."""
     rng = np.random.default_rng(2)
